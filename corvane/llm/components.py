@@ -14,15 +14,23 @@ from pyspark.sql import functions as F
 from corvane.llm.common import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").selectExpr("m AS a", "b").where("a <> b").distinct()
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """Every node's larger neighbours go to the smallest node it sees.
+
+    The minima are written before the join: with an aggregate below it, a join can't be split at a hub.
+    """
+    least = _both(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = space.save(least, f"{name}-least")
+    return _both(edges).where("b > a").join(least, "a").selectExpr("m AS a", "b").where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """Edges are (smaller a, larger b): b's smaller neighbours and b itself go to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = space.save(edges.groupBy("b").agg(F.min("a").alias("m")), f"{name}-least")
     moved = edges.join(least, "b").selectExpr("m AS a", "a AS b").where("a <> b")
     return moved.unionByName(least.selectExpr("m AS a", "b")).distinct()
 
@@ -34,8 +42,10 @@ def connected_components(edges: DataFrame, space: Workspace, name: str = "compon
     seen, k = sign(now), 0
     while seen[0]:
         k += 1
-        after = space.save(_small_star(_large_star(now)), f"{name}-{k}")
-        space.drop(f"{name}-{k - 1}")
+        large = space.save(_large_star(now, space, f"{name}-large-{k}"), f"{name}-large-{k}")
+        after = space.save(_small_star(large, space, f"{name}-small-{k}"), f"{name}-{k}")
+        for old in (f"{name}-{k - 1}", f"{name}-large-{k}", f"{name}-large-{k}-least", f"{name}-small-{k}-least"):
+            space.drop(old)
         now, before = after, seen
         seen = sign(now)
         if seen == before:

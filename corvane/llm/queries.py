@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import LOWER, UPPER
 from corvane.llm.decontaminate import decontaminate
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm import quality, toxicity
+from corvane.llm.labelled import held_out
+from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.url_filter import filter_urls
 
@@ -60,6 +63,29 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.train(spark, docs, table(spark, sf_dir, "labels"))
+    return judged(quality.score_quality(docs, rules), 0.3)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(spark, table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    return judged(toxicity.score_texts(spark, docs, scorer), 0.5)
+
+
+def judged(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        F.col("row_id").alias("doc_id"), held_out("row_id").alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(spark, table(spark, sf_dir, "documents"))
     return found.select(
@@ -71,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 

@@ -229,6 +229,6 @@ def simhash_groups(
     roots = connected_components(link(spark, firsts, space, distance), space)
     named = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = space.save(named, "named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = space.save(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of = space.save(named.join(least, "root").select("fp", "component_id"), "components")
     return marked.join(of, "fp").select("row_id", "fp", "component_id")
