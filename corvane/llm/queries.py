@@ -12,6 +12,7 @@ from corvane.llm.decontaminate import decontaminate
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm import quality, toxicity
 from corvane.llm.labelled import held_out
+from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.url_filter import filter_urls
@@ -74,6 +75,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(spark, table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
@@ -140,4 +147,13 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(all_items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, i, line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+                   unnest(lines) WITH ORDINALITY AS u(line, i)),
+        k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_FOLD}) AS key FROM l),
+        r AS (SELECT key, count(DISTINCT doc_id) AS n, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key),
+        m AS (SELECT k.*, coalesce(n > 1 AND doc_id <> first_id, false) AS lost FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }
