@@ -13,6 +13,7 @@ from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm import quality, toxicity
 from corvane.llm.labelled import held_out
 from corvane.llm.line_dedup import line_dedup
+from corvane.llm.lm_scoring import lm_scores
 from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.url_filter import filter_urls
@@ -64,6 +65,10 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark, table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.train(spark, docs, table(spark, sf_dir, "labels"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op4_lm_scoring": op4_lm_scoring,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
