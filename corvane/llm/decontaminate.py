@@ -19,7 +19,6 @@ its own text. Empty tables give empty results, or documents without hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,5 +241,7 @@ def covered(spans: str):
     )
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+def contaminated():
+    """At least one word in twenty is hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER, UPPER
-from corvane.llm.decontaminate import decontaminate
+from corvane.llm.decontaminate import contaminated, decontaminate
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm import quality, toxicity
 from corvane.llm.labelled import held_out
@@ -16,6 +16,7 @@ from corvane.llm.line_dedup import line_dedup
 from corvane.llm.lm_scoring import lm_scores
 from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_groups
+from corvane.llm.token_shards import token_shards
 from corvane.llm.url_filter import filter_urls
 
 #: The rules of the URL query, as (verdict, host, path).
@@ -60,15 +61,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contaminated():
-    """At least one word in twenty is hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-
-
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark, table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.train(spark, docs, table(spark, sf_dir, "labels"))
@@ -109,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_token_shards": op5_token_shards,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
