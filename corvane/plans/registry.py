@@ -1,12 +1,10 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL, collected from the plan modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corvane.plans import evaluating, lifecycles, matching, relational, states, streams, texts
+from corvane.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "J8_hard_filter_match"
 
-FLAGSHIP = "hard_filter_match"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "evaluating", "lifecycles", "matching", "relational", "states", "streams", "texts"]
