@@ -34,7 +34,7 @@ from corvane.llm.common import Workspace, alnum_words, blobs
 
 BACKOFF = 0.4
 NULL_ID = -(1 << 63)
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 20
 #: Odd constants that make a pair's hash depend on the order of its words and reach its high bits.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
