@@ -195,7 +195,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     """Builds the index from the documents, a batch at a time, and cuts them by it."""
     space = Workspace(spark, "line-dedup")
     rows = space.save(key_rows(docs, id_col, text_col, least), "rows")
-    index = LineIndex(spark, space, max(8, -(-rows.count() // SHARD_KEYS)))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SHARD_KEYS))
+    index = LineIndex(spark, space, shards)
     for k in range(batches):
         index.insert(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(batches)) == k))
     dropped = space.save(index.dropped_keys(), "dropped")
