@@ -1,0 +1,241 @@
+"""Matching, clustering and classification on the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.functions import text
+from corvane.operators import classify, cluster, joins, matching
+from corvane.plans.base import Tables, query
+
+#: Suppliers stand for jobs, customers for users; keys decide what is stated and what isn't.
+_PAIRS = """
+    WITH j AS (SELECT s_suppkey AS job, [['sales', 'data'], ['data'], ['design'], ['sales']][1 + s_suppkey % 4] AS cats, (ARRAY['Unknown', 'Remote', 'On-Site', 'Hybrid'])[1 + s_suppkey % 4] AS model,
+        CASE s_suppkey % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' ELSE 'Not Sure' END AS visa, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 END AS years_min,
+        'city ' || (s_nationkey % 5) || ', land' AS place, 'co' || (s_suppkey % 7) AS slug FROM supplier),
+    u AS (SELECT c_custkey AS usr, [['sales'], ['data', 'design'], ['legal'], ['design', 'sales', 'data']][1 + c_custkey % 4] AS cats, [['Remote', 'Hybrid'], ['On-Site'], ['Remote', 'On-Site', 'Hybrid']][1 + c_custkey % 3] AS models,
+        c_custkey % 6 = 0 AS needs, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AS years, CASE WHEN c_custkey % 5 = 0 THEN []::VARCHAR[] ELSE ['City ' || (c_nationkey % 5)] END AS places, ['co' || (c_custkey % 9)] AS black FROM customer),
+    m AS (SELECT job, usr, slug FROM j, u WHERE len(list_intersect(j.cats, u.cats)) > 0 AND (model = 'Unknown' OR list_contains(models, model)) AND NOT (needs AND visa = 'No')
+        AND (years_min IS NULL OR years IS NULL OR years >= years_min) AND (model IN ('Remote', 'Unknown') OR len(places) = 0 OR len(list_filter(places, lambda p: contains(lower(place), lower(p)))) > 0)
+        AND NOT list_contains(black, slug))"""
+
+
+def jobs(t: Tables) -> DataFrame:
+    return t.supplier.selectExpr(
+        "s_suppkey AS job", "element_at(array(array('sales', 'data'), array('data'), array('design'), array('sales')), cast(1 + s_suppkey % 4 AS int)) AS categories",
+        "element_at(array('Unknown', 'Remote', 'On-Site', 'Hybrid'), cast(1 + s_suppkey % 4 AS int)) AS work_model",
+        "CASE s_suppkey % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' ELSE 'Not Sure' END AS h1b_sponsored", "CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 END AS years_min",
+        "concat('city ', s_nationkey % 5, ', land') AS location", "concat('co', s_suppkey % 7) AS company_slug",
+    )
+
+
+def users(t: Tables) -> DataFrame:
+    return t.customer.selectExpr(
+        "c_custkey AS user", "element_at(array(array('sales'), array('data', 'design'), array('legal'), array('design', 'sales', 'data')), cast(1 + c_custkey % 4 AS int)) AS wanted_categories",
+        "element_at(array(array('Remote', 'Hybrid'), array('On-Site'), array('Remote', 'On-Site', 'Hybrid')), cast(1 + c_custkey % 3 AS int)) AS work_models",
+        "c_custkey % 6 = 0 AS needs_sponsorship", "CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AS years",
+        "CASE WHEN c_custkey % 5 = 0 THEN cast(array() AS array<string>) ELSE array(concat('City ', c_nationkey % 5)) END AS locations",
+        "array(concat('co', c_custkey % 9)) AS blacklisted", "array(concat('co', c_custkey % 2)) AS excluded",
+    )
+
+
+@query("J8_hard_filter_match", _PAIRS + " SELECT job, usr AS user, CASE WHEN slug = 'co' || (usr % 2) THEN 'notified' ELSE 'matched' END AS route FROM m")
+def hard_filter_match(t: Tables) -> DataFrame:
+    pairs = matching.match(jobs(t), users(t)).select("j.job", "u.user", "j.company_slug", "u.excluded")
+    return matching.routed(pairs, "company_slug", "excluded").select("job", "user", "route")
+
+
+@query("V1_V2_cosine_score", """
+    WITH a AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT min(vec_id) AS first, label FROM a GROUP BY label),
+    s AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM a JOIN p USING (label) JOIN a q ON q.vec_id = p.first)
+    SELECT vec_id, round_even(greatest(0, c) * 100, 0)::INT AS score, round_even(round_even(greatest(0, c) * 100, 0) / 100, 4) AS probability, round_even(greatest(0, c) * 100, 0) >= 80 AS tailoring_eligible
+    FROM s WHERE round_even(greatest(0, c) * 100, 0) >= 50""")
+def cosine_score(t: Tables) -> DataFrame:
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("profile"))
+    rows = t.embeddings.join(F.broadcast(first), "label").select("vec_id", matching.relevance(matching.cosine(F.col("embedding"), F.col("profile"))).alias("score"))
+    return matching.graded(rows)
+
+
+@query("V3_jaccard", """
+    WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS ws FROM conversations),
+    p AS (SELECT a.conv_id, a.ws AS x, b.ws AS y FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
+    SELECT conv_id, len(list_intersect(x, y)) / greatest(len(list_distinct(list_concat(x, y))), 1)::DOUBLE AS score FROM p""")
+def jaccard(t: Tables) -> DataFrame:
+    turn = lambda k: t.conversations.where(F.col("turn") == k).select("conv_id", matching.tokens(F.col("text")).alias(f"w{k}"))
+    return turn(0).join(turn(1), "conv_id").select("conv_id", matching.jaccard(F.col("w0"), F.col("w1")).alias("score"))
+
+
+@query("V4_excluded_split", _PAIRS + " SELECT CASE WHEN slug = 'co' || (usr % 2) THEN 'notified' ELSE 'matched' END AS route, count(*) AS n FROM m GROUP BY 1")
+def excluded_split(t: Tables) -> DataFrame:
+    return hard_filter_match(t).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("J14_jaccard_best_match", """
+    WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS ts FROM part),
+    s AS (SELECT a.p_partkey AS l, b.p_partkey AS r, len(list_intersect(a.ts, b.ts)) AS k, len(a.ts) + len(b.ts) AS n FROM p a, p b WHERE a.p_partkey % 10 = 1 AND b.p_partkey % 10 = 2)
+    SELECT l AS left_key, r AS right_key, score FROM (SELECT *, k / (n - k)::DOUBLE AS score, row_number() OVER (PARTITION BY l ORDER BY k / (n - k)::DOUBLE DESC, r) AS i FROM s WHERE k / (n - k)::DOUBLE >= 0.6) WHERE i = 1""")
+def jaccard_best_match(t: Tables) -> DataFrame:
+    rows = lambda k, name: t.part.where(F.col("p_partkey") % 10 == k).select(F.col("p_partkey").alias(name), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("ts"))
+    return joins.best_similar(rows(1, "left_key"), rows(2, "right_key").withColumnRenamed("ts", "us"), "left_key", "right_key", "ts", "us", 0.6)
+
+
+@query("J15_paired_top5", """
+    WITH g AS (SELECT DISTINCT o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS cat FROM orders WHERE o_custkey % 3 = 0),
+    e AS (SELECT * FROM orders WHERE o_custkey % 3 = 1)
+    SELECT o_orderpriority, cat AS wanted, o_orderkey FROM (SELECT g.*, e.o_orderkey, row_number() OVER (PARTITION BY g.o_orderpriority, g.cat ORDER BY e.o_orderkey) AS k
+    FROM g JOIN e USING (o_orderpriority) WHERE g.cat IS NULL OR g.cat = e.o_orderstatus) WHERE k <= 5""")
+def paired_top5(t: Tables) -> DataFrame:
+    groups = t.orders.where("o_custkey % 3 = 0").selectExpr("o_orderpriority", "nullif(o_orderstatus, 'P') AS o_orderstatus").distinct()
+    examples = t.orders.where("o_custkey % 3 = 1").select("o_orderpriority", "o_orderstatus", "o_orderkey")
+    found = joins.paired_examples(groups, examples, ["o_orderpriority"], "o_orderstatus", "o_orderkey")
+    return found.select("o_orderpriority", F.col("__category").alias("wanted"), "o_orderkey")
+
+
+@query("J16_longest_contained", """
+    WITH e(key, answer, n) AS (VALUES ('steel', 'metal', 1), ('brushed', 'finish', 2), ('economy', 'cheap', 3), ('burnished', 'shine', 4), ('plated', 'coat', 5), ('polished', 'gloss', 6))
+    SELECT p_partkey, key, answer FROM (SELECT p_partkey, e.*, row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, n) AS k FROM part JOIN e ON contains(lower(p_type), key) WHERE length(key) >= 6) WHERE k = 1""")
+def longest_contained(t: Tables) -> DataFrame:
+    entries = t.spark.createDataFrame(
+        [("steel", "metal", 1), ("brushed", "finish", 2), ("economy", "cheap", 3), ("burnished", "shine", 4), ("plated", "coat", 5), ("polished", "gloss", 6)], "key string, answer string, n int"
+    )
+    return joins.longest_contained(t.part, "p_type", entries, "key", "n", ["p_partkey"])
+
+
+_CASCADE = """
+    WITH d AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN source || lang END AS k1, CASE WHEN n_chars % 3 = 1 OR doc_id % 50 = 0 THEN 'n' || n_chars END AS k2, lang AS k3 FROM documents)"""
+
+
+def _cascade_keys() -> list:
+    return [
+        ("exact", F.when(F.col("n_chars") % 3 == 0, F.concat("source", "lang"))), ("size", F.when((F.col("n_chars") % 3 == 1) | (F.col("doc_id") % 50 == 0), F.concat(F.lit("n"), "n_chars"))), ("lang", F.col("lang"))
+    ]
+
+
+@query("C2_cascade_cluster", _CASCADE + """,
+    a AS (SELECT *, CASE WHEN k1 IS NOT NULL AND count(*) OVER (PARTITION BY k1) >= 2 THEN k1 END AS c1 FROM d),
+    b AS (SELECT *, CASE WHEN c1 IS NULL AND k2 IS NOT NULL AND count(*) FILTER (c1 IS NULL) OVER (PARTITION BY k2) >= 2 THEN k2 END AS c2 FROM a),
+    c AS (SELECT *, CASE WHEN c1 IS NULL AND c2 IS NULL AND count(*) FILTER (c1 IS NULL AND c2 IS NULL) OVER (PARTITION BY k3) >= 2 THEN k3 END AS c3 FROM b)
+    SELECT doc_id, CASE WHEN c1 IS NOT NULL THEN 'exact' WHEN c2 IS NOT NULL THEN 'size' WHEN c3 IS NOT NULL THEN 'lang' END AS rule, coalesce(c1, c2, c3) AS cluster_key FROM c""")
+def cascade_cluster(t: Tables) -> DataFrame:
+    return cluster.cascade(t.documents.select("doc_id", "n_chars", "source", "lang"), _cascade_keys()).select("doc_id", "rule", "cluster_key")
+
+
+@query("C3_stateless_key", _CASCADE + """
+    SELECT doc_id, CASE WHEN k1 IS NOT NULL THEN 'exact' WHEN k2 IS NOT NULL THEN 'size' ELSE 'lang' END AS rule, coalesce(k1, k2, k3) AS cluster_key FROM d""")
+def stateless_key(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", cluster.stateless_key(_cascade_keys()).alias("k")).select("doc_id", "k.rule", "k.cluster_key")
+
+
+@query("C10_merged_fingerprints", """
+    SELECT n_nationkey, CASE WHEN n_regionkey = 0 AND n_nationkey % 2 = 0 THEN (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 0 AND n_nationkey % 2 = 0) ELSE n_nationkey END AS root FROM nation""")
+def merged_fingerprints(t: Tables) -> DataFrame:
+    alike = (F.col("n_regionkey") == 0) & (F.col("n_nationkey") % 2 == 0)
+    labels = F.when(alike, F.array(F.lit("Are you authorized to work"))).otherwise(F.array(F.concat(F.lit("q "), "n_name")))
+    groups = t.nation.select("n_nationkey", "n_regionkey", F.lit("").alias("id_pattern"), labels.alias("labels"))
+    from corvane.sources.sinks import ensure_checkpoints
+
+    ensure_checkpoints(t.spark)
+    return cluster.merged_fingerprints(groups, "n_nationkey", ["n_regionkey"], "id_pattern", "labels")
+
+
+@query("A13_A14_fingerprint_threshold", """
+    WITH g AS (SELECT event_type, user_id % 7 AS bucket, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT greatest(3, ceil(0.02 * count(*)))::BIGINT AS threshold FROM events)
+    SELECT event_type, bucket, n, threshold, n >= threshold AS is_class FROM g, t""")
+def fingerprint_threshold(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("bucket", F.col("user_id") % 7)
+    return cluster.thresholded(rows, ["event_type", "bucket"], t.events.count())
+
+
+_FIELDS = """
+    SELECT p_partkey, CASE WHEN p_size % 11 = 1 THEN 'hidden' ELSE 'text' END AS itype, CASE p_size % 9 WHEN 0 THEN 'email-12' WHEN 1 THEN 'edit-url' WHEN 2 THEN 'gclid' ELSE 'question_' || p_size END AS id,
+    CASE WHEN p_size % 13 = 0 THEN 'given-name' ELSE '' END AS ac,
+    CASE p_size % 7 WHEN 0 THEN 'Last Name*' WHEN 1 THEN 'Phonetic phone name' WHEN 2 THEN 'Mobile number' WHEN 3 THEN '' WHEN 4 THEN 'If other, please specify' WHEN 5 THEN p_name ELSE 'Expected salary' END AS label,
+    CASE WHEN p_size % 2 = 0 THEN 'Your e-mail' ELSE '' END AS placeholder, CASE WHEN p_size % 5 = 0 THEN 'LinkedIn profile' ELSE 'GitHub link 14' END AS section, 'where is your portfolio' AS nearby, p_size % 3 = 0 AS req FROM part"""
+
+
+@query("C1_field_interpreter", f"""
+    WITH f AS ({_FIELDS}), l AS (SELECT *, lower(label) AS low, trim(label) = '' AS no_label, trim(placeholder) = '' AS no_place, regexp_replace(id, '[-_]{{1,2}}\\d+$', '') AS stem FROM f),
+    s AS (SELECT *, CASE WHEN id = 'edit-url' THEN 'honeypot' WHEN itype = 'hidden' AND id = 'gclid' THEN 'hidden_tracking_field' WHEN itype = 'hidden' THEN 'hidden_non_interactive_field'
+        WHEN no_label AND no_place AND itype = 'text' AND req THEN 'react_select_required_shim' WHEN label LIKE 'If other, please specify%' THEN 'other_followup' END AS structural,
+        CASE WHEN ac = 'given-name' THEN 'first_name' END AS t1, CASE WHEN stem = 'email' THEN 'email' END AS t2,
+        CASE WHEN low = 'last name*' THEN 'last_name' WHEN low = 'mobile number' THEN 'phone' WHEN low = 'expected salary' THEN 'compensation' END AS t3,
+        CASE WHEN no_label AND NOT no_place THEN 'email' END AS t4, CASE WHEN no_label AND no_place AND length(section) >= 15 THEN 'linkedin' END AS t5, CASE WHEN no_label AND no_place THEN 'portfolio' END AS t6 FROM l)
+    SELECT p_partkey, CASE WHEN structural IS NULL THEN coalesce(t1, t2, t3, t4, t5, t6) END AS category,
+        CASE WHEN structural IS NOT NULL THEN structural WHEN t1 IS NOT NULL THEN 'autocomplete' WHEN t2 IS NOT NULL THEN 'id' WHEN t3 IS NOT NULL THEN 'label' WHEN t4 IS NOT NULL THEN 'placeholder' WHEN t5 IS NOT NULL THEN 'section' WHEN t6 IS NOT NULL THEN 'nearby_text' END AS tier
+    FROM s""")
+def field_interpreter(t: Tables) -> DataFrame:
+    t.part.createOrReplaceTempView("__part")
+    fields = t.spark.sql(_FIELDS.replace("FROM part", "FROM __part"))
+    return classify.interpret(fields.withColumn("tag", F.lit("input"))).select("p_partkey", "category", "tier")
+
+
+@query("C4_C5_capability_map", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'email' WHEN 1 THEN NULL ELSE NULL END AS capability FROM part")
+def capability_map(t: Tables) -> DataFrame:
+    category = F.when(F.col("p_size") % 3 == 0, "email_address").when(F.col("p_size") % 3 == 1, "current_company").otherwise("never_heard_of")
+    return t.part.select("p_partkey", classify.capability(category, {"email_address": "email", "current_company": "x"}, ["current_company"]).alias("capability"))
+
+
+@query("C6_consent_policy", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'decline' END AS answer FROM part")
+def consent_policy(t: Tables) -> DataFrame:
+    topic = F.when(F.col("p_size") % 3 == 0, "privacy_notice").when(F.col("p_size") % 3 == 1, "marketing_texts").otherwise("unknown_topic")
+    return t.part.select("p_partkey", classify.capability(topic, {"privacy_notice": "accept", "marketing_texts": "decline"}, []).alias("answer"))
+
+
+@query("C7_discovery_cascade", """
+    WITH c AS (SELECT c_custkey AS company_id, c_name, 'slug-' || c_custkey AS slug FROM customer WHERE c_custkey % 2 = 0),
+    s AS (SELECT c_custkey AS id, c_name, c_custkey FROM customer)
+    SELECT id, CASE WHEN c_custkey % 2 = 0 THEN 'already_known' WHEN c_custkey % 3 = 0 THEN 'already_known' WHEN c_custkey % 5 = 0 THEN 'queued_manual' WHEN c_custkey % 7 = 0 THEN 'queued_manual' ELSE 'added' END AS result,
+           CASE WHEN c_custkey % 2 = 0 THEN c_custkey WHEN c_custkey % 3 = 0 THEN c_custkey - 1 END AS company_id,
+           CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'unknown_ats' WHEN c_custkey % 7 = 0 THEN 'known_ats_unclear_slug' END AS bucket,
+           CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE 'own-' || c_custkey END AS slug FROM s WHERE c_custkey > 1""")
+def discovery_cascade(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    companies = t.customer.where("c_custkey % 2 = 0").select(key.alias("company_id"), F.upper("c_name").alias("company_name"), F.concat(F.lit("slug-"), key).alias("slug"))
+    staged = t.customer.where("c_custkey > 1").select(
+        key.alias("id"), F.col("c_name").alias("company_name"),
+        F.array(F.when(key % 3 == 0, F.concat(F.lit("slug-"), key - 1)).otherwise(F.concat(F.lit("own-"), key))).alias("candidates"), F.lit("x.example").alias("domain"),
+        F.when(key % 5 != 0, "https://x.example/jobs").alias("career_url"), F.when(key % 7 == 0, "workday").otherwise("lever").alias("ats"), F.lit(None).cast("string").alias("slug"),
+    )
+    return classify.discover(staged, companies)
+
+
+@query("C8_classify_once", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'metal' ELSE 'other' END AS label FROM part")
+def classify_once(t: Tables) -> DataFrame:
+    own = lambda c: F.when(F.contains(F.lower(c), F.lit("steel")), "metal").otherwise("other")
+    return classify.classify_once(t.part, "p_type", own).select("p_partkey", "label")
+
+
+@query("C9_fix_routing", """
+    SELECT event_id, CASE WHEN event_type NOT IN ('error', 'click') THEN 'no_generalized_fix' WHEN event_id % 3 = 0 THEN 'needs_human_decision' WHEN event_id % 3 = 1 THEN 'no_generalized_fix'
+    WHEN event_id % 2 = 0 THEN 'needs_human_decision' ELSE 'proposed_fix' END AS route FROM events""")
+def fix_routing(t: Tables) -> DataFrame:
+    reason = F.when(F.col("event_type").isin("error", "click"), "CLASSIFICATION_NO_MATCH").otherwise("FILL_FAILED")
+    category = F.when(F.col("event_id") % 3 != 0, "email")
+    term = F.when(F.col("event_id") % 3 == 2, "work")
+    return t.events.select("event_id", classify.route_fix(reason, category, term, F.col("event_id") % 2 == 1).alias("route"))
+
+
+@query("C11_decision_precedence", """
+    WITH d AS (SELECT user_id AS k, event_type AS action, event_id AS value, event_id AS rank, event_id % 4 = 0 AS orig FROM events),
+    keep AS (SELECT * FROM d WHERE orig OR k NOT IN (SELECT k FROM d WHERE orig))
+    SELECT k AS key, action, arg_max(value, rank) AS value FROM keep GROUP BY k, action""")
+def decision_precedence(t: Tables) -> DataFrame:
+    rows = t.events.selectExpr("user_id AS key", "event_type AS action", "event_id AS value", "event_id AS source_rank", "event_id % 4 = 0 AS in_original")
+    return classify.decided(rows).select("key", "action", "value")
+
+
+@query("C12_harness_outcome", """
+    SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'skipped_blocked' WHEN event_type = 'view' THEN 'timeout' WHEN event_type = 'signup' THEN 'no_job_available' WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'failed'
+    WHEN event_id % 2 = 0 THEN 'mechanically_verified' WHEN event_type = 'click' THEN 'needs_review_non_submit' ELSE 'failed' END AS outcome, (event_id % 3)::INT AS n_attempts FROM events""")
+def harness_outcome(t: Tables) -> DataFrame:
+    phase = F.when(F.col("event_type") == "view", "timeout").when(F.col("event_type") == "signup", "no_job").when(F.col("event_type") == "click", "awaiting_review").otherwise("filling")
+    outcome = classify.harness_outcome(phase, F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 3 == 0, 1).otherwise(0), F.col("event_id") % 11 == 0)
+    line = F.lit("t=1 category=email label=Your e-mail status=landed")
+    log = F.concat(F.array(F.lit("started")), F.array_repeat(line, (F.col("event_id") % 3).cast("int")))
+    return t.events.select("event_id", outcome.alias("outcome"), F.size(classify.attempts_in_log(log)).alias("n_attempts"))
+
+
+@query("X_company_suffix_slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def company_suffix_slugs(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", text.slug_of_name(F.col("p_brand")).alias("slug"))
