@@ -1,0 +1,93 @@
+"""Streams over the supplied files, run to their end; each must give what the batch does."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.plans.base import Tables, query
+from corvane.sources.sinks import ensure_checkpoints
+from corvane.streaming import streams
+
+
+def _folder(t: Tables, name: str) -> str:
+    ensure_checkpoints(t.spark)
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _events(t: Tables) -> DataFrame:
+    return streams.file_stream(t.spark, f"{t.folder}/event[s].parquet")
+
+
+@query("ST1_high_water_mark", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-10'")
+def high_water_mark(t: Tables) -> DataFrame:
+    folder = _folder(t, "high-water")
+    cursor = streams.Versions(t.spark, f"{folder}/cursor", "at timestamp")
+    start = t.spark.sql("SELECT TIMESTAMP '2024-01-10' AS at")
+    cursor.write(start, 0)
+    stream = _events(t).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.above_high_water(stream, folder, "ts", cursor)
+
+
+@query("ST2_ST6_insert_once", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def insert_once(t: Tables) -> DataFrame:
+    folder = _folder(t, "insert")
+    state = streams.Versions(t.spark, f"{folder}/state", "event_id bigint, user_id bigint")
+    return streams.insert_once(_events(t).select("event_id", "user_id"), folder, ["user_id"], state).select("user_id", "event_id")
+
+
+@query("ST3_stream_payload_change", """
+    WITH h AS (SELECT user_id, event_id, sha256(event_type) AS payload_hash FROM events)
+    SELECT *, lag(payload_hash) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM payload_hash AS changed FROM h""")
+def stream_payload_change(t: Tables) -> DataFrame:
+    rows = _events(t).select("user_id", "event_id", F.sha2("event_type", 256).alias("payload_hash"))
+    return streams.run_to_table(streams.payload_changes(rows, "user_id", "event_id", "payload_hash"), _folder(t, "payload"), "changes")
+
+
+@query("ST4_stream_failure_counter", """
+    WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
+    s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i)
+    SELECT user_id, arg_max(streak, (ts, event_id)) AS failures, max(streak) < 5 AS is_active FROM s GROUP BY user_id""")
+def stream_failure_counter(t: Tables) -> DataFrame:
+    found = streams.failure_counters(_events(t).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", ["error"], ["purchase"], 5)
+    return streams.run_to_table(found, _folder(t, "counter"), "counters")
+
+
+@query("ST5_stream_breaker", """
+    WITH i AS (SELECT *, user_id % 10 AS run, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
+    s AS (SELECT *, sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS b FROM i WINDOW w AS (PARTITION BY run, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT run, arg_max(a, (ts, event_id)) AS block_streak, arg_max(b, (ts, event_id)) AS page_block_streak, max(b) >= 3 OR arg_max(a, (ts, event_id)) >= 10 AS should_halt FROM s GROUP BY run""")
+def stream_breaker(t: Tables) -> DataFrame:
+    rows = _events(t).select((F.col("user_id") % 10).alias("run"), "ts", "event_id", "event_type")
+    found = streams.breakers(rows, "run", ["ts", "event_id"], "event_type", ["error"], ["error", "click"], ["purchase", "signup"])
+    return streams.run_to_table(found, _folder(t, "breaker"), "breakers")
+
+
+@query("ST6_stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_distinct(t: Tables) -> DataFrame:
+    rows = _events(t).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    found = streams.run_to_table(streams.distinct_within(rows, "ts", ["user_id", "event_type"], "10 days"), _folder(t, "distinct"), "rows")
+    return found.select("user_id", "event_type")
+
+
+@query("ST7_since_checkpoint", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-12'")
+def since_checkpoint(t: Tables) -> DataFrame:
+    rows = streams.since_checkpoint(_events(t), "ts", F.lit("2024-01-12").cast("timestamp")).select("event_id")
+    return streams.run_to_table(rows, _folder(t, "since"), "rows")
+
+
+@query("ST8_windowed_counts")
+def windowed_counts(t: Tables) -> DataFrame:
+    rows = _events(t).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    found = streams.run_to_table(streams.windowed_counts(rows, "ts", "1 day", "event_type", "1 hour"), _folder(t, "windows"), "counts")
+    return found.select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+@query("ST9_expiring_leases")
+def expiring_leases(t: Tables) -> DataFrame:
+    event = F.when(F.col("event_type") == "purchase", "release").otherwise("lease")
+    rows = _events(t).select("user_id", F.col("ts").cast("timestamp").alias("ts"), event.alias("event"))
+    return streams.run_to_table(streams.expiring_leases(rows, "user_id", "ts", "event", 10), _folder(t, "leases"), "rows")
