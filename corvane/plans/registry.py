@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluating, lifecycles, matching, relational, states, streams, texts
+from corvane.plans import evaluating, landed, lifecycles, matching, relational, states, streams, texts
 from corvane.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "J8_hard_filter_match"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "evaluating", "lifecycles", "matching", "relational", "states", "streams", "texts"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "evaluating", "landed", "lifecycles", "matching", "relational", "states", "streams", "texts"]

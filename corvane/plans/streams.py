@@ -27,7 +27,7 @@ def high_water_mark(t: Tables) -> DataFrame:
     folder = _folder(t, "high-water")
     cursor = streams.Versions(t.spark, f"{folder}/cursor", "at timestamp")
     start = t.spark.sql("SELECT TIMESTAMP '2024-01-10' AS at")
-    cursor.write(start, 0)
+    cursor.write(start)
     stream = _events(t).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return streams.above_high_water(stream, folder, "ts", cursor)
 

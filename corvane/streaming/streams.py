@@ -37,19 +37,24 @@ def run_batches(stream: DataFrame, folder: str, name: str, act: Callable[[DataFr
 
 
 class Versions:
-    """A table in numbered versions: readers see the last that is whole."""
+    """A table in numbered versions: readers see the last that is whole, also after a restart."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema, self.last = spark, path, schema, -1
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def last(self) -> int:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+        return max((int(f.getPath().getParent().getName()) for f in found or []), default=-1)
 
     def read(self) -> DataFrame:
-        if self.last < 0:
+        last = self.last()
+        if last < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.last}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{last}")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{version}")
-        self.last = version
+    def write(self, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{self.last() + 1}")
 
 
 def above_high_water(stream: DataFrame, folder: str, column: str, cursor: Versions) -> DataFrame:
@@ -61,7 +66,7 @@ def above_high_water(stream: DataFrame, folder: str, column: str, cursor: Versio
         batch = batch.crossJoin(F.broadcast(held)).where(F.col("__at").isNull() | (F.col(column) > F.col("__at"))).drop("__at")
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
         written = spark.read.schema(stream.schema).parquet(f"{out}/batch={number}")
-        cursor.write(cursor.read().unionByName(written.agg(F.max(column).alias("at"))).agg(F.max("at").alias("at")), number)
+        cursor.write(cursor.read().unionByName(written.agg(F.max(column).alias("at"))).agg(F.max("at").alias("at")))
 
     run_batches(stream, folder, "high-water", act)
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
@@ -73,7 +78,7 @@ def insert_once(stream: DataFrame, folder: str, keys: list[str], state: Versions
 
     def act(batch: DataFrame, number: int) -> None:
         columns = [F.col(c) for c in batch.columns]
-        state.write(insert_if_absent(state.read(), batch, keys, columns), number)
+        state.write(insert_if_absent(state.read(), batch, keys, columns))
 
     run_batches(stream, folder, "insert", act)
     return state.read()
