@@ -91,6 +91,7 @@ class Tokenizer:
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN, end: int = END):
         self.ranks, self.pattern, self.end, self._made = ranks, pattern, end, None
+        self.width = 2 if end < 1 << 16 and len(ranks.splitlines()) <= 1 << 16 else 4
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": None}
@@ -104,13 +105,10 @@ class Tokenizer:
             self._made = tiktoken.Encoding("shards", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
         return self._made
 
-    @property
-    def width(self) -> int:
-        return 2 if self.end < 1 << 16 and len(self.ranks.splitlines()) <= 1 << 16 else 4
-
     def encode(self, text: str) -> np.ndarray:
-        ids = np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()))
-        return np.append(ids, self.end).astype(f"<u{self.width}")
+        ids = self.encoding.encode_ordinary(text)
+        ids.append(self.end)
+        return np.array(ids, f"<u{self.width}")
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
