@@ -88,8 +88,11 @@ def apportion(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> D
             )
         ),
     ).withColumn("quotient", F.col("target") / (2 * F.col("s") + 1))
-    best = W.partitionBy("shard").orderBy(F.when(F.col("missing") < 0, F.col("quotient")).otherwise(-F.col("quotient")), F.col("source").asc_nulls_last(), "s")
-    ranked = quotients.where("s >= 0 AND NOT (missing < 0 AND first = 0)").withColumn("rank", F.row_number().over(best))
+    ahead = W.partitionBy("shard").orderBy(F.desc("quotient"), F.col("source").asc_nulls_last(), "s")
+    behind = W.partitionBy("shard").orderBy("quotient", F.col("source").desc_nulls_first(), F.desc("s"))
+    ranked = quotients.where("s >= 0 AND NOT (missing < 0 AND first = 0)").withColumn(
+        "rank", F.when(F.col("missing") > 0, F.row_number().over(ahead)).otherwise(F.row_number().over(behind))
+    )
     change = (
         ranked.where("rank <= abs(missing)").groupBy("source", "shard").agg(F.sum(F.signum("missing")).cast("long").alias("change"))
     )
