@@ -44,7 +44,7 @@ def breaker(
 
 def occurrence(df: DataFrame, keys: list[str], order: list[Column], name: str = "occurrence") -> DataFrame:
     """0, 1, 2, ... over the rows that share a key."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
 def content_versions(df: DataFrame, keys: list[str], order: list[Column], content: str) -> DataFrame:
@@ -52,7 +52,7 @@ def content_versions(df: DataFrame, keys: list[str], order: list[Column], conten
     spot = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     first = F.min("__spot").over(W.partitionBy(*keys, content))
     seen = df.withColumn("__spot", spot).withColumn("__first", first)
-    versions = seen.withColumn("version", F.dense_rank().over(W.partitionBy(*keys).orderBy("__first")))
+    versions = seen.withColumn("version", F.dense_rank().over(W.partitionBy(*keys).orderBy("__first")).cast("long"))
     return versions.withColumn("active", F.col("version") == F.max("version").over(W.partitionBy(*keys))).drop("__spot", "__first")
 
 

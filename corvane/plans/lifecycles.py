@@ -121,7 +121,7 @@ def drain(t: Tables) -> DataFrame:
 @query("L12_phase_sessions", """
     WITH b AS (SELECT *, CASE WHEN event_type = 'signup' OR lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS begins
                FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, user_id, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS attempt FROM b""")
+    SELECT event_id, user_id, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS attempt FROM b""")
 def phase_sessions(t: Tables) -> DataFrame:
     found = lifecycle.phase_sessions(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "ts", F.col("event_type") == "signup")
     return found.select("event_id", "user_id", "attempt")

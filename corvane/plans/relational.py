@@ -380,7 +380,7 @@ def latest_open(t: Tables) -> DataFrame:
 @query("W4_failure_streaks", """
     WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
     s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i)
-    SELECT event_id, user_id, streak, max(CASE WHEN streak >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS deactivated FROM s""")
+    SELECT event_id, user_id, streak::BIGINT AS streak, max(CASE WHEN streak >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS deactivated FROM s""")
 def failure_streaks(t: Tables) -> DataFrame:
     order = [F.col("ts"), F.col("event_id")]
     found = windows.streaks(t.events, ["user_id"], order, F.col("event_type") == "error", F.col("event_type") == "purchase")
@@ -392,7 +392,7 @@ def failure_streaks(t: Tables) -> DataFrame:
     s AS (SELECT *, sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END) OVER w AS block_streak, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS page_block_streak
           FROM i WINDOW w AS (PARTITION BY user_id % 10, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
     p AS (SELECT *, max(CASE WHEN page_block_streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS page_tripped FROM s)
-    SELECT event_id, block_streak, page_block_streak, page_tripped, page_tripped OR block_streak >= 10 AS should_halt, NOT page_tripped AND block_streak >= 4 AS early_checkpoint FROM p""")
+    SELECT event_id, block_streak::BIGINT AS block_streak, page_block_streak::BIGINT AS page_block_streak, page_tripped, page_tripped OR block_streak >= 10 AS should_halt, NOT page_tripped AND block_streak >= 4 AS early_checkpoint FROM p""")
 def circuit_breaker(t: Tables) -> DataFrame:
     found = windows.breaker(
         t.events.withColumn("run", F.col("user_id") % 10), ["run"], [F.col("ts"), F.col("event_id")], "event_type", F.col("event_type") == "error", ["error", "click"], ["purchase", "signup"], checkpoint_every=5

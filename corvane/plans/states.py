@@ -130,7 +130,7 @@ def latest_stage(t: Tables) -> DataFrame:
 @query("M6_M7_failure_counter", """
     WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
     s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i)
-    SELECT user_id, arg_max(streak, (ts, event_id)) AS failures, max(streak) < 5 AS is_active FROM s GROUP BY user_id""")
+    SELECT user_id, arg_max(streak, (ts, event_id))::BIGINT AS failures, max(streak) < 5 AS is_active FROM s GROUP BY user_id""")
 def failure_counter(t: Tables) -> DataFrame:
     from corvane.operators import windows
 

@@ -50,7 +50,7 @@ def stream_payload_change(t: Tables) -> DataFrame:
 @query("ST4_stream_failure_counter", """
     WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
     s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i)
-    SELECT user_id, arg_max(streak, (ts, event_id)) AS failures, max(streak) < 5 AS is_active FROM s GROUP BY user_id""")
+    SELECT user_id, arg_max(streak, (ts, event_id))::BIGINT AS failures, max(streak) < 5 AS is_active FROM s GROUP BY user_id""")
 def stream_failure_counter(t: Tables) -> DataFrame:
     found = streams.failure_counters(_events(t).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", ["error"], ["purchase"], 5)
     return streams.run_to_table(found, _folder(t, "counter"), "counters")
@@ -59,7 +59,7 @@ def stream_failure_counter(t: Tables) -> DataFrame:
 @query("ST5_stream_breaker", """
     WITH i AS (SELECT *, user_id % 10 AS run, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
     s AS (SELECT *, sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS b FROM i WINDOW w AS (PARTITION BY run, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-    SELECT run, arg_max(a, (ts, event_id)) AS block_streak, arg_max(b, (ts, event_id)) AS page_block_streak, max(b) >= 3 OR arg_max(a, (ts, event_id)) >= 10 AS should_halt FROM s GROUP BY run""")
+    SELECT run, arg_max(a, (ts, event_id))::BIGINT AS block_streak, arg_max(b, (ts, event_id))::BIGINT AS page_block_streak, max(b) >= 3 OR arg_max(a, (ts, event_id)) >= 10 AS should_halt FROM s GROUP BY run""")
 def stream_breaker(t: Tables) -> DataFrame:
     rows = _events(t).select((F.col("user_id") % 10).alias("run"), "ts", "event_id", "event_type")
     found = streams.breakers(rows, "run", ["ts", "event_id"], "event_type", ["error"], ["error", "click"], ["purchase", "signup"])
