@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -106,9 +107,12 @@ class Tokenizer:
         return self._made
 
     def encode(self, text: str) -> np.ndarray:
-        ids = self.encoding.encode_ordinary(text)
+        ids = array("H" if self.width == 2 else "I", self.encoding.encode_ordinary(text))
         ids.append(self.end)
-        return np.array(ids, f"<u{self.width}")
+        return np.frombuffer(ids, f"u{self.width}").astype(f"<u{self.width}", copy=False)
+
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text)) + 1
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -149,10 +153,10 @@ def read_slots(folder: str, begin: int, end: int, sequence: int = SEQUENCE, shar
         begin = upto
 
 
-def _segment(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int | None, np.ndarray]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
     for batch in batches:
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield row, tokenizer.encode(text or "")
+            yield row, text or ""
 
 
 def _digest(seen, row: int | None, n: int) -> None:
@@ -184,9 +188,10 @@ def token_shards(
         from pyspark import TaskContext
 
         total, seen = 0, hashlib.sha256()
-        for row, ids in _segment(batches, tokenizer.value):
-            total += len(ids)
-            _digest(seen, row, len(ids))
+        for row, text in _rows(batches):
+            size = tokenizer.value.count(text)
+            total += size
+            _digest(seen, row, size)
         yield pa.RecordBatch.from_pydict({"segment": [TaskContext.get().partitionId()], "n": [total], "digest": [seen.hexdigest()]})
 
     counted = {r["segment"]: r for r in texts.mapInArrow(count, "segment long, n long, digest string").collect()}
@@ -229,7 +234,8 @@ def token_shards(
             out.clear()
             return pa.RecordBatch.from_arrays(columns, ["task", "slot", "sequence", "at", "n", "data", "row_ids"])
 
-        for row, ids in _segment(batches, tokenizer.value):
+        for row, text in _rows(batches):
+            ids = tokenizer.value.encode(text)
             _digest(seen, row, len(ids))
             while len(ids):
                 room = sequence - (at + size) % sequence
