@@ -267,16 +267,18 @@ def is_technical(token: Column) -> Column:
 
 def format_issues(text: Column) -> Column:
     """What makes a text hard to read by machines, as a list of messages."""
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    n = F.regexp_count(text, F.lit(r"\S+"))
+    lines = F.split(text, "\n")  # line by line: patterns that begin anywhere in a long line take the square of its length
     low = F.lower(text)
-    found = F.filter(F.array(*map(F.lit, SECTIONS)), lambda s: F.contains(low, s))
-    missing = F.filter(F.array(*(F.lit(s) for s in sorted(SECTIONS))), lambda s: ~F.contains(low, s))
+    # Written out section by section: within a lambda, the lower-cased text would be made anew for each.
+    stated = lambda held: F.filter(F.array(*(F.when(F.contains(low, F.lit(s)) == held, s) for s in sorted(SECTIONS))), lambda s: s.isNotNull())
+    found, missing = stated(F.lit(True)), stated(F.lit(False))
     say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     issues = F.array(
         F.when(n < 200, say("too sparse: ", n.cast("string"), " words")).when(n > 1200, say("too long: ", n.cast("string"), " words")),
         F.when(F.size(found) < 3, say("sections found: ", F.size(found).cast("string"), "; missing: ", F.array_join(missing, ", "))),
-        F.when(text.rlike(r"(?m)\S[^\n]*\t{2,}[^\n]*\S"), "columns: tabs within a line"),
-        F.when(text.rlike(r"(?m)^[^\n]*\|[^\n]*\|"), "table: pipes within a line"),
+        F.when(F.exists(lines, lambda x: F.contains(F.btrim(x, F.lit(" \t\r\f\v")), F.lit("\t\t"))), "columns: tabs within a line"),
+        F.when(F.exists(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2), "table: pipes within a line"),
         F.when(text.rlike(r"(?im)\bpage\s+\d+\s+of\s+\d+\b|^[ \t]*-[ \t]*\d+[ \t]*-[ \t]*$"), "page number"),
     )
     return F.filter(issues, lambda i: i.isNotNull())
