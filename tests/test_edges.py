@@ -194,3 +194,19 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     for turn in range(2):
         got = streams.insert_once(streams.file_stream(spark, str(src)), str(tmp_path / f"run{turn}"), ["k"], state)
     assert rows(got) == [(1,), (2,)]
+
+
+def test_windowed_counts_are_the_batch_counts_of_closed_windows(spark, tmp_path):
+    src = tmp_path / "in"
+    rows_ = [("a", "2024-01-01 01:00:00"), ("a", "2024-01-01 23:00:00"), ("b", "2024-01-02 05:00:00"), ("a", "2024-01-04 00:00:00")]
+    spark.createDataFrame(rows_, "k string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(str(src))
+    found = streams.run_to_table(streams.windowed_counts(streams.file_stream(spark, str(src)), "at", "1 day", "k", "1 hour"), str(tmp_path / "out"), "c")
+    assert sorted((str(r.window.start), r.k, r.n) for r in found.collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-02 00:00:00", "b", 1)]
+
+
+def test_leases_expire_or_are_released(spark, tmp_path):
+    src = tmp_path / "in"
+    rows_ = [("a", "lease", "2024-01-01 00:00:00"), ("b", "lease", "2024-01-01 00:00:00"), ("b", "release", "2024-01-01 00:05:00"), ("c", "lease", "2024-01-01 02:00:00")]
+    spark.createDataFrame(rows_, "k string, e string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(str(src))
+    found = streams.run_to_table(streams.expiring_leases(streams.file_stream(spark, str(src)), "k", "at", "e", 10), str(tmp_path / "out"), "c")
+    assert {(r.k, r.status) for r in found.collect()} == {("a", "leased"), ("a", "lease_expired"), ("b", "released"), ("c", "leased")}
