@@ -17,7 +17,7 @@ from corvane.llm import toxicity
 from corvane.llm.common import Workspace
 from corvane.llm.decontaminate import contaminated, decontaminate
 from corvane.llm.mixing import mix
-from corvane.llm.simhash import simhash_groups
+from corvane.llm.near_copies import near_copies
 from corvane.llm.token_shards import token_shards
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,8 +55,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
-    groups = simhash_groups(spark, docs)
+    """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays."""
+    groups = near_copies(spark, docs)
     return _without(docs, groups.where(~F.col("row_id").eqNullSafe(F.col("component_id"))))
 
 
