@@ -175,8 +175,8 @@ def technical_terms(t: Tables) -> DataFrame:
 
 @query("X18_keyword_inject")
 def keyword_inject(t: Tables) -> DataFrame:
-    terms = F.filter(text.keywords(F.substring("text", 1, 300)), lambda k: text.is_technical(k))
-    return t.documents.select("doc_id", text.inject_keywords(F.concat(F.lit("Skills: SQL\n"), F.substring("text", 1, 300)), terms).alias("text"))
+    terms = F.filter(text.keywords(F.col("text")), lambda k: text.is_technical(k))
+    return t.documents.select("doc_id", text.inject_keywords(F.concat(F.lit("Skills: SQL\n"), F.col("text")), terms).alias("text"))
 
 
 @query("X19_format_lint", r"""
@@ -193,7 +193,7 @@ def format_lint(t: Tables) -> DataFrame:
 @query("X20_bullet_rewrites")
 def bullet_rewrites(t: Tables) -> DataFrame:
     change = F.array(F.struct(F.lit("* the").alias("old"), F.lit("this").alias("new")), F.struct(F.lit("and ").alias("old"), F.lit("or ").alias("new")))
-    return t.documents.select("doc_id", text.apply_rewrites(F.substring("text", 1, 300), change).alias("text"))
+    return t.documents.select("doc_id", text.apply_rewrites(F.col("text"), change).alias("text"))
 
 
 @query("X21_json_in_text", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS found FROM events")
