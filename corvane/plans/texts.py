@@ -143,7 +143,7 @@ def ats_of_url(t: Tables) -> DataFrame:
     SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'lever' WHEN 1 THEN 'greenhouse' END AS ats, CASE page_id % 3 WHEN 0 THEN 'acme' || page_id END AS slug FROM pages""")
 def ats_of_page(t: Tables) -> DataFrame:
     added = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a href="https://jobs.lever.co/Acme'), "page_id", F.lit('/1">'))).when(F.col("page_id") % 3 == 1, "<p>boards.greenhouse.io</p>").otherwise("")
-    found = t.pages.select("page_id", text.ats_of_page(F.concat(F.substring("html", 1, 200), added)).alias("d"))
+    found = t.pages.select("page_id", text.ats_of_page(F.concat("html", added)).alias("d"))
     return found.select("page_id", F.col("d.ats").alias("ats"), F.col("d.slug").alias("slug"))
 
 

@@ -33,3 +33,8 @@ def test_bullets_are_rewritten_in_whole_texts(run):
     rows = [(1, LONG + "\n* the end and more"), (2, "a and b")]
     found = run("X20_bullet_rewrites", documents=(rows, "doc_id long, text string"))
     assert found == [(i, text.rewrite(t, [("* the", "this"), ("and ", "or ")])) for i, t in rows]
+
+
+def test_signs_are_sought_in_whole_pages(run):
+    rows = [(2, "<p>" + LONG + '<a href="https://jobs.lever.co/Late/1">')]
+    assert run("X14_ats_of_page", pages=(rows, "page_id long, html string")) == [(2, "lever", "late")]
