@@ -41,7 +41,7 @@ def thresholded(rows: DataFrame, fingerprint: list[str], processed: int | Column
     return groups.withColumn("threshold", bar.cast("long")).withColumn("is_class", F.col("n") >= F.col("threshold"))
 
 
-def merged_fingerprints(groups: DataFrame, key: str, block: list[str], id_pattern: str, labels: str, least: float = 0.6, rounds: int = 20) -> DataFrame:
+def merged_fingerprints(groups: DataFrame, key: str, block: list[str], id_pattern: str, labels: str, least: float = 0.6) -> DataFrame:
     """Fingerprints of a block whose labels are alike on average, where their id patterns don't differ, get the root
     of the first of them; transitive. Groups are few: one row a fingerprint, joined within blocks only."""
     a, b = groups.alias("a"), groups.alias("b")
@@ -56,7 +56,7 @@ def merged_fingerprints(groups: DataFrame, key: str, block: list[str], id_patter
     edges = a.join(b, condition).where(mean >= least).select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"))
     both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
     roots = groups.select(F.col(key).alias("node"), F.col(key).alias("root"))
-    for _ in range(rounds):
+    while True:
         near = both.join(roots, both.y == roots.node).groupBy("x").agg(F.min("root").alias("near"))
         after = roots.join(near, roots.node == near.x, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root")).checkpoint()
         if after.join(roots, ["node", "root"], "left_anti").isEmpty():

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import text
+from corvane.operators import cluster
 from corvane.plans import registry
 
 
@@ -38,3 +40,12 @@ def test_bullets_are_rewritten_in_whole_texts(run):
 def test_signs_are_sought_in_whole_pages(run):
     rows = [(2, "<p>" + LONG + '<a href="https://jobs.lever.co/Late/1">')]
     assert run("X14_ats_of_page", pages=(rows, "page_id long, html string")) == [(2, "lever", "late")]
+
+
+def test_long_chains_of_fingerprints_have_one_root(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, "b", "", [" ".join(words[k : k + 9])]) for k in range(50)]  # each alike only to those one or two on
+    groups = spark.createDataFrame(rows, "k int, block string, pattern string, labels array<string>")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    found = cluster.merged_fingerprints(groups, "k", ["block"], "pattern", "labels").select(F.min("root"), F.max("root"), F.count("root")).first()
+    assert tuple(found) == (0, 0, 50)
