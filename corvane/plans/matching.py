@@ -80,6 +80,13 @@ def jaccard_best_match(t: Tables) -> DataFrame:
     return joins.best_similar(rows(1, "left_key"), rows(2, "right_key").withColumnRenamed("ts", "us"), "left_key", "right_key", "ts", "us", 0.6)
 
 
+@query("J14_jaccard_best_match_whole")
+def jaccard_best_match_whole(t: Tables) -> DataFrame:
+    """All documents against all benchmark items; comparing all pairs in SQL is too slow, so tests compare with brute force."""
+    words = lambda df, key, name: df.select(F.col(key), matching.tokens(F.col("text")).alias(name))
+    return joins.best_similar(words(t.documents, "doc_id", "ts"), words(t.benchmark, "item_id", "us"), "doc_id", "item_id", "ts", "us", 0.6)
+
+
 @query("J15_paired_top5", """
     WITH g AS (SELECT DISTINCT o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS cat FROM orders WHERE o_custkey % 3 = 0),
     e AS (SELECT * FROM orders WHERE o_custkey % 3 = 1)

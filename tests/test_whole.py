@@ -49,3 +49,14 @@ def test_long_chains_of_fingerprints_have_one_root(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     found = cluster.merged_fingerprints(groups, "k", ["block"], "pattern", "labels").select(F.min("root"), F.max("root"), F.count("root")).first()
     assert tuple(found) == (0, 0, 50)
+
+
+def test_similar_items_of_any_id_are_found(run):
+    docs = [(k, " ".join(f"w{(k * 7 + i) % 40}" for i in range(8)) + " tail" * (k % 2)) for k in range(30)]
+    items = [(k, " ".join(f"w{(k * 5 + i) % 40}" for i in range(9))) for k in range(30)]
+    sets = lambda rows: {k: set(t.split()) for k, t in rows}
+    want = []
+    for k, a in sets(docs).items():
+        score, least = max((len(a & b) / len(a | b), -i) for i, b in sets(items).items())
+        want += [(k, -least, score)] if score >= 0.6 else []
+    assert want and run("J14_jaccard_best_match_whole", documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string")) == want
