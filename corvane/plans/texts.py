@@ -173,6 +173,15 @@ def technical_terms(t: Tables) -> DataFrame:
     return words.groupBy("doc_id").agg(F.count(F.when(text.is_technical(F.col("w")), 1)).alias("n"))
 
 
+@query("X17_technical_terms_whole", f"""
+    WITH w AS (SELECT doc_id, unnest(array_distinct(string_split(text, ' '))) AS w FROM documents)
+    SELECT doc_id, count(*) FILTER (lower(w) IN ({_quoted(text.TECHNOLOGIES)}) OR contains(w, '-') OR (upper(w) = w AND lower(w) <> w AND length(w) >= 2) OR regexp_matches(w, '[0-9]')
+           OR regexp_matches(lower(w), '(?:{"|".join(text.TECH_ENDINGS)})$')) AS n FROM w GROUP BY doc_id""")
+def technical_terms_whole(t: Tables) -> DataFrame:
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    return words.groupBy("doc_id").agg(F.count(F.when(text.is_technical(F.col("w")), 1)).alias("n"))
+
+
 @query("X18_keyword_inject")
 def keyword_inject(t: Tables) -> DataFrame:
     terms = F.filter(text.keywords(F.col("text")), lambda k: text.is_technical(k))

@@ -60,3 +60,7 @@ def test_similar_items_of_any_id_are_found(run):
         score, least = max((len(a & b) / len(a | b), -i) for i, b in sets(items).items())
         want += [(k, -least, score)] if score >= 0.6 else []
     assert want and run("J14_jaccard_best_match_whole", documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string")) == want
+
+
+def test_technical_terms_late_in_a_text_count(run):
+    assert run("X17_technical_terms_whole", documents=([(1, LONG + "real-time")], "doc_id long, text string")) == [(1, 1)]
