@@ -164,6 +164,18 @@ def keyword_presence(t: Tables) -> DataFrame:
     return rows.select("item_id", F.size(split["present"]).alias("n_present"), F.size("ks").alias("n_all"))
 
 
+@query("X16_keyword_presence_whole", f"""
+    WITH k AS (SELECT conv_id, turn, array_distinct({_KEYWORDS}) AS ks FROM conversations),
+    p AS (SELECT k.*, lower(c.text) AS low FROM k JOIN conversations c ON c.conv_id = k.conv_id AND c.turn = k.turn + 1)
+    SELECT conv_id, turn, len(list_filter(ks, lambda x: contains(low, x) OR (contains(x, '-') AND contains(low, replace(x, '-', ' ')))))::INT AS n_present, len(ks)::INT AS n_all FROM p""")
+def keyword_presence_whole(t: Tables) -> DataFrame:
+    """Each turn's keywords in the whole text of the next turn."""
+    asked = t.conversations.select("conv_id", "turn", text.keywords(F.col("text")).alias("ks"))
+    said = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
+    rows = asked.join(said, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.size(text.keyword_split(F.col("ks"), F.col("body"))["present"]).alias("n_present"), F.size("ks").alias("n_all"))
+
+
 @query("X17_technical_terms", f"""
     WITH w AS (SELECT doc_id, unnest(array_distinct(string_split(substr(text, 1, 400), ' '))) AS w FROM documents)
     SELECT doc_id, count(*) FILTER (lower(w) IN ({_quoted(text.TECHNOLOGIES)}) OR contains(w, '-') OR (upper(w) = w AND lower(w) <> w AND length(w) >= 2) OR regexp_matches(w, '[0-9]')

@@ -64,3 +64,8 @@ def test_similar_items_of_any_id_are_found(run):
 
 def test_technical_terms_late_in_a_text_count(run):
     assert run("X17_technical_terms_whole", documents=([(1, LONG + "real-time")], "doc_id long, text string")) == [(1, 1)]
+
+
+def test_keywords_late_in_a_text_are_present(run):
+    rows = [("a", 0, "kubernetes"), ("a", 1, LONG + "kubernetes")]
+    assert run("X16_keyword_presence_whole", conversations=(rows, "conv_id string, turn long, text string")) == [("a", 0, 1, 1)]
