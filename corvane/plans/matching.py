@@ -99,6 +99,19 @@ def paired_top5(t: Tables) -> DataFrame:
     return found.select("o_orderpriority", F.col("__category").alias("wanted"), "o_orderkey")
 
 
+@query("J15_paired_top5_whole", """
+    WITH g AS (SELECT DISTINCT o_orderpriority, nullif(month(o_orderdate), 12) AS cat FROM orders WHERE o_orderstatus = 'F'),
+    e AS (SELECT o_orderpriority, o_orderkey, month(o_orderdate) AS m FROM orders WHERE o_orderstatus <> 'F')
+    SELECT o_orderpriority, cat AS wanted, o_orderkey FROM (SELECT g.*, e.o_orderkey, row_number() OVER (PARTITION BY g.o_orderpriority, g.cat ORDER BY e.o_orderkey) AS k
+    FROM g JOIN e USING (o_orderpriority) WHERE g.cat IS NULL OR g.cat = e.m) WHERE k <= 5""")
+def paired_top5_whole(t: Tables) -> DataFrame:
+    """Orders of status F ask, all others are the examples; the month is the category, December not stated."""
+    groups = t.orders.where("o_orderstatus = 'F'").selectExpr("o_orderpriority", "nullif(month(o_orderdate), 12) AS month").distinct()
+    examples = t.orders.where("o_orderstatus <> 'F'").selectExpr("o_orderpriority", "month(o_orderdate) AS month", "o_orderkey")
+    found = joins.paired_examples(groups, examples, ["o_orderpriority"], "month", "o_orderkey")
+    return found.select("o_orderpriority", F.col("__category").alias("wanted"), "o_orderkey")
+
+
 @query("J16_longest_contained", """
     WITH e(key, answer, n) AS (VALUES ('steel', 'metal', 1), ('brushed', 'finish', 2), ('economy', 'cheap', 3), ('burnished', 'shine', 4), ('plated', 'coat', 5), ('polished', 'gloss', 6))
     SELECT p_partkey, key, answer FROM (SELECT p_partkey, e.*, row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, n) AS k FROM part JOIN e ON contains(lower(p_type), key) WHERE length(key) >= 6) WHERE k = 1""")

@@ -152,3 +152,12 @@ def snapshot_diff(t: Tables) -> DataFrame:
 
     rows = t.events.where("event_id % 5 = 0").select("event_id", F.from_json("props", "map<string,string>").alias("old"), F.create_map(F.lit("k"), F.lit("0")).alias("new"))
     return map_diff(rows, ["event_id"], "old", "new")
+
+
+@query("X_snapshot_diff_whole", """
+    SELECT event_id, 'k' AS entry, json_extract_string(props, '$.k') AS before, '0' AS after FROM events WHERE json_extract_string(props, '$.k') <> '0'""")
+def snapshot_diff_whole(t: Tables) -> DataFrame:
+    from corvane.operators.evaluate import map_diff
+
+    rows = t.events.select("event_id", F.from_json("props", "map<string,string>").alias("old"), F.create_map(F.lit("k"), F.lit("0")).alias("new"))
+    return map_diff(rows, ["event_id"], "old", "new")
