@@ -5,13 +5,13 @@ binary Golay code [23, 12, 7]. A segment's keys are the indices of the codewords
 changed, decodes to: one where it lies within two bits of its codeword, six where it lies at three. Two
 segments that differ in at most one bit so share a key. Of three errors over three segments, either some
 segment has none and another at most one (keys of a Golay index with an exact segment, six ordered pairs), or
-each has exactly one (keys of two Golay indices; above DEEP fingerprints of all three, which are rarer keys).
-No pair within three bits is missed.
+each has exactly one, and so in each segment one half is equal (eight keys of three halves). No pair within
+three bits is missed. Every key holds 31 bits or more, so the scheme is the same at every size.
 
 Copies share a fingerprint and count as one from the start. The keys of distinct fingerprints are dealt by
 hash and sorted; within equal keys, pairs are verified and at once reduced to spanning stars, so a key that
-many share gives fewer edges than it has fingerprints. A very long run is searched by exact 16-bit parts in
-tiles, in bounded memory. Components come from components.py.
+many share gives fewer edges than it has fingerprints. A long run is parted again and again by the bits that
+vary in it, one of four parts of which must be equal. Components come from components.py.
 
 Defined results: A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+, null counts as empty. Fewer words than a
 shingle: the whole sequence is the one shingle; none: the fingerprint is zero, linked like any other. A
@@ -21,7 +21,7 @@ null id is never the smallest of a component that has others. Repeated rows get
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -38,31 +38,35 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the [23, 12] Golay code.
 GENERATOR = 0b110001110101
-#: From so many distinct fingerprints, the keys of three single errors hold all three indices.
-DEEP = 1 << 24
+#: Runs of one key up to this length are compared pair by pair.
 RUN = 1024
 
 
-def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle, repeats included, in order."""
     if not words:
-        return 0
-    if len(words) < size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[s : e - 1], SEED) for s, e in zip(starts, ends[size - 1 :])]
+        return np.zeros(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return np.array([digest(line[s : e - 1], SEED) for s, e in zip([0, *ends], ends[size - 1 :])], np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """The fingerprint: bits set in over half the hashes; zero of none."""
     # Bits are counted a block of shingles at a time, so a long text needs no 64 times its size.
     counts = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
     for at in range(0, len(values), 1 << 15):
         block = values[at : at + (1 << 15)]
         counts += np.unpackbits(block.view(np.uint8), bitorder="little").reshape(len(block), 64).sum(0, dtype=np.int32)
     return int(np.packbits(2 * counts > len(values), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
+    return majority(shingle_hashes(words, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(row_id, fp): fp is the fingerprint's bits as a signed long."""
 
@@ -102,8 +106,8 @@ class Golay:
         return all_, np.concatenate([np.ones((len(words), 1), bool), all_[:, 1:] != all_[:, :-1]], 1)
 
 
-def golay_keys(fps: np.ndarray, golay: Golay, deep: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint) for every key of every fingerprint."""
+def golay_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fingerprint) for every key of every fingerprint: 40 each on average."""
     parts = [(fps >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     near = []
     for part, (_, n) in zip(parts, SEGMENTS):
@@ -115,43 +119,36 @@ def golay_keys(fps: np.ndarray, golay: Golay, deep: bool) -> tuple[np.ndarray, n
         row, index = near[x]
         keys.append((np.int64(1 + 3 * x + y) << 40) | index << 22 | parts[y][row])
         rows.append(row)
-    row, index = near[0]
-    for row_b, index_b in near[1 : 3 if deep else 2]:
-        begin = np.searchsorted(row_b, row)
-        count = np.searchsorted(row_b, row, "right") - begin
-        left = np.repeat(np.arange(len(row)), count)
-        right = np.repeat(begin, count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-        row, index = row[left], index[left] << 12 | index_b[right]
-    keys.append((np.int64(12) << 40) | index)
-    rows.append(row)
+    halves = [(part & 0x7FF, part >> 11) for part in parts]
+    for k, (a, b, c) in enumerate(product(*halves)):
+        keys.append((np.int64(16 + k) << 40) | a << 22 | b << 11 | c)
+        rows.append(np.arange(len(fps)))
     return np.concatenate(keys), fps[np.concatenate(rows)]
 
 
-def _tile_pairs(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges among fingerprints, compared tile by tile."""
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for i in range(0, len(fps), RUN):
-        for j in range(i, len(fps), RUN):
-            x, y = np.nonzero(np.bitwise_count(fps[i : i + RUN, None] ^ fps[None, j : j + RUN]) <= most)
-            keep = x + i < y + j
-            edges = spanning_stars(fps[x[keep] + i], fps[y[keep] + j])
-            a.append(edges[0])
-            b.append(edges[1])
-    return spanning_stars(np.concatenate(a), np.concatenate(b))
+def _nothing() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
 def close_pairs(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one key's fingerprints. Long runs are parted by 16-bit pieces, one of which must be equal."""
+    """Edges that span what is linked among distinct fingerprints.
+
+    A long run is parted by the bits that vary in it: of most + 1 parts of them, one is equal in a linked pair.
+    """
     if len(fps) <= RUN:
-        return _tile_pairs(fps, most)
-    found = []
-    for piece in range(0, 64, 16):
-        value = fps >> np.uint64(piece) & np.uint64(0xFFFF)
+        x, y = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most)
+        return spanning_stars(fps[x[x < y]], fps[y[x < y]])
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [b for b in range(64) if varying >> b & 1]
+    if len(bits) <= most:
+        return spanning_stars(np.full(len(fps) - 1, fps[0]), fps[1:])
+    found = [_nothing()]
+    for k in range(most + 1):
+        value = fps & np.uint64(sum(1 << b for b in bits[k :: most + 1]))
         order = np.argsort(value, kind="stable")
         cuts = np.flatnonzero(np.diff(value[order])) + 1
-        found += [_tile_pairs(group, most) for group in np.split(fps[order], cuts) if len(group) > 1]
-    a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]) for k in (0, 1))
-    return spanning_stars(a, b)
+        found += [close_pairs(group, most) for group in np.split(fps[order], cuts) if len(group) > 1]
+    return spanning_stars(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
 
 
 def verify_runs(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,14 +177,13 @@ def link(spark: SparkSession, distinct: DataFrame, space: Workspace, most: int =
     """(a, b): edges that span every component of fingerprints (fp) within that many bits."""
     if most > 3:
         raise ValueError("three segments hold three errors at most")
-    deep = distinct.count() > DEEP
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         for batch in batches:
             all_ = np.asarray(batch.column(0)).view(np.uint64)
             for at in range(0, len(all_), 4096):
-                keys, fps = golay_keys(all_[at : at + 4096], golay, deep)
+                keys, fps = golay_keys(all_[at : at + 4096], golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64))], ["k", "fp"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
