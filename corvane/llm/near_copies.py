@@ -1,21 +1,25 @@
-"""Near copies by word shingles: MinHash candidates, every pair verified by its exact Jaccard similarity.
-
-Texts of the same words are one from the start. Of the set of five-word shingles of a text, 128 minima are taken; 25
-bands of five of them are keys. Two texts of similarity 0.8 share a key but for about 5 in 100,000; one above, rarer
-still. Pairs under a key are passed on if their sizes and one bit of each minimum allow the similarity (at 0.8, 115 of
-128 bits agree on average, with a deviation of 3.4; AGREE is 5.7 of these below), and are then verified on whole texts.
-
-Pairs that are linked already needn't be verified, so two rounds first compare each run with its first and its last
-text; the third compares all that isn't linked yet. No run is capped.
-
-Defined results: words are those of simhash.py. Fewer words than a shingle: the whole sequence is the one shingle; texts
-without words are copies of each other. A null id is never the smallest of a component that has others.
+"""Operator 10 at a Jaccard similarity: SimHash groups first, then what three bits can't reach, all verified exactly.
+
+Texts of the same words are one from the start. Their SimHash fingerprints over five-word shingles are linked by
+simhash.py's Golay keys, and each text of such a group is verified against the group's first. Fingerprints of
+texts of similarity 0.8 differ in nine of 64 bits on average, and no radius that a key search can afford holds
+most of them. So further candidates come from 25 keys, each of five of 128 minima over a text's set of shingles:
+two texts of similarity 0.8 share a key but for about 5 in 100,000; one above, rarer still. Pairs under a key are
+passed on if their sizes and one bit of each minimum allow the similarity (at 0.8, 115 of 128 bits agree on
+average, with a deviation of 3.4; AGREE is 4.4 of these below), and are then verified on whole sets.
+
+Pairs that are linked already needn't be verified: a round compares each run of a key with its first and its
+last text, the last round all that isn't linked yet. No run is capped.
+
+Defined results: words are those of simhash.py. Fewer words than a shingle: the whole sequence is the one shingle;
+texts without words are copies of each other. Repeated rows get the same answer, very long texts count whole. A
+null id is never the smallest of a component that has others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +29,18 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Workspace, blobs, space_words
 from corvane.llm.components import connected_components
+from corvane.llm.simhash import link, majority, shingle_hashes
 
 SHINGLE = 5
 LEAST = 0.8
 HASHES, BANDS, ROWS = 128, 25, 5
-AGREE = 96
+AGREE = 100
 SEED = 42
 TILE = 1024
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k).encode(), SEED) | 1 for k in range(HASHES)], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the distinct shingles, sorted."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(line, SEED)], np.uint64)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    return np.unique(np.array([digest(line[s : e - 1], SEED) for s, e in zip([0, *ends], ends[size - 1 :])], np.uint64))
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard of two sorted sets; nothing against nothing is 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -65,28 +59,38 @@ def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def text_key(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+
+
+def signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(row_id, key, n, s0, s1, bands): key is the hash of the words, n the number of distinct shingles."""
+    """(row_id, key, fp, n, s0, s1, bands): key is the hash of the words, n the number of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n, bits, bands = [], [], [], []
+            key, fp, n, bits, bands = [], [], [], [], []
             for text in blobs(batch.column(1)):
                 words = space_words(text)
-                values = shingles(words, size)
+                hashes = shingle_hashes(words, size)
+                values = np.unique(hashes)
                 held = sketch(values)
-                key.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                key.append(text_key(words))
+                fp.append(majority(hashes))
                 n.append(len(values))
                 bands.append(held[0].tobytes())
                 bits.append(held[1])
             bits = np.array(bits, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [batch.column(0), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(n, pa.int64())]
+            columns = [batch.column(0), signed(key), signed(fp), pa.array(n, pa.int64())]
             columns += [pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row_id", "key", "n", "s0", "s1", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["row_id", "key", "fp", "n", "s0", "s1", "bands"])
 
     kind = dict(docs.dtypes)[id_col]
     given = docs.selectExpr(f"`{id_col}` AS row_id", f"cast(`{text_col}` AS string) AS text")
-    return given.mapInArrow(run, f"row_id {kind}, key long, n long, s0 long, s1 long, bands binary")
+    return given.mapInArrow(run, f"row_id {kind}, key long, fp long, n long, s0 long, s1 long, bands binary")
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,29 +130,36 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: pa.array(v[many]) for c, v in held.items()})
 
 
-def _pairs(least: float, turn: int):
-    """Pairs (a < b) under a key that may be similar enough and aren't linked: with the first of their run, with the last, all."""
+def _pairs(least: float, all_: bool):
+    """Pairs (a < b) under a key that may be similar enough and aren't linked: with the first and the last of their run, or all."""
 
     def possible(h: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         agree = HASHES - sum(np.bitwise_count((h[c][x] ^ h[c][y]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
         low, high = np.minimum(h["n"][x], h["n"][y]), np.maximum(h["n"][x], h["n"][y])
         return (h["root"][x] != h["root"][y]) & (agree >= AGREE) & (low >= least * high)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(h: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            keep = possible(h, x, y)
-            a, b = h["key"][x[keep]], h["key"][y[keep]]
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    def out(h: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        keep = possible(h, x, y)
+        a, b = h["key"][x[keep]], h["key"][y[keep]]
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, size, h in _whole_runs(batches):
-            if turn < 2:
-                pivot = np.repeat(begin if turn == 0 else begin + size - 1, size)
-                yield out(h, pivot, np.arange(len(pivot)))
+            if not all_:
+                for pivot in (begin, begin + size - 1):
+                    yield out(h, np.repeat(pivot, size), np.arange(len(h["k"])))
                 continue
+            # Rows of a run are sorted by root: a run, or two tiles of it, of one root has nothing left to compare.
+            root = h["root"]
             for c, n in zip(begin, size):
+                if root[c] == root[c + n - 1]:
+                    continue
                 for i in range(c, c + n, TILE):
                     for j in range(i, c + n, TILE):
-                        x, y = (m.ravel() for m in np.meshgrid(np.arange(i, min(i + TILE, c + n)), np.arange(j, min(j + TILE, c + n)), indexing="ij"))
+                        last_i, last_j = min(i + TILE, c + n), min(j + TILE, c + n)
+                        if root[i] == root[last_j - 1]:
+                            continue
+                        x, y = (m.ravel() for m in np.meshgrid(np.arange(i, last_i), np.arange(j, last_j), indexing="ij"))
                         ahead = x < y
                         if ahead.any():
                             yield out(h, x[ahead], y[ahead])
@@ -156,56 +167,74 @@ def _pairs(least: float, turn: int):
     return run
 
 
-def _verified(size: int, least: float):
+def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, keep = batch.column("a"), batch.column("b"), []
-            for k in range(batch.num_rows):
-                if (now := a[k].as_py()) != last:
-                    last, held = now, shingles(space_words((batch.column("ta")[k].as_py() or "").encode()), size)
-                keep.append(similarity(held, shingles(space_words((batch.column("tb")[k].as_py() or "").encode()), size)) >= least)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            sets = zip(*(batch.column(c).to_pylist() for c in ("ga", "gb")))
+            keep = pa.array([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(key, g): sorted hashes of the distinct shingles of the texts whose keys are wanted."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([signed([text_key(space_words(t)) for t in blobs(batch.column(0))]), batch.column(0)], ["key", "text"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(space_words(t), size)).tobytes() for t in blobs(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "g"])
+
+    texts = docs.selectExpr(f"cast(`{text_col}` AS string) AS text").mapInArrow(keyed, "key long, text string")
+    return texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(cut, "key long, g binary")
+
+
 def near_copies(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST
 ) -> DataFrame:
     """(row_id, component_id) of every row; component_id is the smallest id reachable over pairs that similar."""
     space = Workspace(spark, "near-copies")
     marked = space.save(sketches(docs, id_col, text_col, size), "sketches")
-    firsts = space.save(marked.groupBy("key").agg(F.min("row_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "bands"))), "distinct")
+    firsts = marked.groupBy("key").agg(F.min("row_id").alias("first_id"), *(F.first(c).alias(c) for c in ("fp", "n", "s0", "s1", "bands")))
+    firsts = space.save(firsts, "distinct")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    by_key = lambda df: df.repartition(partitions, "k").sortWithinPartitions("k", "key")
-    row = "k long, key long, n long, s0 long, s1 long"
-    runs = space.save(by_key(firsts.select("key", "n", "s0", "s1", "bands").mapInArrow(_banded, row)).mapInArrow(_shared, row), "runs")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [xxhash.xxh64_intdigest(b" ".join(space_words(t)), SEED) for t in blobs(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(0)], ["key", "text"])
+    # Texts of a SimHash group against the group's first.
+    groups = connected_components(link(spark, firsts.select("fp").distinct(), space), space, "simhash")
+    in_group = firsts.join(groups, firsts.fp == groups.node, "left").select(F.coalesce("root", "fp").alias("group"), "key", "n")
+    in_group = space.save(in_group, "groups")
+    heads = space.save(in_group.groupBy("group").agg(F.min(F.struct("key", "n")).alias("head"), F.count("key").alias("texts")).where("texts > 1"), "heads")
+    pairs = in_group.join(heads, "group").where(f"key <> head.key AND least(n, head.n) >= {least!r}d * greatest(n, head.n)")
+    pairs = space.save(pairs.selectExpr("head.key AS a", "key AS b"), "pairs-0")
+
+    row = "k long, key long, n long, s0 long, s1 long"
+    runs = firsts.select("key", "n", "s0", "s1", "bands").mapInArrow(_banded, row).repartition(partitions, "k").sortWithinPartitions("k")
+    runs = space.save(runs.mapInArrow(_shared, row), "runs")
+    wanted = reduce(DataFrame.unionByName, (runs.select("key"), pairs.selectExpr("a AS key"), pairs.selectExpr("b AS key"))).distinct()
+    sets = space.save(shingle_sets(docs, wanted, text_col, size), "sets")
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("g").alias(f"g{c}"))
 
-    edges, tried, roots, texts = None, None, None, None
+    edges = tried = roots = None
     for turn in range(3):
-        marks = runs.withColumn("root", F.col("key")) if roots is None else (
-            runs.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).select(*runs.columns, "root"))
-        pairs = by_key(marks).mapInArrow(_pairs(least, turn), "a long, b long").distinct()
-        pairs = space.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        texts = docs.selectExpr(f"cast(`{text_col}` AS string) AS text").mapInArrow(keyed, "key long, text string")
-        texts = space.save(texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), f"texts-{turn}")
-        side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-        found = space.save(both.mapInArrow(_verified(size, least), "a long, b long"), f"edges-{turn}")
-        space.drop(f"texts-{turn}")
+        if turn:
+            marks = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*runs.columns, F.coalesce("root", "key").alias("root"))
+            marks = marks.repartition(partitions, "k").sortWithinPartitions("k", "root", "key")
+            pairs = marks.mapInArrow(_pairs(least, turn == 2), "a long, b long").distinct()
+            pairs = space.save(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
+        found = space.save(both.mapInArrow(_verified(least), "a long, b long"), f"edges-{turn}")
+        pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = connected_components(edges, space, f"roots-{turn}")
+    space.drop("sets")
+    space.drop("runs")
     named = firsts.join(roots, firsts.key == roots.node, "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     named = space.save(named, "named")
-    least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least_id = space.save(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of = space.save(named.join(least_id, "root").select("key", "component_id"), "members")
     return marked.join(of, "key").select("row_id", "component_id")
