@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents to training shards in five stages, each by one operator.
+"""The corpus pipeline: documents to training shards in five stages, each by one of the ten operators.
 
 Every stage works on all rows that its predecessor kept, whole texts, and its decisions take effect. Rows that
 share an id are one document: they stay or go together. All stages but the last return the columns of documents;
@@ -48,38 +48,55 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go."""
+    """Documents that the toxicity operator rejects go.
+
+    Null, empty and very long texts are scored like any other, repeated rows alike; of an empty table nothing stays.
+    """
     scorer = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_ordinary(spark, docs, scorer)
 
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays."""
+    """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays.
+
+    Texts without words (null ones too) are copies of each other; a null id stays only where its whole group has none.
+    Repeated rows stay or go together; of an empty table nothing stays.
+    """
     groups = near_copies(spark, docs)
     return _without(docs, groups.where(~F.col("row_id").eqNullSafe(F.col("component_id"))))
 
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages cover at least one word in twenty go."""
+    """Documents of which benchmark passages cover at least one word in twenty go.
+
+    Texts without words stay; very long ones are read whole. Of an empty table nothing stays; an empty test set drops nothing.
+    """
     return _without(docs, decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(contaminated()))
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes its words, to the nearest whole number of times."""
+    """Each document stands as often as the mix takes its words, to the nearest whole number of times.
+
+    A null source is a source of its own. Texts without words are never taken; rows that share an id share its quota.
+    """
     taken = mix(spark, docs).groupBy("row_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     times = taken.select(
         F.col("row_id").alias("__row"), F.expr("if(size > 0, cast(floor(taken / size + 0.5) AS int), 0)").alias("__times")
     ).where("__times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__row"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "__times")).alias("__copy")).drop("__copy")
+    row = docs.select(F.col("doc_id").alias("__id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+    joined = row.join(times, row["__id"].eqNullSafe(times["__row"]))
+    return joined.select("__doc", F.explode(F.sequence(F.lit(1), "__times"))).select("__doc.*")
 
 
 @_stage
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in training order, as fixed-stride shards; a row for each sequence."""
+    """Token ids of all documents in training order, as fixed-stride shards; a row for each sequence.
+
+    Null and empty texts are an end mark each, very long ones go over several sequences; an empty table has no sequence.
+    """
     return token_shards(spark, docs)
 
 
