@@ -8,8 +8,9 @@ two texts of similarity 0.8 share a key but for about 5 in 100,000; one above, r
 passed on if their sizes and one bit of each minimum allow the similarity (at 0.8, 115 of 128 bits agree on
 average, with a deviation of 3.4; AGREE is 4.4 of these below), and are then verified on whole sets.
 
-Pairs that are linked already needn't be verified: a round compares each run of a key with its first and its
-last text, the last round all that isn't linked yet. No run is capped.
+Pairs that are linked already needn't be verified: JOINING rounds verify one pair a text, the likeliest with a text of
+another component, which joins components as in Boruvka's algorithm; the last round verifies all pairs that aren't
+linked by then. No run is capped.
 
 Defined results: words are those of simhash.py. Fewer words than a shingle: the whole sequence is the one shingle;
 texts without words are copies of each other. Repeated rows get the same answer, very long texts count whole. A
@@ -37,6 +38,7 @@ HASHES, BANDS, ROWS = 128, 25, 5
 AGREE = 100
 SEED = 42
 TILE = 1024
+JOINING = 2
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k).encode(), SEED) | 1 for k in range(HASHES)], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,26 +133,35 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float, all_: bool):
-    """Pairs (a < b) under a key that may be similar enough and aren't linked: with the first and the last of their run, or all."""
+    """Pairs under a key that may be similar enough and aren't linked, with the number of bits that agree.
 
-    def possible(h: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        agree = HASHES - sum(np.bitwise_count((h[c][x] ^ h[c][y]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
-        low, high = np.minimum(h["n"][x], h["n"][y]), np.maximum(h["n"][x], h["n"][y])
-        return (h["root"][x] != h["root"][y]) & (agree >= AGREE) & (low >= least * high)
+    Either all (a < b), or for each text a of a run one text b of another component: the first of the run, or for those
+    linked with it the first that isn't.
+    """
 
     def out(h: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        keep = possible(h, x, y)
+        agree = HASHES - sum(np.bitwise_count((h[c][x] ^ h[c][y]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
+        low, high = np.minimum(h["n"][x], h["n"][y]), np.maximum(h["n"][x], h["n"][y])
+        keep = (h["root"][x] != h["root"][y]) & (agree >= AGREE) & (low >= least * high)
         a, b = h["key"][x[keep]], h["key"][y[keep]]
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        if all_:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "agree": pa.array(agree[keep])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, size, h in _whole_runs(batches):
-            if not all_:
-                for pivot in (begin, begin + size - 1):
-                    yield out(h, np.repeat(pivot, size), np.arange(len(h["k"])))
-                continue
             # Rows of a run are sorted by root: a run, or two tiles of it, of one root has nothing left to compare.
             root = h["root"]
+            if not all_:
+                first = np.repeat(begin, size)
+                at = np.arange(len(root))
+                other = np.full(len(root), len(root))
+                other[(root != root[first])] = at[root != root[first]]
+                other = np.repeat(np.minimum.reduceat(other, begin), size) if len(root) else other
+                pivot = np.where(root == root[first], other, first)
+                some = pivot < len(root)
+                yield out(h, at[some], pivot[some])
+                continue
             for c, n in zip(begin, size):
                 if root[c] == root[c + n - 1]:
                     continue
@@ -219,11 +230,15 @@ def near_copies(
     side = lambda c: sets.select(F.col("key").alias(c), F.col("g").alias(f"g{c}"))
 
     edges = tried = roots = None
-    for turn in range(3):
+    for turn in range(JOINING + 2):
         if turn:
             marks = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*runs.columns, F.coalesce("root", "key").alias("root"))
             marks = marks.repartition(partitions, "k").sortWithinPartitions("k", "root", "key")
-            pairs = marks.mapInArrow(_pairs(least, turn == 2), "a long, b long").distinct()
+            pairs = marks.mapInArrow(_pairs(least, turn > JOINING), "a long, b long, agree long")
+            if turn > JOINING:
+                pairs = pairs.select("a", "b").distinct()
+            else:  # each text's likeliest pair
+                pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).selectExpr("least(a, m.b) AS a", "greatest(a, m.b) AS b").distinct()
             pairs = space.save(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
         found = space.save(both.mapInArrow(_verified(least), "a long, b long"), f"edges-{turn}")
