@@ -133,20 +133,30 @@ COMPANY_SUFFIXES = (
 )
 
 #: Words that say nothing about a posting.
-STOP_WORDS = """the and for but not all any can had her was one our out get has him his how its may new now old see two way who did let put say she too use with that this from
-have will been they were what when your more also some than then into over such make like time just know take good much need even most well only very able back each must high long
-down both help give used here every those these other would their there which about after where while could should through during before within between using based across without
-including role team join position looking seeking candidate responsibilities requirements qualifications required preferred strong excellent great ideal background ability skills
-knowledge understanding familiarity proficiency comfortable proven demonstrated exposure plus bonus nice minimum least years year months month hands work working experience related
-relevant equivalent similar following etc e.g i.e""".split()
+STOP_WORDS = [
+    "the", "and", "for", "but", "not", "all", "any", "can", "had", "her", "was", "one", "our", "out", "get", "has", "him", "his", "how", "its", "may",
+    "new", "now", "old", "see", "two", "way", "who", "did", "let", "put", "say", "she", "too", "use", "with", "that", "this", "from", "have", "will",
+    "been", "they", "were", "what", "when", "your", "more", "also", "some", "than", "then", "into", "over", "such", "make", "like", "time", "just",
+    "know", "take", "good", "much", "need", "even", "most", "well", "only", "very", "able", "back", "each", "must", "high", "long", "down", "both",
+    "help", "give", "used", "here", "every", "those", "these", "other", "would", "their", "there", "which", "about", "after", "where", "while",
+    "could", "should", "through", "during", "before", "within", "between", "using", "based", "across", "without", "including", "role", "team", "join",
+    "position", "looking", "seeking", "candidate", "responsibilities", "requirements", "qualifications", "required", "preferred", "strong",
+    "excellent", "great", "ideal", "background", "ability", "skills", "knowledge", "understanding", "familiarity", "proficiency", "comfortable",
+    "proven", "demonstrated", "exposure", "plus", "bonus", "nice", "minimum", "least", "years", "year", "months", "month", "hands", "work", "working",
+    "experience", "related", "relevant", "equivalent", "similar", "following", "etc", "e.g", "i.e",
+]
 
 #: Resume sections, and technologies with their typical endings.
 SECTIONS = ["experience", "education", "skills", "projects", "summary", "objective", "certifications", "awards"]
-TECHNOLOGIES = """docker kubernetes postgres postgresql redis nginx terraform ansible linux ubuntu debian jenkins grafana prometheus hadoop spark kafka airflow tableau figma sketch jira
-confluence github gitlab bitbucket heroku vercel netlify firebase mongodb elasticsearch rabbitmq celery flask django fastapi pytorch tensorflow numpy pandas scipy matplotlib scrapy
-selenium playwright""".split()
+TECHNOLOGIES = [
+    "docker", "kubernetes", "postgres", "postgresql", "redis", "nginx", "terraform", "ansible", "linux", "ubuntu", "debian", "jenkins", "grafana",
+    "prometheus", "hadoop", "spark", "kafka", "airflow", "tableau", "figma", "sketch", "jira", "confluence", "github", "gitlab", "bitbucket",
+    "heroku", "vercel", "netlify", "firebase", "mongodb", "elasticsearch", "rabbitmq", "celery", "flask", "django", "fastapi", "pytorch",
+    "tensorflow", "numpy", "pandas", "scipy", "matplotlib", "scrapy", "selenium", "playwright",
+]
 TECH_ENDINGS = ["js", "py", "sql", "api", "sdk", "cli", "css", "ml", "ai", "db"]
 
+#: How years of experience are written.
 _YEARS = r"\s*\+?\s*years?\s+(?:of\s+)?(?:relevant\s+|professional\s+|industry\s+|work(?:ing)?\s+)?experience"
 EXPERIENCE = r"(?iU)(?:(\d{1,2})\s*(?:-|to|–|—)\s*(\d{1,2})" + _YEARS + r"|(\d{1,2})" + _YEARS + ")"
 
@@ -279,7 +289,7 @@ def format_issues(text: Column) -> Column:
         F.when(F.size(found) < 3, say("sections found: ", F.size(found).cast("string"), "; missing: ", F.array_join(missing, ", "))),
         F.when(F.exists(lines, lambda x: F.contains(F.btrim(x, F.lit(" \t\r\f\v")), F.lit("\t\t"))), "columns: tabs within a line"),
         F.when(F.exists(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2), "table: pipes within a line"),
-        F.when(text.rlike(r"(?im)\bpage\s+\d+\s+of\s+\d+\b|^[ \t]*-[ \t]*\d+[ \t]*-[ \t]*$"), "page number"),
+        F.when(F.exists(lines, lambda x: x.rlike(r"(?i)\bpage\s+\d+\s+of\s+\d+\b|^\s*-\s*\d+\s*-\s*$")), "page number"),
     )
     return F.filter(issues, lambda i: i.isNotNull())
 
@@ -420,8 +430,11 @@ def display_name(slugs: pd.Series) -> pd.Series:
 
 
 #: Headings that begin a skills section, and other sections' headings.
-SKILL_HEADINGS = ["skills", "technologies", "technical proficiencies", "tools"]
-OTHER_HEADINGS = ["experience", "education", "projects", "summary", "objective", "certifications", "awards", "publications", "interests", "hobbies", "references", "activities"]
+SKILL_HEADINGS = ["skills", "technologies", "tech stack", "tools", "technical skills"]
+OTHER_HEADINGS = [
+    "experience", "education", "work history", "employment", "projects", "certifications", "awards", "publications", "interests", "volunteer", "objective", "summary", "profile",
+    "achievements", "languages", "hobbies", "references", "activities",
+]
 
 
 def _heading(line: str, names: list[str]) -> bool:

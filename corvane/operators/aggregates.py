@@ -37,8 +37,9 @@ def share_histogram(df: DataFrame, key: str, digits: int = 1) -> DataFrame:
 
 
 def buckets_with_ids(df: DataFrame, bucket: str, id_col: str) -> DataFrame:
-    """Each bucket's size and its ids in order; the ids are the report that is asked for."""
-    return df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(id_col)).alias("ids"))
+    """A row for each id with its bucket and the bucket's size; no bucket is gathered, however large."""
+    sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    return df.select(bucket, id_col).join(sizes, bucket)
 
 
 def distinct_in_order(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

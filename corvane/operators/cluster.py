@@ -43,17 +43,26 @@ def thresholded(rows: DataFrame, fingerprint: list[str], processed: int | Column
 
 def merged_fingerprints(groups: DataFrame, key: str, block: list[str], id_pattern: str, labels: str, least: float = 0.6) -> DataFrame:
     """Fingerprints of a block whose labels are alike on average, where their id patterns don't differ, get the root
-    of the first of them; transitive. Groups are few: one row a fingerprint, joined within blocks only."""
-    a, b = groups.alias("a"), groups.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
-    condition = F.col(f"a.{key}") < F.col(f"b.{key}")
-    for c in same:
-        condition = condition & c
-    x, y = F.col(f"a.{id_pattern}"), F.col(f"b.{id_pattern}")
-    condition = condition & ((x == "") | (y == "") | (x == y))
-    sims = F.flatten(F.transform(F.slice(f"a.{labels}", 1, 5), lambda p: F.transform(F.slice(f"b.{labels}", 1, 5), lambda q: jaccard(tokens(p), tokens(q)))))
+    of the first of them; transitive, until nothing changes.
+
+    An average that high needs two labels that are alike that far, and those share one of the first
+    n - ceil(least * n) + 1 terms, rarest first, of a label of n terms. So pairs come from an equi-join on block and term,
+    not from all pairs of a block.
+    """
+    first = F.slice(labels, 1, 5)
+    terms = groups.select(*block, key, F.posexplode(first).alias("__label", "__text")).withColumn("__terms", tokens(F.col("__text"))).where(F.size("__terms") > 0)
+    terms = terms.select(*block, key, "__label", F.size("__terms").alias("__n"), F.explode("__terms").alias("__term"))
+    posted = terms.select(*(F.col(c).alias(f"__{c}") for c in block), F.col(key).alias("y"), F.col("__term").alias("__same")).distinct()
+    often = posted.groupBy(F.col("__same").alias("__term")).agg(F.count(F.lit(1)).alias("__often"))
+    rank = F.row_number().over(W.partitionBy(key, "__label").orderBy("__often", "__term"))
+    probes = terms.join(often, "__term").withColumn("__rank", rank).where(F.col("__rank") <= F.col("__n") - F.ceil(F.col("__n") * least) + 1)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in block] + [F.col("__term") == F.col("__same"), F.col(key) != F.col("y")]
+    pairs = probes.join(posted, same).select(F.least(key, "y").alias("x"), F.greatest(key, "y").alias("y")).distinct()
+    side = lambda c: groups.select(F.col(key).alias(c), F.col(id_pattern).alias(f"__i{c}"), first.alias(f"__l{c}"))
+    sims = F.flatten(F.transform("__lx", lambda p: F.transform("__ly", lambda q: jaccard(tokens(p), tokens(q)))))
     mean = F.aggregate(sims, F.lit(0.0), lambda s, v: s + v) / F.size(sims)
-    edges = a.join(b, condition).where(mean >= least).select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"))
+    free = (F.col("__ix") == "") | (F.col("__iy") == "") | (F.col("__ix") == F.col("__iy"))
+    edges = pairs.join(side("x"), "x").join(side("y"), "y").where(free & (mean >= least)).select("x", "y")
     both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
     roots = groups.select(F.col(key).alias("node"), F.col(key).alias("root"))
     while True:

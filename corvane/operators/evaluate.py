@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.filters import seeded_digest
+
 UNKNOWN, UNSUPPORTED = "UNKNOWN", "UNSUPPORTED"
 
 
@@ -51,7 +53,7 @@ def set_accuracy(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def held_out_coverage(rows: DataFrame, group: str, covered: Column, n: int, seed: int) -> DataFrame:
     """Covered share over all rows of n groups chosen by seed."""
-    chosen = rows.select(group).distinct().orderBy(F.xxhash64(F.lit(seed), group), group).limit(n)
+    chosen = rows.select(group).distinct().orderBy(seeded_digest(group, seed), group).limit(n)
     return rows.join(F.broadcast(chosen), group, "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(covered, 1)).alias("covered"))
 
 

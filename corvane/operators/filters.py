@@ -57,14 +57,19 @@ def known_only(values: Column, vocabulary: list[str]) -> Column:
     return F.filter(values, lambda v: v.isin(*vocabulary))
 
 
+def seeded_digest(key: str, seed: int) -> Column:
+    """A place that only seed and key decide: SHA-256, which other engines have too."""
+    return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
+
+
 def seeded_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """T5: n rows in an order that only key and seed decide."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(seeded_digest(key, seed), key).limit(n)
 
 
 def seeded_groups(df: DataFrame, group: str, n: int, seed: int) -> DataFrame:
     """All rows of n groups that only their names and the seed decide."""
-    chosen = df.select(group).distinct().orderBy(F.xxhash64(F.lit(seed), group), group).limit(n)
+    chosen = df.select(group).distinct().orderBy(seeded_digest(group, seed), group).limit(n)
     return df.join(F.broadcast(chosen), group, "left_semi")
 
 

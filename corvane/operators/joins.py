@@ -60,21 +60,28 @@ def first_decision(rows: DataFrame, keys: str, decisions: DataFrame, id_cols: li
 def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_terms: str, right_terms: str, least: float = 0.6) -> DataFrame:
     """Each left row's most similar right row by Jaccard, if similar enough; of equals the smallest id.
 
-    Only pairs that share a term among the rarest of the left row's are compared: to reach the least similarity, at
-    least one of its first n - ceil(least * n) + 1 terms, rarest first, must be shared.
+    Rows of the same terms are compared once, so many copies cost no more than one. Only pairs that share a term among
+    the rarest of the left row's are compared: to reach the least similarity, at least one of its first
+    n - ceil(least * n) + 1 terms, rarest first, must be shared.
     """
-    terms = lambda df, i, c: df.select(F.col(i), F.array_distinct(c).alias("terms")).where(F.size("terms") > 0)
-    a, b = terms(left, left_id, left_terms).withColumnRenamed("terms", "ta"), terms(right, right_id, right_terms).withColumnRenamed("terms", "tb")
-    posted = b.select(right_id, F.explode("tb").alias("term"))
+
+    def terms(df: DataFrame, row_id: str, column: str) -> DataFrame:
+        own = df.select(F.col(row_id), F.array_sort(F.array_distinct(column)).alias("terms")).where(F.size("terms") > 0)
+        return own.withColumn("set", F.sha2(F.array_join("terms", "\x01"), 256))
+
+    left_rows, right_rows = terms(left, left_id, left_terms), terms(right, right_id, right_terms)
+    a = left_rows.groupBy(F.col("set").alias("left_set")).agg(F.first("terms").alias("ta"))
+    b = right_rows.groupBy(F.col("set").alias("right_set")).agg(F.first("terms").alias("tb"), F.min(right_id).alias(right_id))
+    posted = b.select("right_set", F.explode("tb").alias("term"))
     often = posted.groupBy("term").agg(F.count(F.lit(1)).alias("__often"))
-    ranked = a.select(left_id, F.size("ta").alias("__n"), F.explode("ta").alias("term")).join(often, "term", "left")
-    rank = F.row_number().over(W.partitionBy(left_id).orderBy(F.coalesce("__often", F.lit(0)), "term"))
+    ranked = a.select("left_set", F.size("ta").alias("__n"), F.explode("ta").alias("term")).join(often, "term", "left")
+    rank = F.row_number().over(W.partitionBy("left_set").orderBy(F.coalesce("__often", F.lit(0)), "term"))
     probes = ranked.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__n") - F.ceil(F.col("__n") * least) + 1)
-    pairs = probes.join(posted, "term").select(left_id, right_id).distinct()
+    pairs = probes.join(posted, "term").select("left_set", "right_set").distinct()
     shared = F.size(F.array_intersect("ta", "tb"))
-    scored = pairs.join(a, left_id).join(b, right_id).withColumn("score", shared / (F.size("ta") + F.size("tb") - shared))
-    best = scored.where(F.col("score") >= least).groupBy(left_id).agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m"))
-    return best.select(left_id, f"m.{right_id}", "m.score")
+    scored = pairs.join(a, "left_set").join(b, "right_set").withColumn("score", shared / (F.size("ta") + F.size("tb") - shared))
+    best = scored.where(F.col("score") >= least).groupBy("left_set").agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m"))
+    return left_rows.join(best, left_rows["set"] == best["left_set"]).select(left_id, f"m.{right_id}", "m.score")
 
 
 def paired_examples(groups: DataFrame, examples: DataFrame, keys: list[str], category: str, order: str, n: int = 5) -> DataFrame:
@@ -88,10 +95,14 @@ def paired_examples(groups: DataFrame, examples: DataFrame, keys: list[str], cat
 def longest_contained(rows: DataFrame, text: str, entries: DataFrame, key: str, order: str, id_cols: list[str], least: int = 6) -> DataFrame:
     """The entry with the longest key that a text contains, of equally long ones the first.
 
-    Entries are a small dictionary, broadcast behind the optimizer's own size check.
+    Keys come in few lengths, so the pieces of a text of each length meet them in an equi-join, not a theta join.
     """
-    usable = entries.where(F.length(key) >= least)
-    found = rows.join(usable, F.contains(F.lower(F.col(text)), F.lower(F.col(key))))
+    usable = entries.where(F.length(key) >= least).withColumn("__piece", F.lower(key))
+    lengths = [r[0] for r in usable.select(F.length("__piece").alias("n")).distinct().orderBy("n").collect()]
+    low = F.lower(F.col(text))
+    cut = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n))))
+    pieces = F.array_distinct(F.flatten(F.filter(F.array(*(cut(n) for n in lengths)), lambda x: x.isNotNull()))) if lengths else F.array().cast("array<string>")
+    found = rows.select(*id_cols, F.explode(pieces).alias("__piece")).join(usable, "__piece")
     others = [c for c in entries.columns if c != order]
     best = found.groupBy(*id_cols).agg(F.max_by(F.struct(*others), F.struct(F.length(key), -F.col(order))).alias("m"))
     return best.select(*id_cols, *(F.col(f"m.{c}").alias(c) for c in others))

@@ -14,24 +14,37 @@ def hard_filters(job: str = "j", user: str = "u") -> Column:
     j, u = (lambda c: F.col(f"{job}.{c}")), (lambda c: F.col(f"{user}.{c}"))
     model = (j("work_model") == "Unknown") | F.coalesce(F.array_contains(u("work_models"), j("work_model")), F.lit(False))
     visa = ~(F.coalesce(u("needs_sponsorship"), F.lit(False)) & F.coalesce(j("h1b_sponsored") == "No", F.lit(False)))
+    return model & visa & stated_filters(job, user)
+
+
+def stated_filters(job: str = "j", user: str = "u") -> Column:
+    """P7 without work model and sponsorship."""
+    j, u = (lambda c: F.col(f"{job}.{c}")), (lambda c: F.col(f"{user}.{c}"))
     years = j("years_min").isNull() | u("years").isNull() | (u("years") >= j("years_min"))
     here = F.exists(u("locations"), lambda place: F.contains(F.lower(F.coalesce(j("location"), F.lit(""))), F.lower(place)))
     place = j("work_model").isin("Remote", "Unknown") | (F.size(F.coalesce(u("locations"), F.array())) == 0) | F.coalesce(here, F.lit(False))
     wanted = ~F.coalesce(F.array_contains(u("blacklisted"), j("company_slug")), F.lit(False))
-    return model & visa & years & place & wanted
+    return years & place & wanted
 
 
 def match(jobs: DataFrame, users: DataFrame) -> DataFrame:
     """Pairs that share a category and pass the filters.
 
-    The shared category makes an equi-join of it: both sides are exploded by category, so no side has to be small
-    enough to broadcast, and each pair is taken at the first category that both have.
+    Category, work model and sponsorship are equalities of the join: jobs are exploded by category, users by category,
+    the models that they take and whether a job without sponsorship will do. So neither side has to be small enough to
+    broadcast, pairs that these three exclude are never made, and adaptive execution splits a frequent combination.
+    Each pair is taken at the job's first category that the user wants too.
     """
-    a = jobs.withColumn("__category", F.explode(F.array_distinct("categories")))
+    none = F.array().cast("array<string>")
+    a = jobs.withColumn("__categories", F.array_distinct("categories"))
+    a = a.select("*", F.posexplode("__categories").alias("__at", "__category")).withColumn("__before", F.slice("__categories", F.lit(1), F.col("__at")))
+    a = a.withColumn("__model", F.col("work_model")).withColumn("__refuses", F.coalesce(F.col("h1b_sponsored") == "No", F.lit(False)))
     b = users.withColumn("__category", F.explode(F.array_distinct("wanted_categories")))
-    pairs = a.alias("j").join(b.alias("u"), F.col("j.__category") == F.col("u.__category"))
-    shared = F.array_intersect("j.categories", "u.wanted_categories")
-    return pairs.where((F.col("j.__category") == F.get(shared, F.lit(0))) & hard_filters())
+    b = b.withColumn("__model", F.explode(F.array_union(F.coalesce("work_models", none), F.array(F.lit("Unknown")))))
+    b = b.withColumn("__refuses", F.explode(F.when(F.coalesce("needs_sponsorship", F.lit(False)), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    keys = [F.col(f"j.{c}") == F.col(f"u.{c}") for c in ("__category", "__model", "__refuses")]
+    first = (F.size("j.__before") == 0) | ~F.coalesce(F.arrays_overlap("j.__before", "u.wanted_categories"), F.lit(False))
+    return a.alias("j").join(b.alias("u"), keys).where(first & stated_filters())
 
 
 def cosine(a: Column, b: Column) -> Column:

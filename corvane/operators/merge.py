@@ -24,28 +24,34 @@ def insert_if_absent(state: DataFrame, new: DataFrame, keys: list[str], order: l
 
 
 def insert_or_get(state: DataFrame, new: DataFrame, keys: list[str], id_col: str, new_id: Column) -> DataFrame:
-    """M5: every row of new with the stored id of its key, or the one made for it."""
+    """M5: every row of new with the stored id of its key, or the one made for it; new_id is made from the key columns, once a key."""
     held = state.select(*keys, F.col(id_col).alias("__id"))
-    return new.join(held, keys, "left").withColumn(id_col, F.coalesce("__id", new_id)).drop("__id")
+    made = new.select(*keys).distinct().join(held, keys, "left").select(*keys, F.coalesce("__id", new_id).alias("__id"))
+    same = [new[k].eqNullSafe(made[k]) for k in keys]
+    return new.join(made, same, "left").select(*(new[c] for c in new.columns if c != id_col), F.col("__id").alias(id_col))
 
 
-def _updated(state: DataFrame, new: DataFrame, keys: list[str], columns: list[str], value) -> DataFrame:
-    change = new.select(*keys, F.lit(True).alias("__hit"), *(F.col(c).alias(f"__new_{c}") for c in columns))
-    joined = state.join(change, keys, "left")
-    kept = [value(F.col(c), F.col(f"__new_{c}"), F.coalesce("__hit", F.lit(False))).alias(c) if c in columns else F.col(c) for c in state.columns]
+def _updated(state: DataFrame, new: DataFrame, keys: list[str], columns: list[str], usable, value, order: list[str]) -> DataFrame:
+    """Rows of the state with the change of their key, one a key: of a column's usable values the first by the order and itself."""
+    first = [F.min_by(F.col(c), F.when(usable(F.col(c)), F.struct(*order, c))).alias(f"__new_{c}") for c in columns]
+    joined = state.join(new.groupBy(*keys).agg(*first), keys, "left")
+    kept = [value(F.col(c), F.col(f"__new_{c}")).alias(c) if c in columns else F.col(c) for c in state.columns]
     return joined.select(*kept)
 
 
-def fill_empty(state: DataFrame, new: DataFrame, keys: list[str], columns: list[str], guard: Column | None = None) -> DataFrame:
-    """An empty string is replaced by a new value that isn't empty; all else stays. guard limits the rows."""
+def fill_empty(state: DataFrame, new: DataFrame, keys: list[str], columns: list[str], guard: Column | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """An empty string is replaced by a new value that isn't empty; all else stays. guard limits the rows.
+
+    Of several changes of a key, the first by the order that isn't empty counts, of equally early ones the least.
+    """
     ok = F.lit(True) if guard is None else guard
-    return _updated(state, new, keys, columns, lambda old, value, hit: F.when(hit & ok & (old == "") & (value != ""), value).otherwise(old))
+    return _updated(state, new, keys, columns, lambda v: v != "", lambda old, v: F.when(ok & (old == "") & v.isNotNull(), v).otherwise(old), list(order))
 
 
-def fill_empty_json(state: DataFrame, new: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """M3: a JSON text that is null or {} is replaced by one that is neither."""
+def fill_empty_json(state: DataFrame, new: DataFrame, keys: list[str], column: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """M3: a JSON text that is null or {} is replaced by one that is neither; of several, as in fill_empty."""
     empty = lambda c: c.isNull() | (F.trim(c) == "{}")
-    return _updated(state, new, keys, [column], lambda old, value, hit: F.when(hit & empty(old) & ~empty(value), value).otherwise(old))
+    return _updated(state, new, keys, [column], lambda v: ~empty(v), lambda old, v: F.when(empty(old) & v.isNotNull(), v).otherwise(old), list(order))
 
 
 def upsert(state: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -55,10 +61,19 @@ def upsert(state: DataFrame, new: DataFrame, keys: list[str], order: list[Column
 
 
 def upsert_merging(state: DataFrame, new: DataFrame, keys: list[str], order: list[Column], array: str) -> DataFrame:
-    """M4 with the array column united: one row from several sources names them all."""
-    last = first_of(new, keys, order)
+    """M4 with the array column united: one row from several sources names them all.
+
+    The state's values come first, then those of every row of the change, the latest row's first.
+    """
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    ranked = new.withColumn("__rank", rank)
+    spots = ranked.select(*keys, "__rank", F.posexplode(array).alias("__pos", "__value"))
+    spots = spots.groupBy(*keys, "__value").agg(F.min(F.struct("__rank", "__pos")).alias("__at"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__value"))), lambda x: x["__value"])
+    last = ranked.where("__rank = 1").drop("__rank", array).join(spots.groupBy(*keys).agg(named.alias("__new")), keys, "left")
     both = last.join(state.select(*keys, F.col(array).alias("__old")), keys, "left")
-    merged = both.withColumn(array, F.array_union(F.coalesce("__old", F.array().cast(dict(state.dtypes)[array])), array)).drop("__old")
+    none = F.array().cast(dict(state.dtypes)[array])
+    merged = both.withColumn(array, F.array_union(F.coalesce("__old", none), F.coalesce("__new", none))).select(*state.columns)
     return state.join(last.select(*keys), keys, "left_anti").unionByName(merged)
 
 

@@ -53,7 +53,7 @@ def hard_filter_match(t: Tables) -> DataFrame:
     FROM s WHERE round_even(greatest(0, c) * 100, 0) >= 50""")
 def cosine_score(t: Tables) -> DataFrame:
     first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("profile"))
-    rows = t.embeddings.join(F.broadcast(first), "label").select("vec_id", matching.relevance(matching.cosine(F.col("embedding"), F.col("profile"))).alias("score"))
+    rows = t.embeddings.join(first, "label").select("vec_id", matching.relevance(matching.cosine(F.col("embedding"), F.col("profile"))).alias("score"))
     return matching.graded(rows)
 
 
@@ -72,39 +72,36 @@ def excluded_split(t: Tables) -> DataFrame:
 
 
 @query("J14_jaccard_best_match", """
-    WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS ts FROM part),
-    s AS (SELECT a.p_partkey AS l, b.p_partkey AS r, len(list_intersect(a.ts, b.ts)) AS k, len(a.ts) + len(b.ts) AS n FROM p a, p b WHERE a.p_partkey % 10 = 1 AND b.p_partkey % 10 = 2)
-    SELECT l AS left_key, r AS right_key, score FROM (SELECT *, k / (n - k)::DOUBLE AS score, row_number() OVER (PARTITION BY l ORDER BY k / (n - k)::DOUBLE DESC, r) AS i FROM s WHERE k / (n - k)::DOUBLE >= 0.6) WHERE i = 1""")
+    WITH l AS (SELECT p_partkey AS left_key, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS ts FROM part),
+    r AS (SELECT p_partkey AS right_key, list_distinct(string_split(lower(p_name || ' ' || p_type || ' Brand#' || (p_size % 25 + 1)), ' ')) AS us FROM part),
+    k AS (SELECT left_key, right_key, count(*) AS k FROM (SELECT left_key, unnest(ts) AS w FROM l) JOIN (SELECT right_key, unnest(us) AS w FROM r) USING (w) GROUP BY ALL),
+    s AS (SELECT left_key, right_key, k / (len(ts) + len(us) - k)::DOUBLE AS score FROM k JOIN l USING (left_key) JOIN r USING (right_key))
+    SELECT left_key, right_key, score FROM (SELECT *, row_number() OVER (PARTITION BY left_key ORDER BY score DESC, right_key) AS n FROM s WHERE score >= 0.6) WHERE n = 1""")
 def jaccard_best_match(t: Tables) -> DataFrame:
-    rows = lambda k, name: t.part.where(F.col("p_partkey") % 10 == k).select(F.col("p_partkey").alias(name), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("ts"))
-    return joins.best_similar(rows(1, "left_key"), rows(2, "right_key").withColumnRenamed("ts", "us"), "left_key", "right_key", "ts", "us", 0.6)
-
-
-@query("J14_jaccard_best_match_whole")
-def jaccard_best_match_whole(t: Tables) -> DataFrame:
-    """All documents against all benchmark items; comparing all pairs in SQL is too slow, so tests compare with brute force."""
+    """All parts by name, type and brand against all parts by name, type and a brand made from the size."""
+    rows = lambda key, name, *columns: t.part.select(F.col("p_partkey").alias(key), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", *columns)), " ").alias(name))
+    right = rows("right_key", "us", F.concat(F.lit("Brand#"), F.col("p_size") % 25 + 1))
+    return joins.best_similar(rows("left_key", "ts", "p_brand"), right, "left_key", "right_key", "ts", "us", 0.6)
+
+
+@query("J14_documents_best_match", """
+    WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS ts FROM documents),
+    i AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS us FROM benchmark),
+    k AS (SELECT doc_id, item_id, count(*) AS k FROM (SELECT doc_id, unnest(ts) AS w FROM d) JOIN (SELECT item_id, unnest(us) AS w FROM i) USING (w) GROUP BY ALL),
+    s AS (SELECT doc_id, item_id, k / (len(ts) + len(us) - k)::DOUBLE AS score FROM k JOIN d USING (doc_id) JOIN i USING (item_id))
+    SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS n FROM s WHERE score >= 0.3) WHERE n = 1""")
+def documents_best_match(t: Tables) -> DataFrame:
+    """All documents against all benchmark items."""
     words = lambda df, key, name: df.select(F.col(key), matching.tokens(F.col("text")).alias(name))
-    return joins.best_similar(words(t.documents, "doc_id", "ts"), words(t.benchmark, "item_id", "us"), "doc_id", "item_id", "ts", "us", 0.6)
+    return joins.best_similar(words(t.documents, "doc_id", "ts"), words(t.benchmark, "item_id", "us"), "doc_id", "item_id", "ts", "us", 0.3)
 
 
 @query("J15_paired_top5", """
-    WITH g AS (SELECT DISTINCT o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS cat FROM orders WHERE o_custkey % 3 = 0),
-    e AS (SELECT * FROM orders WHERE o_custkey % 3 = 1)
-    SELECT o_orderpriority, cat AS wanted, o_orderkey FROM (SELECT g.*, e.o_orderkey, row_number() OVER (PARTITION BY g.o_orderpriority, g.cat ORDER BY e.o_orderkey) AS k
-    FROM g JOIN e USING (o_orderpriority) WHERE g.cat IS NULL OR g.cat = e.o_orderstatus) WHERE k <= 5""")
-def paired_top5(t: Tables) -> DataFrame:
-    groups = t.orders.where("o_custkey % 3 = 0").selectExpr("o_orderpriority", "nullif(o_orderstatus, 'P') AS o_orderstatus").distinct()
-    examples = t.orders.where("o_custkey % 3 = 1").select("o_orderpriority", "o_orderstatus", "o_orderkey")
-    found = joins.paired_examples(groups, examples, ["o_orderpriority"], "o_orderstatus", "o_orderkey")
-    return found.select("o_orderpriority", F.col("__category").alias("wanted"), "o_orderkey")
-
-
-@query("J15_paired_top5_whole", """
     WITH g AS (SELECT DISTINCT o_orderpriority, nullif(month(o_orderdate), 12) AS cat FROM orders WHERE o_orderstatus = 'F'),
     e AS (SELECT o_orderpriority, o_orderkey, month(o_orderdate) AS m FROM orders WHERE o_orderstatus <> 'F')
     SELECT o_orderpriority, cat AS wanted, o_orderkey FROM (SELECT g.*, e.o_orderkey, row_number() OVER (PARTITION BY g.o_orderpriority, g.cat ORDER BY e.o_orderkey) AS k
     FROM g JOIN e USING (o_orderpriority) WHERE g.cat IS NULL OR g.cat = e.m) WHERE k <= 5""")
-def paired_top5_whole(t: Tables) -> DataFrame:
+def paired_top5(t: Tables) -> DataFrame:
     """Orders of status F ask, all others are the examples; the month is the category, December not stated."""
     groups = t.orders.where("o_orderstatus = 'F'").selectExpr("o_orderpriority", "nullif(month(o_orderdate), 12) AS month").distinct()
     examples = t.orders.where("o_orderstatus <> 'F'").selectExpr("o_orderpriority", "month(o_orderdate) AS month", "o_orderkey")

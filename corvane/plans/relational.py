@@ -62,12 +62,11 @@ def share_histogram(t: Tables) -> DataFrame:
 
 
 @query("A12_bucket_ids", """
-    SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n,
-           string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1""")
+    SELECT bucket, doc_id, count(*) OVER (PARTITION BY bucket) AS n FROM
+    (SELECT doc_id, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END AS bucket FROM documents)""")
 def bucket_ids(t: Tables) -> DataFrame:
     bucket = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long")
-    found = aggregates.buckets_with_ids(t.documents.withColumn("bucket", bucket), "bucket", "doc_id")
-    return found.select("bucket", "n", F.array_join("ids", ",").alias("ids"))
+    return aggregates.buckets_with_ids(t.documents.withColumn("bucket", bucket), "bucket", "doc_id")
 
 
 @query("A15_distinct_in_order", """
@@ -308,7 +307,7 @@ def by_size(t: Tables) -> DataFrame:
     return t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_type")
 
 
-@query("T5_seeded_order")
+@query("T5_seeded_order", "SELECT c_custkey FROM customer ORDER BY sha256('11|' || c_custkey), c_custkey LIMIT 25")
 def seeded_order(t: Tables) -> DataFrame:
     return filters.seeded_rows(t.customer, "c_custkey", 25, seed=11).select("c_custkey")
 
@@ -320,7 +319,8 @@ def rarity_sample(t: Tables) -> DataFrame:
     return filters.rarest_first(t.part, "p_type", "p_partkey", 30, 40).select("p_partkey")
 
 
-@query("T7_group_sample")
+@query("T7_group_sample", """
+    SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY sha256('3|' || source), source LIMIT 4)""")
 def group_sample(t: Tables) -> DataFrame:
     return filters.seeded_groups(t.documents, "source", 4, seed=3).select("doc_id", "source")
 
@@ -388,14 +388,14 @@ def failure_streaks(t: Tables) -> DataFrame:
 
 
 @query("W5_circuit_breaker", """
-    WITH i AS (SELECT *, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER w AS g FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    WITH i AS (SELECT *, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER w AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
     s AS (SELECT *, sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END) OVER w AS block_streak, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS page_block_streak
-          FROM i WINDOW w AS (PARTITION BY user_id % 10, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-    p AS (SELECT *, max(CASE WHEN page_block_streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS page_tripped FROM s)
+          FROM i WINDOW w AS (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT *, max(CASE WHEN page_block_streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS page_tripped FROM s)
     SELECT event_id, block_streak::BIGINT AS block_streak, page_block_streak::BIGINT AS page_block_streak, page_tripped, page_tripped OR block_streak >= 10 AS should_halt, NOT page_tripped AND block_streak >= 4 AS early_checkpoint FROM p""")
 def circuit_breaker(t: Tables) -> DataFrame:
     found = windows.breaker(
-        t.events.withColumn("run", F.col("user_id") % 10), ["run"], [F.col("ts"), F.col("event_id")], "event_type", F.col("event_type") == "error", ["error", "click"], ["purchase", "signup"], checkpoint_every=5
+        t.events.withColumn("run", F.col("user_id")), ["run"], [F.col("ts"), F.col("event_id")], "event_type", F.col("event_type") == "error", ["error", "click"], ["purchase", "signup"], checkpoint_every=5
     )
     return found.select("event_id", "block_streak", "page_block_streak", "page_tripped", "should_halt", "early_checkpoint")
 
@@ -435,10 +435,11 @@ def half_shares(t: Tables) -> DataFrame:
 
 
 @query("ST3_payload_change", """
-    WITH h AS (SELECT doc_id, source, sha256(text) AS payload_hash FROM documents)
-    SELECT doc_id, payload_hash, lag(payload_hash) OVER (PARTITION BY source ORDER BY doc_id) IS DISTINCT FROM payload_hash AS changed FROM h""")
+    WITH h AS (SELECT conv_id, turn, sha256(text) AS payload_hash FROM conversations)
+    SELECT conv_id, turn, payload_hash, lag(payload_hash) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM payload_hash AS changed FROM h""")
 def payload_change(t: Tables) -> DataFrame:
-    return windows.changed_payloads(t.documents, ["source"], [F.col("doc_id")], F.col("text")).select("doc_id", "payload_hash", "changed")
+    """A conversation is the record, its turns are its payloads."""
+    return windows.changed_payloads(t.conversations, ["conv_id"], [F.col("turn")], F.col("text")).select("conv_id", "turn", "payload_hash", "changed")
 
 
 @query("X_time_in_stage", """

@@ -25,8 +25,8 @@ def _events(t: Tables) -> DataFrame:
 @query("ST1_high_water_mark", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-10'")
 def high_water_mark(t: Tables) -> DataFrame:
     folder = _folder(t, "high-water")
-    cursor = streams.Versions(t.spark, f"{folder}/cursor", "at timestamp")
-    start = t.spark.sql("SELECT TIMESTAMP '2024-01-10' AS at")
+    cursor = streams.Versions(t.spark, f"{folder}/cursor", "batch bigint, at timestamp")
+    start = t.spark.sql("SELECT -1L AS batch, TIMESTAMP '2024-01-10' AS at")
     cursor.write(start)
     stream = _events(t).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return streams.above_high_water(stream, folder, "ts", cursor)
@@ -57,11 +57,11 @@ def stream_failure_counter(t: Tables) -> DataFrame:
 
 
 @query("ST5_stream_breaker", """
-    WITH i AS (SELECT *, user_id % 10 AS run, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
+    WITH i AS (SELECT *, user_id AS run, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
     s AS (SELECT *, sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS b FROM i WINDOW w AS (PARTITION BY run, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
     SELECT run, arg_max(a, (ts, event_id))::BIGINT AS block_streak, arg_max(b, (ts, event_id))::BIGINT AS page_block_streak, max(b) >= 3 OR arg_max(a, (ts, event_id)) >= 10 AS should_halt FROM s GROUP BY run""")
 def stream_breaker(t: Tables) -> DataFrame:
-    rows = _events(t).select((F.col("user_id") % 10).alias("run"), "ts", "event_id", "event_type")
+    rows = _events(t).select(F.col("user_id").alias("run"), "ts", "event_id", "event_type")
     found = streams.breakers(rows, "run", ["ts", "event_id"], "event_type", ["error"], ["error", "click"], ["purchase", "signup"])
     return streams.run_to_table(found, _folder(t, "breaker"), "breakers")
 
@@ -79,11 +79,14 @@ def since_checkpoint(t: Tables) -> DataFrame:
     return streams.run_to_table(rows, _folder(t, "since"), "rows")
 
 
-@query("ST8_windowed_counts")
+@query("ST8_windowed_counts", """
+    SELECT date_trunc('day', ts)::DATE AS day, event_type, count(*) AS n FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def windowed_counts(t: Tables) -> DataFrame:
+    """Days that the watermark, an hour behind the latest event, has passed."""
     rows = _events(t).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     found = streams.run_to_table(streams.windowed_counts(rows, "ts", "1 day", "event_type", "1 hour"), _folder(t, "windows"), "counts")
-    return found.select(F.col("window.start").alias("day"), "event_type", "n")
+    return found.select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
 
 
 @query("ST9_expiring_leases")

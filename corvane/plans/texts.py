@@ -156,19 +156,10 @@ def keyword_extract(t: Tables) -> DataFrame:
 
 
 @query("X16_keyword_presence", f"""
-    WITH k AS (SELECT item_id, array_distinct({_KEYWORDS}) AS ks, lower(substr(text, 1, 60)) AS low FROM benchmark)
-    SELECT item_id, len(list_filter(ks, lambda x: contains(low, x) OR (contains(x, '-') AND contains(low, replace(x, '-', ' ')))))::INT AS n_present, len(ks)::INT AS n_all FROM k""")
-def keyword_presence(t: Tables) -> DataFrame:
-    rows = t.benchmark.select("item_id", text.keywords(F.col("text")).alias("ks"), F.substring("text", 1, 60).alias("body"))
-    split = text.keyword_split(F.col("ks"), F.col("body"))
-    return rows.select("item_id", F.size(split["present"]).alias("n_present"), F.size("ks").alias("n_all"))
-
-
-@query("X16_keyword_presence_whole", f"""
     WITH k AS (SELECT conv_id, turn, array_distinct({_KEYWORDS}) AS ks FROM conversations),
     p AS (SELECT k.*, lower(c.text) AS low FROM k JOIN conversations c ON c.conv_id = k.conv_id AND c.turn = k.turn + 1)
     SELECT conv_id, turn, len(list_filter(ks, lambda x: contains(low, x) OR (contains(x, '-') AND contains(low, replace(x, '-', ' ')))))::INT AS n_present, len(ks)::INT AS n_all FROM p""")
-def keyword_presence_whole(t: Tables) -> DataFrame:
+def keyword_presence(t: Tables) -> DataFrame:
     """Each turn's keywords in the whole text of the next turn."""
     asked = t.conversations.select("conv_id", "turn", text.keywords(F.col("text")).alias("ks"))
     said = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
@@ -177,19 +168,10 @@ def keyword_presence_whole(t: Tables) -> DataFrame:
 
 
 @query("X17_technical_terms", f"""
-    WITH w AS (SELECT doc_id, unnest(array_distinct(string_split(substr(text, 1, 400), ' '))) AS w FROM documents)
-    SELECT doc_id, count(*) FILTER (lower(w) IN ({_quoted(text.TECHNOLOGIES)}) OR contains(w, '-') OR (upper(w) = w AND lower(w) <> w AND length(w) >= 2) OR regexp_matches(w, '[0-9]')
-           OR regexp_matches(lower(w), '(?:{"|".join(text.TECH_ENDINGS)})$')) AS n FROM w GROUP BY doc_id""")
-def technical_terms(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.substring("text", 1, 400), " "))).alias("w"))
-    return words.groupBy("doc_id").agg(F.count(F.when(text.is_technical(F.col("w")), 1)).alias("n"))
-
-
-@query("X17_technical_terms_whole", f"""
     WITH w AS (SELECT doc_id, unnest(array_distinct(string_split(text, ' '))) AS w FROM documents)
     SELECT doc_id, count(*) FILTER (lower(w) IN ({_quoted(text.TECHNOLOGIES)}) OR contains(w, '-') OR (upper(w) = w AND lower(w) <> w AND length(w) >= 2) OR regexp_matches(w, '[0-9]')
            OR regexp_matches(lower(w), '(?:{"|".join(text.TECH_ENDINGS)})$')) AS n FROM w GROUP BY doc_id""")
-def technical_terms_whole(t: Tables) -> DataFrame:
+def technical_terms(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     return words.groupBy("doc_id").agg(F.count(F.when(text.is_technical(F.col("w")), 1)).alias("n"))
 
@@ -201,14 +183,19 @@ def keyword_inject(t: Tables) -> DataFrame:
 
 
 @query("X19_format_lint", r"""
-    WITH w AS (SELECT doc_id, text, lower(text) AS low, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM documents)
-    SELECT doc_id, (n < 200 OR n > 1200) AS length_issue, regexp_matches(text, '(?m)^[^\n]*\|[^\n]*\|') AS table_issue,
-           (contains(low, 'experience')::INT + contains(low, 'education')::INT + contains(low, 'skills')::INT + contains(low, 'projects')::INT + contains(low, 'summary')::INT
-            + contains(low, 'objective')::INT + contains(low, 'certifications')::INT + contains(low, 'awards')::INT) < 3 AS section_issue FROM w""")
+    WITH d AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 1 THEN chr(10) || 'Page 1 of 2' WHEN 2 THEN chr(10) || ' - 3 - ' WHEN 3 THEN chr(10) || 'a' || chr(9) || chr(9) || 'b |c|' WHEN 4 THEN chr(10) || 'page' || chr(10) || '1 of 2' ELSE '' END AS text FROM documents),
+    w AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n,
+          list_filter(['awards', 'certifications', 'education', 'experience', 'objective', 'projects', 'skills', 'summary'], lambda x: contains(lower(text), x)) AS found FROM d),
+    i AS (SELECT doc_id, [CASE WHEN n < 200 THEN 'too sparse: ' || n || ' words' WHEN n > 1200 THEN 'too long: ' || n || ' words' END,
+          CASE WHEN len(found) < 3 THEN 'sections found: ' || len(found) || '; missing: ' || array_to_string(list_filter(['awards', 'certifications', 'education', 'experience', 'objective', 'projects', 'skills', 'summary'], lambda x: NOT list_contains(found, x)), ', ') END,
+          CASE WHEN regexp_matches(text, '\S[^\n]*\t\t[^\n]*\S') THEN 'columns: tabs within a line' END, CASE WHEN regexp_matches(text, '\|[^\n]*\|') THEN 'table: pipes within a line' END,
+          CASE WHEN regexp_matches(text, '(?i)\bpage[ \t]+\d+[ \t]+of[ \t]+\d+\b') OR regexp_matches(text, '(?m)^[ \t]*-[ \t]*\d+[ \t]*-[ \t]*$') THEN 'page number' END] AS all_ FROM w)
+    SELECT doc_id, array_to_string(list_filter(all_, lambda x: x IS NOT NULL), ' | ') AS issues FROM i""")
 def format_lint(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", text.format_issues(F.col("text")).alias("i"))
-    has = lambda start: F.exists("i", lambda x: x.startswith(start))
-    return rows.select("doc_id", has("too ").alias("length_issue"), has("table").alias("table_issue"), has("sections").alias("section_issue"))
+    """All messages over whole texts, to which page marks, tabs and pipes are added here and there."""
+    added = F.element_at(F.array(*map(F.lit, ("", "\nPage 1 of 2", "\n - 3 - ", "\na\t\tb |c|", "\npage\n1 of 2"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = t.documents.select("doc_id", F.concat("text", added).alias("text"))
+    return rows.select("doc_id", F.array_join(text.format_issues(F.col("text")), " | ").alias("issues"))
 
 
 @query("X20_bullet_rewrites")

@@ -58,15 +58,20 @@ class Versions:
 
 
 def above_high_water(stream: DataFrame, folder: str, column: str, cursor: Versions) -> DataFrame:
-    """ST1: rows later than the cursor, which moves to the latest row once the batch is written. Later comers drop."""
+    """ST1: rows later than the cursor, which moves to the latest row once the batch is written. Later comers drop.
+
+    The cursor holds (batch, at): a batch met again is judged by the cursor as it was before that batch, so it is
+    written with the same rows once more.
+    """
     spark, out = stream.sparkSession, f"{folder}/accepted"
 
     def act(batch: DataFrame, number: int) -> None:
-        held = cursor.read().agg(F.max("at").alias("__at"))
-        batch = batch.crossJoin(F.broadcast(held)).where(F.col("__at").isNull() | (F.col(column) > F.col("__at"))).drop("__at")
+        before = cursor.read().where(F.col("batch") < number).agg(F.max("at").alias("__at"))
+        batch = batch.crossJoin(F.broadcast(before)).where(F.col("__at").isNull() | (F.col(column) > F.col("__at"))).drop("__at")
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        written = spark.read.schema(stream.schema).parquet(f"{out}/batch={number}")
-        cursor.write(cursor.read().unionByName(written.agg(F.max(column).alias("at"))).agg(F.max("at").alias("at")))
+        written = spark.read.schema(stream.schema).parquet(f"{out}/batch={number}").agg(F.max(column).alias("at"))
+        held = before.selectExpr(f"{number - 1}L AS batch", "__at AS at").where("at IS NOT NULL")
+        cursor.write(held.unionByName(written.selectExpr(f"{number}L AS batch", "at").where("at IS NOT NULL")))
 
     run_batches(stream, folder, "high-water", act)
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
