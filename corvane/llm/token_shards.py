@@ -6,8 +6,8 @@ network with cycle-walking permutes sequence numbers onto slots: the order needs
 and any sequence's slot can be computed. Slots are dealt by range to tasks that each write whole shards, so slot
 s is at byte (s mod SHARD) * stride of shard s div SHARD, and reading may resume anywhere.
 
-Two scans tokenise: the first counts a segment's (scan task's) tokens, of which only totals come back, one row a
-task; the second knows its place in the stream and sends packed, compressed pieces of sequences straight to their
+Two scans tokenise: the first counts a segment's (scan task's) tokens, of which only a total and a digest of eight
+bytes come back, 24 bytes a task in all, broadcast once to each executor and not sent with each task; the second knows its place in the stream and sends packed, compressed pieces of sequences straight to their
 shard, the only shuffle. Keeping the tokens between the scans would spare the second but takes half the input's
 size of disk again. Both scans must see the same segments, so docs has to be a stored table, and this is
 verified by a digest of each segment.
@@ -30,9 +30,11 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.llm.common import Workspace
 
@@ -183,24 +185,24 @@ def token_shards(
     with open(vocabulary, "rb") as f:
         tokenizer = spark.sparkContext.broadcast(Tokenizer(f.read(), pattern, end))
     texts = docs.selectExpr(f"`{id_col}` AS row_id", f"cast(`{text_col}` AS string) AS text")
+    id_kind = to_arrow_type(texts.schema["row_id"].dataType)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, seen = 0, hashlib.sha256()
+        total, seen = 0, xxhash.xxh64()
         for row, text in _rows(batches):
             size = tokenizer.value.count(text)
             total += size
             _digest(seen, row, size)
-        yield pa.RecordBatch.from_pydict({"segment": [TaskContext.get().partitionId()], "n": [total], "digest": [seen.hexdigest()]})
+        held = [TaskContext.get().partitionId(), total, np.uint64(seen.intdigest()).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], ["segment", "n", "digest"])
 
-    counted = {r["segment"]: r for r in texts.mapInArrow(count, "segment long, n long, digest string").collect()}
-    begin, total = {}, 0
-    for k in sorted(counted):
-        begin[k] = total
-        total += counted[k]["n"]
+    counted = texts.mapInArrow(count, "segment long, n long, digest long").toArrow().sort_by("segment")
+    segments, sizes, digests = (counted.column(k).to_numpy() for k in range(3))
+    total = int(sizes.sum())
     n = -(-total // sequence)
-    expected = {k: r["digest"] for k, r in counted.items()}
+    places = spark.sparkContext.broadcast((segments, np.cumsum(sizes) - sizes, digests))
     order = Permutation(max(n, 1), key)
     shards = max(1, -(-n // shard))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
@@ -211,7 +213,10 @@ def token_shards(
         from pyspark import TaskContext
 
         segment = TaskContext.get().partitionId()
-        at, seen = begin.get(segment, 0), hashlib.sha256()
+        known, begins, expected = places.value
+        spot = int(np.searchsorted(known, segment))
+        here = spot < len(known) and known[spot] == segment
+        at, seen = int(begins[spot]) if here else 0, xxhash.xxh64()
         held: list[np.ndarray] = []
         owners: list[int | None] = []
         out: list[tuple] = []
@@ -230,7 +235,7 @@ def token_shards(
             number = np.array([x[0] for x in out], np.int64)
             slots = order.slots(number)
             columns = [pa.array((slots // shard * tasks // shards).astype(np.int32)), pa.array(slots), pa.array(number)]
-            columns += [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary()), (4, pa.list_(pa.int64())))]
+            columns += [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary()), (4, pa.list_(id_kind)))]
             out.clear()
             return pa.RecordBatch.from_arrays(columns, ["task", "slot", "sequence", "at", "n", "data", "row_ids"])
 
@@ -250,7 +255,7 @@ def token_shards(
         flush()
         if out:
             yield batch_of()
-        if seen.hexdigest() != expected.get(segment, hashlib.sha256().hexdigest()):
+        if seen.intdigest() != (int(expected[spot]) % (1 << 64) if here else xxhash.xxh64().intdigest()):
             raise ValueError("the two scans saw different rows; write docs to a table and pass that")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +273,7 @@ def token_shards(
                 size = len(data) // width
                 rows.append((slot, now, number, size, ids, data + fill * (sequence - size)))
             write_shard(folder, now, b"".join(r[5] for r in rows))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(id_kind)))]
             columns.append(pa.array([hashlib.sha256(r[5]).hexdigest() for r in rows]))
             return pa.RecordBatch.from_arrays(columns, ["slot", "shard", "sequence", "n_tokens", "doc_ids", "tokens_sha256"])
 
@@ -283,7 +288,8 @@ def token_shards(
         if slots:
             yield done()
 
-    moved = texts.mapInArrow(pieces, "task int, slot long, sequence long, at int, n int, data binary, row_ids array<long>")
+    kind = dict(texts.dtypes)["row_id"]
+    moved = texts.mapInArrow(pieces, "task int, slot long, sequence long, at int, n int, data binary, row_ids array<" + kind + ">")
     dealt = moved.repartitionById(tasks, F.col("task")).sortWithinPartitions("slot", "at")
-    manifest = dealt.mapInArrow(write, "slot long, shard long, sequence long, n_tokens long, doc_ids array<long>, tokens_sha256 string")
+    manifest = dealt.mapInArrow(write, "slot long, shard long, sequence long, n_tokens long, doc_ids array<" + kind + ">, tokens_sha256 string")
     return space.save(manifest, "manifest")
