@@ -17,7 +17,7 @@ from corvane.llm import mixing, quality, queries, toxicity
 from corvane.llm.common import Workspace, alnum_words, space_words
 from corvane.llm.components import connected_components, spanning_stars
 from corvane.llm.cuckoo import CuckooFilter
-from corvane.llm.decontaminate import decontaminate
+from corvane.llm.decontaminate import build_index, decontaminate, search_items
 from corvane.llm.exact_dedup import DigestIndex, digests, exact_dedup
 from corvane.llm.line_dedup import LineIndex, cut, key_rows, line_dedup
 from corvane.llm.lm_scoring import lm_scores
@@ -149,11 +149,32 @@ def test_decontaminate_in_blocks_and_edges(spark, edges):
     assert decontaminate(spark, edges, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate(spark, edges.limit(0), bench).count() == 0
 
 
+def test_a_second_test_set_is_answered_from_the_stored_index(spark, texts, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    build_index(docs, segment_tokens=5000).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() > 10
+    monkeypatch.setattr("corvane.llm.decontaminate.SLICE", 7)  # many slices, and windows cut across them
+    for pick in (10, 40):
+        words = [alnum_words((t or "").encode()) for _, t in sorted(texts.items())]
+        items = [(k, b" ".join(w[len(w) // 2 : len(w) // 2 + 5 + k]).decode()) for k, w in enumerate(words[pick : pick + 12])]
+        own = [(str(i), alnum_words(t.encode())) for i, t in items]
+        starts = {tuple(w[k : k + 13]) for _, w in own for k in range(max(1, len(w) - 12)) if w}
+        sizes = {len(x) for x in starts}
+        want = {}
+        for (i, _), w in zip(sorted(texts.items()), words):
+            near = any(tuple(w[k : k + n]) in starts for n in sizes for k in range(len(w) - n + 1))
+            want[i] = (len(w), *(brute_hits(w, own) if near else (0, [])))
+        found = search_items(index, spark.createDataFrame(items, "item_id long, text string"))
+        assert {r.row_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.collect()} == want
+        assert sum(n > 0 for _, n, _ in want.values()) >= 10
+
+
 def test_proximity_lets_words_move(spark):
-    docs = spark.createDataFrame([(1, "a x b c"), (2, "a b c"), (3, "c b a")], "doc_id long, text string")
+    docs = spark.createDataFrame([("1", "a x b c"), ("2", "a b c"), ("3", "c b a")], "doc_id string, text string")
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     hits = lambda slop: sorted(r.row_id for r in decontaminate(spark, docs, bench, slop=slop).where("n_hit > 0").collect())
-    assert hits(0) == [2] and hits(1) == [1, 2]
+    assert hits(0) == ["2"] and hits(1) == ["1", "2"]
 
 
 # 4
