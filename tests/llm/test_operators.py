@@ -81,14 +81,35 @@ def test_digest_index_is_persistent_and_incremental(spark, tmp_path):
     path = str(tmp_path / "index")
     batch = lambda *rows: digests(spark.createDataFrame(list(rows), "doc_id long, text string"))
     DigestIndex(spark, path, 4).ingest(batch((1, "a"), (2, "A"), (3, "b")))
-    again = DigestIndex(spark, path, 4)
+    again = DigestIndex(spark, path)
+    assert again.buckets == 4
     again.ingest(batch((4, "a"), (5, "c")))
-    assert sorted((r.keep_id, r.group_size) for r in again.rows().collect()) == [(2, 2), (3, 1), (5, 1)]
+    assert sorted((r.keep_id, r.group_size) for r in again.rows().collect()) == [(3, 1), (4, 3), (5, 1)]
     joined = batch((6, "z")).repartition(4, "digest").join(spark.table(again.table).hint("merge"), "digest", "left_anti")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
     small = again.compact(str(tmp_path / "compact"))
-    assert small.rows().count() == 3
+    assert sorted((r.keep_id, r.group_size) for r in small.rows().collect()) == [(3, 1), (4, 3), (5, 1)]
+
+
+def test_digest_index_keeps_its_own_buckets(spark, tmp_path):
+    path = str(tmp_path / "index")
+    many = digests(spark.range(100).selectExpr("id AS doc_id", "cast(id AS string) AS text"))
+    DigestIndex(spark, path, 16).ingest(many)
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, 4)
+    for _ in range(2):
+        DigestIndex(spark, path).ingest(many)
+    rows = DigestIndex(spark, path).rows().collect()
+    assert len(rows) == 100 and {r.group_size for r in rows} == {3}
+
+
+def test_exact_dedup_over_batches(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "index"), 4, "string")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, text string")
+    exact_dedup(spark, frame(("1", "x"), ("2", "y")), index=index).collect()
+    found = exact_dedup(spark, frame(("9", "X"), ("8", "x"), ("3", "z")), index=index)
+    assert sorted((r.row_id, r.keep_id, r.group_size) for r in found.collect()) == [("3", "3", 1), ("8", "9", 3), ("9", "9", 3)]
 
 
 # 2
