@@ -68,23 +68,25 @@ def apportion(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> D
     """(source, shard, until): blocks of the source in all shards up to and with that one.
 
     With the seats' common price, every source first gets the quotients not below half of it, its share
-    rounded; the seats then missing or too many are settled by the next highest or the lowest quotients, which
-    no source can have more of than are missing.
+    rounded; the seats then missing or too many are settled by the next highest or the lowest quotients. Of S sources,
+    the price that settles them shifts the sum of shares by S / 2 at most, so a source of the part p of all targets
+    changes by p * S / 2 + 1 seats at most: all sources together offer a few quotients for each source, not S for each.
     """
     every, ends = W.partitionBy(), W.partitionBy("shard")
-    total = targets.where("target > 0").select("source", "target", F.sum("target").over(every).alias("total"))
+    total = targets.where("target > 0").select("source", "target", F.sum("target").over(every).alias("total"), F.count(F.lit(1)).over(every).alias("n"))
     seats = (
         total.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
         .withColumn("seats", F.round(F.col("total") / block * F.col("shard") / shards).cast("long"))
         .withColumn("first", F.floor(F.col("target") * F.col("seats") / F.col("total") + 0.5))
         .withColumn("missing", F.col("seats") - F.sum("first").over(ends))
+        .withColumn("near", F.least(F.abs("missing"), (F.floor(F.col("target") / F.col("total") * F.col("n") / 2) + 2)))
     )
     quotients = seats.withColumn(
         "s",
         F.explode(
             F.expr(
-                "CASE WHEN missing > 0 THEN sequence(first, first + missing - 1) "
-                "WHEN missing < 0 THEN sequence(greatest(first + missing, 0L), greatest(first - 1, 0L)) ELSE array(-1L) END"
+                "CASE WHEN missing > 0 THEN sequence(first, first + near - 1) "
+                "WHEN missing < 0 THEN sequence(greatest(first - near, 0L), greatest(first - 1, 0L)) ELSE array(-1L) END"
             )
         ),
     ).withColumn("quotient", F.col("target") / (2 * F.col("s") + 1))

@@ -20,7 +20,7 @@ from corvane.llm.cuckoo import CuckooFilter
 from corvane.llm.decontaminate import build_index, decontaminate, search_items
 from corvane.llm.exact_dedup import DigestIndex, digests, exact_dedup
 from corvane.llm.line_dedup import LineIndex, cut, key_rows, line_dedup
-from corvane.llm.lm_scoring import lm_scores
+from corvane.llm.lm_scoring import chunked, entries, lm_scores, parts_for
 from corvane.llm.mixing import apportion, mix, source_targets
 from corvane.llm.simhash import Golay, close_pairs, fingerprint, golay_keys, simhash_groups
 from corvane.llm.token_shards import END, VOCABULARY, Permutation, Tokenizer, read_slots, token_shards
@@ -223,6 +223,36 @@ def test_lm_scores_against_brute_force(spark, edges, texts):
     assert lm_scores(spark, edges).count() == len(EDGES) and lm_scores(spark, edges.limit(0)).count() == 0
 
 
+def test_lm_scores_of_triples(spark, texts):
+    docs = spark.createDataFrame([(str(i), t) for i, t in list(texts.items())[:25]] * 2 + [(None, "one"), ("x", "")], "doc_id string, text string")
+    rows = lm_scores(spark, docs, chunk_words=5000, order=3, part_words=2000).collect()
+    own = [(r.doc_id, alnum_words((r.text or "").encode())) for r in docs.collect()]
+    grams = lambda w: Counter(tuple(w[k : k + m]) for m in (1, 2, 3) for k in range(len(w) - m + 1))
+    every = sum((grams(w) for _, w in own), Counter())
+    total, want = sum(len(w) for _, w in own), []
+    for i, w in own:
+        mine, score, steps = grams(w), 0.0, 0
+        count = lambda g: every[g] - mine[g]  # noqa: E731, B023
+        for k in range(len(w)):
+            for m in range(min(2, k), -1, -1):
+                g = tuple(w[k - m : k + 1])
+                if not m or count(g) > 0:
+                    score += math.log(count(g) / count(g[:-1])) if m else math.log(max(count(g), 1) / (total - len(w)))
+                    break
+                score, steps = score + math.log(0.4), steps + 1
+        want.append((str(i), len(w), steps, round(score, 5)))
+    assert sorted((str(r.row_id), r.n_words, r.n_backoff, round(r.log_score, 5)) for r in rows) == sorted(want)
+
+
+def test_lm_partitions_grow_with_the_words(spark, texts):
+    docs = [(i, t) for i, t in texts.items() if t][:40]
+    for times in (1, 10):  # ten times the input, the same shuffle partitions
+        chunks = chunked(spark.createDataFrame([(i, " ".join(f"{w}{k}" for w in t.split())) for k in range(times) for i, t in docs], "doc_id long, text string"), "doc_id", "text", 5000)
+        total = chunks.agg(F.sum("n_words")).first()[0]
+        sizes = [r.n for r in entries(chunks, parts_for(total, 4, 2000)).withColumn("bytes", F.length("grams")).groupBy("part").agg(F.sum("bytes").alias("n")).collect()]
+        assert max(sizes) < 40000, (times, len(sizes), max(sizes))
+
+
 # 5
 
 
@@ -370,6 +400,18 @@ def test_targets_and_seats_against_brute_force(spark):
             assert {r.source: r.until for r in rows if r.shard == shard} == seats
 
 
+def test_seats_of_many_sources(spark):
+    random.seed(8)
+    targets = {f"s{k}": random.choice([1.0, 3.0, 7.5, 12.0, 4000.0]) * random.random() for k in range(600)}
+    df = spark.createDataFrame([(s, 0, t) for s, t in targets.items()], "source string, source_size long, target double")
+    rows = apportion(df, block=10, shards=2).collect()
+    for shard in (1, 2):
+        seats = seats_one_by_one(targets, round(sum(targets.values()) / 10 * shard / 2))
+        assert {r.source: r.until for r in rows if r.shard == shard} == seats
+    many = spark.range(10000).selectExpr("cast(id AS string) AS source", "0L AS source_size", "4.0D + id % 3 AS target")  # each far below a block
+    assert apportion(many, block=32, shards=1).agg(F.sum("until")).first()[0] == round(sum(4 + k % 3 for k in range(10000)) / 32)
+
+
 def test_mix_comes_near_targets(spark, edges):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = mix(spark, docs).collect()
