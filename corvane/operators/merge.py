@@ -26,9 +26,10 @@ def insert_if_absent(state: DataFrame, new: DataFrame, keys: list[str], order: l
 def insert_or_get(state: DataFrame, new: DataFrame, keys: list[str], id_col: str, new_id: Column) -> DataFrame:
     """M5: every row of new with the stored id of its key, or the one made for it; new_id is made from the key columns, once a key."""
     held = state.select(*keys, F.col(id_col).alias("__id"))
-    made = new.select(*keys).distinct().join(held, keys, "left").select(*keys, F.coalesce("__id", new_id).alias("__id"))
-    same = [new[k].eqNullSafe(made[k]) for k in keys]
-    return new.join(made, same, "left").select(*(new[c] for c in new.columns if c != id_col), F.col("__id").alias(id_col))
+    made = new.select(*keys).distinct().join(held, keys, "left").withColumn("__id", F.coalesce("__id", new_id))
+    made = made.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__id").alias("__made"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return new.join(made, same, "left").withColumn(id_col, F.col("__made")).drop("__made", *(f"__{k}" for k in keys))
 
 
 def _updated(state: DataFrame, new: DataFrame, keys: list[str], columns: list[str], usable, value, order: list[str]) -> DataFrame:

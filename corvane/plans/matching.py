@@ -164,39 +164,82 @@ def fingerprint_threshold(t: Tables) -> DataFrame:
     return cluster.thresholded(rows, ["event_type", "bucket"], t.events.count())
 
 
-_FIELDS = """
-    SELECT p_partkey, CASE WHEN p_size % 11 = 1 THEN 'hidden' ELSE 'text' END AS itype, CASE p_size % 9 WHEN 0 THEN 'email-12' WHEN 1 THEN 'edit-url' WHEN 2 THEN 'gclid' ELSE 'question_' || p_size END AS id,
-    CASE WHEN p_size % 13 = 0 THEN 'given-name' ELSE '' END AS ac,
-    CASE p_size % 7 WHEN 0 THEN 'Last Name*' WHEN 1 THEN 'Phonetic phone name' WHEN 2 THEN 'Mobile number' WHEN 3 THEN '' WHEN 4 THEN 'If other, please specify' WHEN 5 THEN p_name ELSE 'Expected salary' END AS label,
-    CASE WHEN p_size % 2 = 0 THEN 'Your e-mail' ELSE '' END AS placeholder, CASE WHEN p_size % 5 = 0 THEN 'LinkedIn profile' ELSE 'GitHub link 14' END AS section, 'where is your portfolio' AS nearby, p_size % 3 = 0 AS req FROM part"""
+#: A label for most rules, labels that exclusions turn away, and labels that ask for nothing known.
+_LABELS = [
+    "First Name*", "Last name", "Full name", "E-mail address", "Mobile number", "LinkedIn profile", "GitHub", "Personal site", "City", "Province", "Country", "Street address", "Postal code",
+    "Preferred first name", "Your pronouns", "Are you authorized to work in the country you reside?", "Eligible for long-term work", "Will you now or in the future require sponsorship?",
+    "What type of visa do you hold", "Gender identity", "Racial background", "Are you Hispanic or Latino?", "Protected veteran", "Do you have a disability or long-term health condition", "University",
+    "Highest education reached", "Field of study", "GPA", "Expected salary", "Have you ever been employed by us?", "Cover letter", "Emergency contact phone", "Confirm e-mail",
+    "Company website", "If other, please specify", "Leave this field blank", "Favourite colour", "", "Select...", "Bonus and salary",
+    "I agree to the background check", "I have read the privacy policy", "Consent to SMS", "Notify me of job openings",
+]
+_QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _LABELS)
+_FIELDS = f"""
+    SELECT p_partkey, CASE WHEN p_size % 11 = 1 THEN 'hidden' ELSE 'text' END AS itype, CASE p_partkey % 9 WHEN 0 THEN 'email-12' WHEN 1 THEN 'edit-url' WHEN 2 THEN 'gclid' ELSE 'question_' || p_size END AS id,
+    CASE WHEN p_size % 13 = 0 THEN 'given-name' ELSE '' END AS ac, element_at(array({_QUOTED}), cast(p_partkey % {len(_LABELS)} + 1 AS int)) AS label,
+    CASE WHEN p_size % 2 = 0 THEN 'Your e-mail' ELSE '' END AS placeholder, CASE WHEN p_size % 5 = 0 THEN 'LinkedIn profile' ELSE 'Git link 14' END AS section, 'where is your portfolio' AS nearby, p_size % 3 = 0 AS req FROM part"""
+
+
+def _rules_sql(text: str) -> str:
+    """The label rules as SQL."""
+    any_of = lambda patterns: f"regexp_matches({text}, '(?i)" + "|".join(f"(?:{p})" for p in patterns) + "')"
+    return "CASE " + " ".join(f"WHEN {any_of(p)}{' AND NOT ' + any_of(x) if x else ''} THEN '{name}'" for name, p, x in classify.LABEL_RULES + classify.CONSENT_RULES) + " END"
 
 
 @query("C1_field_interpreter", f"""
-    WITH f AS ({_FIELDS}), l AS (SELECT *, lower(label) AS low, trim(label) = '' AS no_label, trim(placeholder) = '' AS no_place, regexp_replace(id, '[-_]{{1,2}}\\d+$', '') AS stem FROM f),
-    s AS (SELECT *, CASE WHEN id = 'edit-url' THEN 'honeypot' WHEN itype = 'hidden' AND id = 'gclid' THEN 'hidden_tracking_field' WHEN itype = 'hidden' THEN 'hidden_non_interactive_field'
-        WHEN no_label AND no_place AND itype = 'text' AND req THEN 'react_select_required_shim' WHEN label LIKE 'If other, please specify%' THEN 'other_followup' END AS structural,
-        CASE WHEN ac = 'given-name' THEN 'first_name' END AS t1, CASE WHEN stem = 'email' THEN 'email' END AS t2,
-        CASE WHEN low = 'last name*' THEN 'last_name' WHEN low = 'mobile number' THEN 'phone' WHEN low = 'expected salary' THEN 'compensation' END AS t3,
-        CASE WHEN no_label AND NOT no_place THEN 'email' END AS t4, CASE WHEN no_label AND no_place AND length(section) >= 15 THEN 'linkedin' END AS t5, CASE WHEN no_label AND no_place THEN 'portfolio' END AS t6 FROM l)
+    WITH f AS ({_FIELDS.replace("element_at(array(", "([").replace("), cast(p_partkey", "])[p_partkey").replace(" + 1 AS int))", " + 1]")}),
+    l AS (SELECT *, trim(label) = '' AS no_label, trim(placeholder) = '' AS no_place, regexp_replace(id, '[-_]{{1,2}}\\d+$', '') AS stem FROM f),
+    s AS (SELECT *, CASE WHEN id = 'edit-url' OR label = 'Leave this field blank' THEN 'honeypot' WHEN itype = 'hidden' AND id = 'gclid' THEN 'hidden_tracking_field' WHEN itype = 'hidden' THEN 'hidden_non_interactive_field'
+        WHEN (no_label OR label = 'Select...') AND no_place AND itype = 'text' AND req THEN 'react_select_required_shim' WHEN label LIKE 'If other, please specify%' THEN 'other_followup' END AS structural,
+        CASE WHEN ac = 'given-name' THEN 'first_name' END AS t1, CASE WHEN stem = 'email' THEN 'email' END AS t2, CASE WHEN NOT no_label THEN {_rules_sql("label")} END AS t3,
+        CASE WHEN no_label AND NOT no_place THEN {_rules_sql("placeholder")} END AS t4, CASE WHEN no_label AND no_place AND length(section) >= 15 THEN {_rules_sql("section")} END AS t5,
+        CASE WHEN no_label AND no_place THEN {_rules_sql("nearby")} END AS t6 FROM l)
     SELECT p_partkey, CASE WHEN structural IS NULL THEN coalesce(t1, t2, t3, t4, t5, t6) END AS category,
         CASE WHEN structural IS NOT NULL THEN structural WHEN t1 IS NOT NULL THEN 'autocomplete' WHEN t2 IS NOT NULL THEN 'id' WHEN t3 IS NOT NULL THEN 'label' WHEN t4 IS NOT NULL THEN 'placeholder' WHEN t5 IS NOT NULL THEN 'section' WHEN t6 IS NOT NULL THEN 'nearby_text' END AS tier
     FROM s""")
 def field_interpreter(t: Tables) -> DataFrame:
+    """All parts, each with one of the labels, by all tiers and all rules of the built-in table."""
     t.part.createOrReplaceTempView("__part")
     fields = t.spark.sql(_FIELDS.replace("FROM part", "FROM __part"))
     return classify.interpret(fields.withColumn("tag", F.lit("input"))).select("p_partkey", "category", "tier")
 
 
-@query("C4_C5_capability_map", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'email' WHEN 1 THEN NULL ELSE NULL END AS capability FROM part")
+_TOPICS = [*classify.CAPABILITIES, *classify.UNSUPPORTED, "never_heard_of"]
+_TOPIC_ROWS = ", ".join(f"({k}, '{x}', {repr(classify.CAPABILITIES[x]) if x in classify.CAPABILITIES else 'NULL'}, '{'supported' if x in classify.CAPABILITIES else 'unsupported' if x in classify.UNSUPPORTED else 'unknown'}')" for k, x in enumerate(_TOPICS))
+
+
+@query("C4_C5_capability_map", f"""
+    WITH m(k, topic, capability, status) AS (VALUES {_TOPIC_ROWS})
+    SELECT p_partkey, topic, capability, status FROM part JOIN m ON k = p_partkey % {len(_TOPICS)}""")
 def capability_map(t: Tables) -> DataFrame:
-    category = F.when(F.col("p_size") % 3 == 0, "email_address").when(F.col("p_size") % 3 == 1, "current_company").otherwise("never_heard_of")
-    return t.part.select("p_partkey", classify.capability(category, {"email_address": "email", "current_company": "x"}, ["current_company"]).alias("capability"))
+    """Every topic of the table, the unsupported ones and one that nobody knows."""
+    topic = F.element_at(F.array(*map(F.lit, _TOPICS)), (F.col("p_partkey") % len(_TOPICS) + 1).cast("int"))
+    rows = t.part.select("p_partkey", topic.alias("topic"))
+    return rows.select("p_partkey", "topic", classify.capability(F.col("topic")).alias("capability"), classify.topic_status(F.col("topic")).alias("status"))
+
+
+_CONSENTS = [*classify.CONSENT_DEFAULTS, "first_name"]
 
 
-@query("C6_consent_policy", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'decline' END AS answer FROM part")
+@query("C6_consent_policy", f"""
+    WITH m AS (SELECT p_partkey, ([{", ".join(f"'{x}'" for x in _CONSENTS)}])[p_partkey % {len(_CONSENTS)} + 1] AS topic FROM part)
+    SELECT p_partkey, topic, CASE WHEN topic IN ('consent_background_check', 'consent_privacy_policy', 'consent_gdpr_notice') THEN 'Yes|I agree|I consent|Accept|I understand and agree'
+           WHEN topic <> 'first_name' THEN 'No|I do not consent|Decline|I don''t wish to|Prefer not to' END AS wordings FROM m""")
 def consent_policy(t: Tables) -> DataFrame:
-    topic = F.when(F.col("p_size") % 3 == 0, "privacy_notice").when(F.col("p_size") % 3 == 1, "marketing_texts").otherwise("unknown_topic")
-    return t.part.select("p_partkey", classify.capability(topic, {"privacy_notice": "accept", "marketing_texts": "decline"}, []).alias("answer"))
+    topic = F.element_at(F.array(*map(F.lit, _CONSENTS)), (F.col("p_partkey") % len(_CONSENTS) + 1).cast("int"))
+    rows = t.part.select("p_partkey", topic.alias("topic"))
+    return rows.select("p_partkey", "topic", F.array_join(classify.consent_answer(F.col("topic")), "|").alias("wordings"))
+
+
+@query("X29_visa_answers", """
+    WITH v AS (SELECT c_custkey, (['F1', 'H1B', 'US_CITIZEN', 'CONDITIONAL_GC', 'nonsense', 'GREEN_CARD', 'J1'])[c_custkey % 7 + 1] AS visa FROM customer)
+    SELECT c_custkey, visa, 'Yes' AS now, CASE WHEN visa IN ('H1B', 'US_CITIZEN', 'CONDITIONAL_GC', 'GREEN_CARD') THEN 'Yes' ELSE 'No' END AS longterm,
+           CASE visa WHEN 'H1B' THEN 'H1B' WHEN 'US_CITIZEN' THEN 'US Citizen' WHEN 'GREEN_CARD' THEN 'Green Card' WHEN 'J1' THEN 'J1' ELSE 'Other' END AS wording FROM v""")
+def visa_answers(t: Tables) -> DataFrame:
+    visas = ["F1", "H1B", "US_CITIZEN", "CONDITIONAL_GC", "nonsense", "GREEN_CARD", "J1"]
+    visa = F.element_at(F.array(*map(F.lit, visas)), (F.col("c_custkey") % len(visas) + 1).cast("int"))
+    rows = t.customer.select("c_custkey", visa.alias("visa")).withColumn("v", classify.visa_answers(F.col("visa")))
+    return rows.select("c_custkey", "visa", "v.now", "v.longterm", F.get("v.wordings", F.lit(0)).alias("wording"))
 
 
 @query("C7_discovery_cascade", """

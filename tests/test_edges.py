@@ -141,7 +141,7 @@ def test_interpreter_tiers(spark):
     schema = "tag string, itype string, id string, ac string, label string, placeholder string, section string, nearby string, req boolean"
     given = [
         ("input", "text", "edit-url", "", "x", "", "", "", False), ("input", "hidden", "a", "", "website " * 50, "", "", "", False), ("input", "text", "", "", "", "", "", "", True),
-        ("input", "text", "q", "given-name", "Email", "", "", "", False), ("input", "text", "email-12", "", "Phone", "", "", "", False), ("input", "text", "q", "", "phonetic phone", "", "", "", False),
+        ("input", "text", "q", "given-name", "Email", "", "", "", False), ("input", "text", "email-12", "", "Phone", "", "", "", False), ("input", "text", "q", "", "phonetic name", "", "", "", False),
         ("input", "text", "q", "", "", "Your e-mail", "", "", False), ("input", "text", "q", "", "", "", "your linkedin!", "", False), ("input", "text", "q", "", "", "", "your linkedin!!", "", False),
         ("input", "text", "q", "", "nothing known", "e-mail", "linkedin linkedin", "", False), ("input", "text", "", "", "If other, please specify", "", "", "", False),
     ]
@@ -152,6 +152,79 @@ def test_interpreter_tiers(spark):
     ]
 
 
+def test_labels_that_once_went_wrong(spark):
+    """Labels whose first wording of the rules gave something else."""
+    known = [
+        ("Are you authorized to work in the country you reside or where you are living?*", "work_authorized"),
+        ("Will you now or in the future require sponsorship for employment visa status in the country for which this role is based?*", "needs_sponsorship"),
+        ("Are you a current or former civilian or military employee of the United States Government? (If yes, when/where were you last employed and what was you", "previously_employed"),
+        ("Will you now or in the future require sponsorship for employment visa status (e.g., H-1B visa status)?*", "needs_sponsorship"),
+        ("Do you consider yourself to have a disability, impairment or long-term health condition", "eeo_disability"),
+        ("Are you currently, or have you ever in the past, been employed by Studs?*", "previously_employed"),
+        ("What is your preferred name/nickname? Please feel free to include phonetic pronunciation", "preferred_name"),
+        ("Are you willing to undergo a background check, in accordance with local law/regulations?*", "consent_background_check"),
+        ("Applicant Privacy Acknowledgement *", "consent_privacy_policy"),
+        ("By selecting “Consent” below, you confirm that you have been informed of your rights under GDPR and that you consent to the processing of your data.", "consent_gdpr_notice"),
+        ("Do you allow us to provide you TEXT/SMS updates of your interview process? We may engage with a service provider to do so.*", "consent_sms_communication"),
+        ("Email me about other job openings within the entities and recruitment-related newsletters*", "marketing_communications_optin"),
+        ("We invite you to voluntarily provide demographic information in a confidential survey at the end of this application. Would you like to participate?", "consent_demographic_survey"),
+    ]
+    schema = "tag string, itype string, id string, ac string, label string, placeholder string, section string, nearby string, req boolean"
+    fields = spark.createDataFrame([("input", "text", "q", "", label, "", "", "", False) for label, _ in known], schema).coalesce(1)
+    assert [r.category for r in classify.interpret(fields).collect()] == [c for _, c in known]
+
+
+def test_repeated_keys_of_a_change_are_settled(spark):
+    state = spark.createDataFrame([(1, ""), (2, "x")], "k int, v string")
+    change = spark.createDataFrame([(1, "b"), (1, ""), (1, "a"), (2, "y"), (2, "z")], "k int, v string")
+    assert rows(merge.fill_empty(state, change, ["k"], ["v"])) == [(1, "a"), (2, "x")]
+    json = spark.createDataFrame([(1, "{}"), (2, None)], "k int, v string")
+    more = spark.createDataFrame([(1, '{"b":1}'), (1, '{"a":1}'), (2, "{}"), (2, None)], "k int, v string")
+    assert sorted(map(tuple, merge.fill_empty_json(json, more, ["k"], "v").collect()), key=str) == [(1, '{"a":1}'), (2, None)]
+    held = spark.createDataFrame([("a", "1")], "name string, id string")
+    new = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "name string")
+    got = merge.insert_or_get(held, new, ["name"], "id", F.uuid()).collect()
+    ids = {}
+    for r in got:
+        ids.setdefault(r.name, set()).add(r.id)
+    assert len(got) == 4 and ids["a"] == {"1"} and len(ids["b"]) == 1 and None not in {i for s in ids.values() for i in s}
+
+
+def test_sources_of_one_batch_are_all_united(spark):
+    state = spark.createDataFrame([(1, ["x"], 0)], "k int, s array<string>, at int")
+    batch = spark.createDataFrame([(1, ["y"], 1), (1, ["z", "x"], 2), (2, ["p"], 1), (2, ["q"], 2)], "k int, s array<string>, at int")
+    found = merge.upsert_merging(state, batch, ["k"], [F.desc("at")], "s")
+    assert rows(found) == [(1, ["x", "z", "y"], 2), (2, ["q", "p"], 2)]
+
+
+def test_high_water_survives_a_replay(spark, tmp_path):
+    import os
+
+    src, run = tmp_path / "in", str(tmp_path / "run")
+    schema = "k long, at timestamp"
+    spark.sql("SELECT 1L AS k, TIMESTAMP '2024-01-01' AS at UNION ALL SELECT 2L, TIMESTAMP '2024-01-02'").coalesce(1).write.parquet(str(src))
+    cursor = streams.Versions(spark, f"{run}/cursor", "batch bigint, at timestamp")
+    once = lambda: rows(streams.above_high_water(spark.readStream.schema(schema).parquet(str(src)), run, "at", cursor).select("k"))
+    assert once() == [(1,), (2,)]
+    for name in os.listdir(f"{run}/high-water.offsets/commits"):
+        if not name.startswith("."):
+            os.remove(f"{run}/high-water.offsets/commits/{name}")
+        elif os.path.exists(f"{run}/high-water.offsets/commits/{name}"):
+            os.remove(f"{run}/high-water.offsets/commits/{name}")
+    assert once() == [(1,), (2,)]
+    spark.sql("SELECT 3L AS k, TIMESTAMP '2024-01-03' AS at UNION ALL SELECT 4L, TIMESTAMP '2023-01-03'").coalesce(1).write.mode("append").parquet(str(src))
+    assert once() == [(1,), (2,), (3,)]
+
+
+def test_page_marks_stand_on_one_line(spark):
+    issues = lambda t: one(spark, text.format_issues(F.lit(t)))
+    assert "page number" not in issues("page\n1 of 2") and "page number" in issues("x\nPage 1 of 2") and "page number" in issues("x\n - 3 -\ny")
+
+
+def test_other_headings_end_the_skills(spark):
+    assert text.inject("Tech Stack\nSQL\nWork History\nx", ["aws"]) == "Tech Stack\nSQL, aws\nWork History\nx"
+
+
 def test_hard_filters_pass_what_is_not_stated(spark):
     jobs = spark.sql("SELECT 1 AS job, array('a', 'b') AS categories, 'Unknown' AS work_model, cast(NULL AS string) AS h1b_sponsored, cast(NULL AS int) AS years_min, cast(NULL AS string) AS location, 'co' AS company_slug")
     users = spark.sql("SELECT 1 AS user, array('b', 'a') AS wanted_categories, cast(array() AS array<string>) AS work_models, true AS needs_sponsorship, cast(NULL AS int) AS years, cast(NULL AS array<string>) AS locations, cast(NULL AS array<string>) AS blacklisted")
