@@ -20,7 +20,6 @@ import hashlib
 import mmap
 import os
 import re
-import shutil
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,7 +30,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.common import LOWER, UPPER
+from corvane.llm.common import LOWER, UPPER, shared_dir
 
 PARTS = re.compile(r"(?s)://([^/?#]*)([^?#]*)")
 FOLD = str.maketrans(UPPER, LOWER)
@@ -155,16 +154,15 @@ def filter_urls(
     default: str = "allow",
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every row; nothing is shuffled and only two columns are read."""
-    folder = tempfile.mkdtemp(prefix="url-digests-")
-    try:
+    with tempfile.TemporaryDirectory(prefix="url-digests-") as folder:
         path = build_digest_file(rules, folder)
         name = os.path.basename(path)
         if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
-            kept = os.path.join(tempfile.gettempdir(), name)
-            shutil.copyfile(path, kept)
-            spark.sparkContext.addFile(kept)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
+            # Named by its content and kept in the shared folder, where executors that join later find it too.
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+            kept = hadoop.Path(f"{shared_dir(spark)}/url-digests/{name}")
+            kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, hadoop.Path(f"file://{path}"), kept)
+            spark.sparkContext.addFile(kept.toString())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = DigestArray(SparkFiles.get(name))
