@@ -323,6 +323,65 @@ def test_compiled_rules_score_like_numpy(spark, edges):
     assert all(len(quality.statistics(t)) == len(quality.STATISTICS) and np.isfinite(quality.statistics(t)).all() for t in (b"", b" ", b"\n\n", b"x", b"\xff"))
 
 
+def fold_of(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
+def labelled(spark, label):
+    """(id, label, text) of the labelled documents that may be learned from."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    return [(r.doc_id, r[label], r.text or "") for r in docs.join(labels, "doc_id").collect() if r[label] in (0, 1) and fold_of(r.doc_id)]
+
+
+def test_quality_scores_by_brute_force(spark, edges):
+    """The stored rules applied one by one to each text's statistics."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.train(spark, docs, labels)
+    got = {r.row_id: r.score for r in quality.score_quality(docs, rules).collect()}
+    for r in docs.collect():
+        held = quality.statistics((r.text or "").encode())
+        z = rules.bias
+        for rule, weight in rules.rules:
+            if all((held[c.statistic] > c.cut) == c.above for c in rule):
+                z += weight
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9
+    none = quality.train(spark, docs, labels.limit(0))
+    assert {r.score for r in quality.score_quality(edges, none).collect()} == {0.5}
+    assert quality.score_quality(edges.limit(0), rules).count() == 0 and quality.train(spark, docs.limit(0), labels).constant == 0.5
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Both models' probabilities of every word by the recursion itself, from counts made here."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    rows = labelled(spark, "toxic")
+    counts = (Counter(), Counter())
+    for i, y, t in rows:
+        if fold_of(i) in (1, 2, 3):
+            counts[y].update(w.decode() for w in alnum_words(t.encode()))
+    base = toxicity.shared_base([counts[1], counts[0]])
+    models = [toxicity.KneserNey(c, base) for c in counts]
+    known = {}
+
+    def ratio(word):
+        if word not in known:
+            s = f"\x02{word}\x03"
+            grams = [s[max(0, e - toxicity.ORDER) : e] for e in range(2, len(s) + 1)]
+            gap = sum(math.log(models[1].probability(g)) - math.log(models[0].probability(g)) for g in grams)
+            known[word] = math.copysign(max(abs(gap) - toxicity.FLOOR, 0.0), gap)
+        return known[word]
+
+    def feature(text):
+        words = alnum_words((text or "").encode())
+        return sum(ratio(w.decode()) for w in words) / len(words) if words else 0.0
+
+    curve = sorted((i, y, feature(t)) for i, y, t in rows if fold_of(i) == 4)
+    slope, offset = toxicity.fit_curve(np.array([x for *_, x in curve]), np.array([float(y) for _, y, _ in curve]))
+    got = {r.row_id: r.score for r in toxicity.score_texts(spark, docs, toxicity.train(spark, docs, labels)).collect()}
+    for r in docs.collect():
+        want = 1 / (1 + math.exp(-max(-60.0, min(60.0, slope * feature(r.text) + offset))))
+        assert abs(got[r.doc_id] - want) < 1e-3, r.doc_id
+
+
 def test_kneser_ney_sums_to_one():
     counts = {"abc": 3, "abd": 2, "b": 5}
     base = toxicity.shared_base([counts, {"xyz": 1}])
