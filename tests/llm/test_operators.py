@@ -532,6 +532,26 @@ def test_line_dedup_is_reversible(spark):
     assert sum(int((f.table != 0).sum()) for f in held.values()) == len(present)
     index.insert(key_rows(docs.where("doc_id = 1")))
     assert [k for _, k in state()] == [rows[0][1], "mine alone, number two", ""]
+    index.compact()
+    assert [k for _, k in state()] == [rows[0][1], "mine alone, number two", ""]
+    index.delete(spark.createDataFrame([(3,)], "row_id long"))
+    assert [k for _, k in state()] == [rows[0][1], "mine alone, number two", "SHARED line here"]
+
+
+def test_line_index_shards_split_and_runs_are_as_large_as_their_batch(spark):
+    batch = lambda low, high: key_rows(spark.range(low, high).selectExpr("id AS doc_id", "concat('a line of its own ', id, '\nline that all hold') AS text"))
+    index = LineIndex(spark, Workspace(spark, "test"), 2, shard_keys=100)
+    index.insert(batch(0, 3000))  # filters that get too full are built anew, and shards split
+    assert index.shards > 8 and index.filters.count() == index.shards
+    index.insert(batch(3000, 3010))
+    assert index._runs[-1][0].count() == 11
+    counts = {(r.n, r.first_id) for r in index.counts.where("n > 1").collect()}
+    assert counts == {(3010, 0)} and index.counts.count() == 3011
+    held = {r.shard: CuckooFilter.from_bytes(r.bits, bytes(r.data)) for r in index.filters.collect()}
+    for r in index._sharded(index.counts).collect():
+        assert held[r.shard].might_hold(np.array([r.k1]), np.array([r.k2]))[0]
+    index.delete(spark.range(0, 3005).selectExpr("id AS row_id"))
+    assert {(r.n, r.first_id) for r in index.counts.where("n > 1").collect()} == {(5, 3005)} and index.counts.count() == 6
 
 
 def test_cuckoo_filter():
