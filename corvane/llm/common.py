@@ -71,6 +71,9 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         Workspace._open.append(self)
+        target, files = self._on(self.path)
+        files.mkdirs(target)
+        files.deleteOnExit(target)  # on any file system, when the driver ends
 
     def save(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.path}/{table}"
@@ -88,10 +91,14 @@ class Workspace:
         if self in Workspace._open:
             Workspace._open.remove(self)
 
+    def _on(self, path: str):
+        """The path and the file system that it lies on."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = self._on(path)
+        files.delete(target, True)
 
     @classmethod
     def close_all(cls) -> None:

@@ -1,7 +1,7 @@
 """Operator 10 at a Jaccard similarity: SimHash groups first, then what three bits can't reach, all verified exactly.
 
 Texts of the same words are one from the start. Their SimHash fingerprints over five-word shingles are linked by
-simhash.py's Golay keys, and each text of such a group is verified against the group's first. Fingerprints of
+simhash.py's Golay keys, and each text is verified against the first of those that its fingerprint is linked to. Fingerprints of
 texts of similarity 0.8 differ in nine of 64 bits on average, and no radius that a key search can afford holds
 most of them. So further candidates come from 25 keys, each of five of 128 minima over a text's set of shingles:
 two texts of similarity 0.8 share a key but for about 5 in 100,000; one above, rarer still. Pairs under a key are
@@ -204,6 +204,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -
     return texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(cut, "key long, g binary")
 
 
+def _joined(roots: DataFrame, edges: DataFrame, space: Workspace, turn: int) -> DataFrame:
+    """(node, root) after more edges: only the components that these join are looked at again."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = connected_components(ends.where("a <> b"), space, f"joined-{turn}").selectExpr("node AS old", "root AS new")
+    after = roots.join(moved, roots.root == moved.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    single = moved.join(roots, moved.old == roots.node, "left_anti").selectExpr("old AS node", "new AS root")
+    return space.save(after.unionByName(single), f"roots-{turn}")
+
+
 def near_copies(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST
 ) -> DataFrame:
@@ -214,13 +224,14 @@ def near_copies(
     firsts = space.save(firsts, "distinct")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    # Texts of a SimHash group against the group's first.
-    groups = connected_components(link(spark, firsts.select("fp").distinct(), space), space, "simhash")
-    in_group = firsts.join(groups, firsts.fp == groups.node, "left").select(F.coalesce("root", "fp").alias("group"), "key", "n")
-    in_group = space.save(in_group, "groups")
-    heads = space.save(in_group.groupBy("group").agg(F.min(F.struct("key", "n")).alias("head"), F.count("key").alias("texts")).where("texts > 1"), "heads")
-    pairs = in_group.join(heads, "group").where(f"key <> head.key AND least(n, head.n) >= {least!r}d * greatest(n, head.n)")
-    pairs = space.save(pairs.selectExpr("head.key AS a", "key AS b"), "pairs-0")
+    # A text against the first with its fingerprint, and that one against the first with the least fingerprint linked to it.
+    linked = link(spark, firsts.select("fp").distinct(), space).groupBy("b").agg(F.min("a").alias("a"))
+    heads = space.save(firsts.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("head"), F.count("key").alias("texts")), "heads")
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = linked.join(side("a"), "a").join(side("b"), "b").selectExpr("head_a AS x", "head_b AS y")
+    same = firsts.join(heads.where("texts > 1").select("fp", "head"), "fp").where("key <> head.key").select(F.col("head").alias("x"), F.struct("key", "n").alias("y"))
+    pairs = near.unionByName(same).where(f"least(x.n, y.n) >= {least!r}d * greatest(x.n, y.n)").selectExpr("x.key AS a", "y.key AS b")
+    pairs = space.save(pairs, "pairs-0")
 
     row = "k long, key long, n long, s0 long, s1 long"
     runs = firsts.select("key", "n", "s0", "s1", "bands").mapInArrow(_banded, row).repartition(partitions, "k").sortWithinPartitions("k")
@@ -229,7 +240,7 @@ def near_copies(
     sets = space.save(shingle_sets(docs, wanted, text_col, size), "sets")
     side = lambda c: sets.select(F.col("key").alias(c), F.col("g").alias(f"g{c}"))
 
-    edges = tried = roots = None
+    tried = roots = None
     for turn in range(JOINING + 2):
         if turn:
             marks = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*runs.columns, F.coalesce("root", "key").alias("root"))
@@ -243,9 +254,8 @@ def near_copies(
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
         found = space.save(both.mapInArrow(_verified(least), "a long, b long"), f"edges-{turn}")
         pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-        edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = connected_components(edges, space, f"roots-{turn}")
+        roots = connected_components(found, space, "roots-0") if roots is None else _joined(roots, found, space, turn)
     space.drop("sets")
     space.drop("runs")
     named = firsts.join(roots, firsts.key == roots.node, "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))

@@ -87,5 +87,16 @@ def test_stages_take_odd_rows(spark, tmp_path):
         assert stage(spark, empty, DATA).count() == 0
 
 
+def test_documents_without_an_id_are_judged_one_by_one(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(None, words(1)), (None, words(2)), (7, words(2)), (None, passage), (8, words(3))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", words(1)), ("7", words(2)), ("None", passage), ("8", words(3))])
+    kept = corpus_pipeline.drop_contaminated(spark, docs, DATA)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in rows if t != passage)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
