@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to training shards in five stages, each by one of the ten operators.
 
 Every stage works on all rows that its predecessor kept, whole texts, and its decisions take effect. Rows that
-share an id are one document: they stay or go together. All stages but the last return the columns of documents;
+share an id are one document: they stay or go together, as do equal texts without an id. All stages but the last return the columns of documents;
 further columns travel along. Stages cut lineage by tables in the shared folder; a stage frees those of the one
 before it, whose result has been written by then.
 """
@@ -40,10 +40,23 @@ def _stage(work: Stage) -> Stage:
     return run
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id isn't among ids (row_id); a null id equals a null id."""
+#: Of a document without an id, the hash of its text with the highest bits set stands for it, so any real id is smaller.
+ANONYMOUS = 1 << 62
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, the document's id or what stands for it, and that column's name."""
+    name = "document"
+    while name in docs.columns:
+        name += "_"
+    own = F.xxhash64(F.col("text")).bitwiseAND(F.lit(ANONYMOUS - 1)).bitwiseOR(F.lit(ANONYMOUS))
+    return docs.withColumn(name, F.coalesce(F.col("doc_id"), own.cast(docs.schema["doc_id"].dataType))), name
+
+
+def _without(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose document isn't among ids (row_id)."""
     gone = ids.select(F.col("row_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone, docs[name] == gone["__gone"], "left_anti").drop(name)
 
 
 @_stage
@@ -60,11 +73,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays.
 
-    Texts without words (null ones too) are copies of each other; a null id stays only where its whole group has none.
+    Texts without words (null ones too) are copies of each other; a document without an id counts as larger than any other.
     Repeated rows stay or go together; of an empty table nothing stays.
     """
-    groups = near_copies(spark, docs)
-    return _without(docs, groups.where(~F.col("row_id").eqNullSafe(F.col("component_id"))))
+    named, name = _named(docs)
+    groups = near_copies(spark, named, id_col=name)
+    return _without(named, name, groups.where("row_id <> component_id"))
 
 
 @_stage
@@ -73,7 +87,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts without words stay; very long ones are read whole. Of an empty table nothing stays; an empty test set drops nothing.
     """
-    return _without(docs, decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(contaminated()))
+    named, name = _named(docs)
+    return _without(named, name, decontaminate(spark, named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=name).where(contaminated()))
 
 
 @_stage
@@ -82,12 +97,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own. Texts without words are never taken; rows that share an id share its quota.
     """
-    taken = mix(spark, docs).groupBy("row_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    named, name = _named(docs)
+    taken = mix(spark, named, id_col=name).groupBy("row_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     times = taken.select(
         F.col("row_id").alias("__row"), F.expr("if(size > 0, cast(floor(taken / size + 0.5) AS int), 0)").alias("__times")
     ).where("__times > 0")
-    row = docs.select(F.col("doc_id").alias("__id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
-    joined = row.join(times, row["__id"].eqNullSafe(times["__row"]))
+    row = named.select(F.col(name).alias("__id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+    joined = row.join(times, row["__id"] == times["__row"])
     return joined.select("__doc", F.explode(F.sequence(F.lit(1), "__times"))).select("__doc.*")
 
 
