@@ -215,6 +215,17 @@ def slug_of_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+#: An aggregator's names of categories for graduates, where they differ.
+GRADUATE_CATEGORIES = {
+    "swe": "software_engineering", "ml_ai": "machine_learning_and_ai", "data_analysis": "data_analysis", "cyber_security": "cybersecurity", "project_manager": "project_management",
+}
+
+
+def aggregator_category(slug: Column, job_type: Column) -> Column:
+    """An aggregator's category under the common name."""
+    return F.when(job_type == "newgrad", F.coalesce(lookup(GRADUATE_CATEGORIES, slug), slug)).otherwise(slug)
+
+
 def slug_candidates(name: Column) -> Column:
     """X11: with hyphens and without, first without the legal suffix and then with it."""
     base = F.trim(F.lower(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.operators.filters import seeded_digest
@@ -66,6 +67,26 @@ def gate(regressions_failed: DataFrame, new_disagreements: DataFrame, coverage_b
     return both.select("failed", "disagreeing", ((F.col("failed") == 0) & (F.col("disagreeing") == 0) & (delta >= least_delta)).alias("passed"))
 
 
+def checkpoint(failures: DataFrame, line: str, since: int, fingerprint: list[str], processed: int | Column, gate_passed: Column, cap: int = 3) -> DataFrame:
+    """The checkpoint chain: what failed since the last one is clustered, each frequent cluster routed, and fixes applied.
+
+    failures has reason, category, term, guarded. A cluster is frequent as in A13; its route is C9's for its first failure
+    by line. Proposed fixes that passed the gate (gate_passed, over the fingerprint) are applied, the largest clusters
+    first and no more than cap; all other proposals and open questions wait for a human, and halt the run.
+    """
+    from corvane.operators.classify import route_fix
+    from corvane.operators.cluster import thresholded
+
+    own = failures.where(F.col(line) > since)
+    first = own.groupBy(*fingerprint).agg(F.min_by(F.struct("reason", "category", "term", "guarded"), line).alias("f"))
+    clusters = thresholded(own, fingerprint, processed).where("is_class").join(first, fingerprint)
+    routed = clusters.withColumn("route", route_fix(F.col("f.reason"), F.col("f.category"), F.col("f.term"), F.col("f.guarded")))
+    clean = (F.col("route") == "proposed_fix") & F.coalesce(gate_passed, F.lit(False))
+    rank = F.row_number().over(W.partitionBy(clean).orderBy(F.desc("n"), *fingerprint))  # one row a cluster
+    decision = F.when(clean & (rank <= cap), "applied").when(F.col("route") == "no_generalized_fix", "none").otherwise("waits")
+    return routed.withColumn("decision", decision).select(*fingerprint, "n", "route", "decision", F.bool_or(F.col("decision") == "waits").over(W.partitionBy()).alias("halted"))
+
+
 def completion(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Conditions over all rows and whether they hold together."""
     found = rows.agg(*(c.alias(name) for name, c in conditions.items()))

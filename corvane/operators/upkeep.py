@@ -56,6 +56,23 @@ def regression_conflicts(regressions: DataFrame, label: str, pattern: str, expec
     return regressions.where(F.col(label).rlike(f"(?i){pattern}") & (F.col(expected) == category))
 
 
+def without_excluded(fields: DataFrame, excluded: DataFrame, company: str) -> DataFrame:
+    """Fields of pages that no exclusion list names by company; a company that isn't stated stays."""
+    return fields.join(excluded.select(company).distinct(), company, "left_anti")
+
+
+def residue_decided(fields: DataFrame, decisions: DataFrame, field_hash: str) -> DataFrame:
+    """Fields that clustering left over, with the decision made for their hash: bucket (confirm, reject) and category.
+
+    decisions: hashes (array), action, category, rank; of several for a hash the one with the least rank holds.
+    """
+    listed = decisions.select(F.explode("hashes").alias(field_hash), "action", "category", "rank")
+    held = listed.groupBy(field_hash).agg(F.min_by(F.struct("action", "category"), "rank").alias("__d"))
+    joined = fields.join(held, field_hash, "left")
+    category = F.when(F.col("__d.action") == "confirm", F.col("__d.category"))
+    return joined.withColumn("bucket", F.col("__d.action")).withColumn("category", category).drop("__d")
+
+
 def unresolved(clusters: DataFrame, decided: DataFrame, key: str) -> DataFrame:
     """Clusters that wait for a decision."""
     return clusters.join(decided.select(key), key, "left_anti")

@@ -93,3 +93,20 @@ def correction_chains(t: Tables) -> DataFrame:
     SELECT user_id, avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END)::DOUBLE AS share_unedited FROM events GROUP BY user_id""")
 def fill_accuracy(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)).alias("share_unedited"))
+
+
+@query("X_checkpoint_chain", """
+    WITH f AS (SELECT *, user_id % 11 AS slot, CASE WHEN event_type = 'purchase' THEN 'FILL_FAILED' ELSE 'CLASSIFICATION_NO_MATCH' END AS reason FROM events WHERE event_type <> 'view' AND event_id > 40),
+    p AS (SELECT greatest(3, ceil(0.02 * count(*))) AS bar FROM events),
+    c AS (SELECT event_type, slot, count(*) AS n, arg_min(reason, event_id) AS reason, min(event_id) AS first FROM f GROUP BY ALL HAVING count(*) >= (SELECT bar FROM p)),
+    r AS (SELECT *, CASE WHEN reason = 'FILL_FAILED' THEN 'no_generalized_fix' WHEN first % 5 = 0 THEN 'needs_human_decision' WHEN first % 7 = 0 THEN 'no_generalized_fix' WHEN first % 3 = 0 THEN 'needs_human_decision' ELSE 'proposed_fix' END AS route FROM c),
+    k AS (SELECT *, route = 'proposed_fix' AND slot % 4 <> 1 AS clean FROM r),
+    d AS (SELECT *, CASE WHEN clean AND row_number() OVER (PARTITION BY clean ORDER BY n DESC, event_type, slot) <= 3 THEN 'applied' WHEN route = 'no_generalized_fix' THEN 'none' ELSE 'waits' END AS decision FROM k)
+    SELECT event_type, slot, n, route, decision, bool_or(decision = 'waits') OVER () AS halted FROM d""")
+def checkpoint_chain(t: Tables) -> DataFrame:
+    """Events but views stand for failures, kind and slot for the fingerprint; the gate refuses some slots."""
+    own = t.events.where("event_type != 'view'").select(
+        "event_id", "event_type", (F.col("user_id") % 11).alias("slot"), F.when(F.col("event_type") == "purchase", "FILL_FAILED").otherwise("CLASSIFICATION_NO_MATCH").alias("reason"),
+        F.when(F.col("event_id") % 5 != 0, "email").alias("category"), F.when(F.col("event_id") % 7 != 0, "work").alias("term"), (F.col("event_id") % 3 != 0).alias("guarded"),
+    )
+    return evaluate.checkpoint(own, "event_id", 40, ["event_type", "slot"], t.events.count(), F.col("slot") % 4 != 1)

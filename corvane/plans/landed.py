@@ -215,6 +215,37 @@ def unresolved_clusters(t: Tables) -> DataFrame:
     return upkeep.unresolved(t.part.select("p_brand").distinct(), t.part.where("p_size = 1"), "p_brand")
 
 
+@query("X_excluded_pages", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def excluded_pages(t: Tables) -> DataFrame:
+    """Suppliers stand for fields, nations for companies; those of a region are on the list."""
+    excluded = t.nation.where("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
+    return upkeep.without_excluded(t.supplier, excluded, "s_nationkey").select("s_suppkey")
+
+
+@query("X_residue_decisions", """
+    WITH h AS (SELECT p_partkey, substr(sha256(p_name), 1, 2) AS h FROM part)
+    SELECT p_partkey, CASE WHEN h < '40' THEN 'confirm' WHEN h < '60' THEN 'reject' END AS bucket, CASE WHEN h < '20' THEN 'consent_privacy_policy' WHEN h < '40' THEN 'school' END AS category FROM h""")
+def residue_decisions(t: Tables) -> DataFrame:
+    hashes = lambda low, high: [f"{k:02x}" for k in range(low, high)]
+    made = [
+        (hashes(0, 32), "confirm", "consent_privacy_policy", 1), (hashes(32, 64), "confirm", "school", 2), (hashes(48, 96), "reject", None, 3), (hashes(0, 16), "reject", None, 4),
+    ]
+    decisions = t.spark.createDataFrame(made, "hashes array<string>, action string, category string, rank int")
+    fields = t.part.select("p_partkey", F.substring(F.sha2("p_name", 256), 1, 2).alias("field_hash"))
+    return upkeep.residue_decided(fields, decisions, "field_hash").select("p_partkey", "bucket", "category")
+
+
+@query("X_aggregator_names", r"""
+    SELECT s_suppkey, trim(regexp_replace(lower(s_name || ' & Co.'), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+           CASE WHEN s_suppkey % 2 = 0 THEN (['software_engineering', 'cybersecurity', 'sales'])[s_suppkey % 3 + 1] ELSE (['swe', 'cyber_security', 'sales'])[s_suppkey % 3 + 1] END AS category FROM supplier""")
+def aggregator_names(t: Tables) -> DataFrame:
+    from corvane.functions import text
+
+    own = F.element_at(F.array(*map(F.lit, ("swe", "cyber_security", "sales"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "newgrad").otherwise("intern")
+    return t.supplier.select("s_suppkey", text.slug_of_name(F.concat("s_name", F.lit(" & Co."))).alias("slug"), text.aggregator_category(own, kind).alias("category"))
+
+
 @query("X_version_tag", """
     WITH h AS (SELECT sha256(n_nationkey || '|' || n_name) AS d FROM nation)
     SELECT sha256(count(*) || ':' || sum(('0x' || substr(d, 1, 8))::BIGINT) || ':' || sum(('0x' || substr(d, 9, 8))::BIGINT) || ':' || sum(('0x' || substr(d, 17, 8))::BIGINT) || ':' || sum(('0x' || substr(d, 25, 8))::BIGINT)) AS version FROM h""")
