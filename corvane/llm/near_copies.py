@@ -9,8 +9,10 @@ passed on if their sizes and one bit of each minimum allow the similarity (at 0.
 average, with a deviation of 3.4; AGREE is 4.4 of these below), and are then verified on whole sets.
 
 Pairs that are linked already needn't be verified: JOINING rounds verify one pair a text, the likeliest with a text of
-another component, which joins components as in Boruvka's algorithm; the last round verifies all pairs that aren't
-linked by then. No run is capped.
+another component, which joins components as in Boruvka's algorithm; the last round compares all pairs of a run that
+aren't linked by then, each under its first common key, where the sets of a block of texts meet those of another. So
+pairs are never rows, and no run is capped; but texts that are all nearly 0.8 alike and not linked are compared pair by
+pair, as an exact answer asks.
 
 Defined results: words are those of simhash.py. Fewer words than a shingle: the whole sequence is the one shingle;
 texts without words are copies of each other. Repeated rows get the same answer, very long texts count whole. A
@@ -37,8 +39,9 @@ LEAST = 0.8
 HASHES, BANDS, ROWS = 128, 25, 5
 AGREE = 100
 SEED = 42
-TILE = 1024
 JOINING = 2
+#: Texts of a run that a task compares with as many others at a time.
+BLOCK = 2048
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k).encode(), SEED) | 1 for k in range(HASHES)], np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,48 +135,75 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: pa.array(v[many]) for c, v in held.items()})
 
 
-def _pairs(least: float, all_: bool):
-    """Pairs under a key that may be similar enough and aren't linked, with the number of bits that agree.
+def _agree(h: dict[str, np.ndarray], x, y) -> np.ndarray:
+    """Bits of the minima that agree."""
+    return HASHES - sum(np.bitwise_count((h[c][x] ^ h[c][y]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
 
-    Either all (a < b), or for each text a of a run one text b of another component: the first of the run, or for those
-    linked with it the first that isn't.
-    """
 
-    def out(h: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        agree = HASHES - sum(np.bitwise_count((h[c][x] ^ h[c][y]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
-        low, high = np.minimum(h["n"][x], h["n"][y]), np.maximum(h["n"][x], h["n"][y])
-        keep = (h["root"][x] != h["root"][y]) & (agree >= AGREE) & (low >= least * high)
-        a, b = h["key"][x[keep]], h["key"][y[keep]]
-        if all_:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "agree": pa.array(agree[keep])})
+def _likeliest(least: float):
+    """For each text a of a run one text b of another component, with the number of bits that agree: the first of the
+    run, or for those linked with it the first that isn't. Pairs that can't be similar enough are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, size, h in _whole_runs(batches):
-            # Rows of a run are sorted by root: a run, or two tiles of it, of one root has nothing left to compare.
-            root = h["root"]
-            if not all_:
-                first = np.repeat(begin, size)
-                at = np.arange(len(root))
-                other = np.full(len(root), len(root))
-                other[(root != root[first])] = at[root != root[first]]
-                other = np.repeat(np.minimum.reduceat(other, begin), size) if len(root) else other
-                pivot = np.where(root == root[first], other, first)
-                some = pivot < len(root)
-                yield out(h, at[some], pivot[some])
-                continue
-            for c, n in zip(begin, size):
-                if root[c] == root[c + n - 1]:
-                    continue
-                for i in range(c, c + n, TILE):
-                    for j in range(i, c + n, TILE):
-                        last_i, last_j = min(i + TILE, c + n), min(j + TILE, c + n)
-                        if root[i] == root[last_j - 1]:
-                            continue
-                        x, y = (m.ravel() for m in np.meshgrid(np.arange(i, last_i), np.arange(j, last_j), indexing="ij"))
-                        ahead = x < y
-                        if ahead.any():
-                            yield out(h, x[ahead], y[ahead])
+            root, at = h["root"], np.arange(len(h["root"]))
+            first = np.repeat(begin, size)
+            other = np.where(root != root[first], at, len(root))
+            other = np.repeat(np.minimum.reduceat(other, begin), size)
+            x, y = at, np.where(root == root[first], other, first)
+            x, y = x[y < len(root)], y[y < len(root)]
+            agree = _agree(h, x, y)
+            keep = (agree >= AGREE) & (np.minimum(h["n"][x], h["n"][y]) >= least * np.maximum(h["n"][x], h["n"][y]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(h["key"][x[keep]]), "b": pa.array(h["key"][y[keep]]), "agree": pa.array(agree[keep])})
+
+    return run
+
+
+def _compared(least: float):
+    """Edges between components of each group (k, i, j): all pairs of block i with block j of a run are compared.
+
+    A pair is verified under the first key that both texts have, and only while it would join two components.
+    """
+
+    def edges(h: dict[str, list]) -> tuple[list[int], list[int]]:
+        own = {c: np.array(h[c], np.int64) for c in ("key", "n", "s0", "s1", "block")}
+        bands = np.frombuffer(b"".join(h["bands"]), np.int64).reshape(-1, BANDS)
+        parted, part = h["i"][0] != h["j"][0], np.unique(np.array(h["root"], np.int64), return_inverse=True)[1]
+        a, b = [], []
+        for x in range(len(part) - 1):
+            y = np.arange(x + 1, len(part))
+            y = y[part[y] != part[x]]
+            if parted:
+                y = y[own["block"][y] != own["block"][x]]
+            y = y[(_agree(own, x, y) >= AGREE) & (np.minimum(own["n"][y], own["n"][x]) >= least * np.maximum(own["n"][y], own["n"][x]))]
+            same = bands[y] == bands[x]
+            y = y[bands[x][same.argmax(1)] == h["k"][0]] if len(y) else y
+            for other in y.tolist():
+                if part[other] != part[x] and similarity(np.frombuffer(h["g"][x], np.uint64), np.frombuffer(h["g"][other], np.uint64)) >= least:
+                    part[part == part[other]] = part[x]
+                    a.append(h["key"][x])
+                    b.append(h["key"][other])
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        out = lambda e: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in e], ["a", "b"])
+        for batch in batches:
+            rows = batch.to_pydict()
+            at = 0
+            while at < batch.num_rows:
+                group = (rows["k"][at], rows["i"][at], rows["j"][at])
+                upto = at
+                while upto < batch.num_rows and (rows["k"][upto], rows["i"][upto], rows["j"][upto]) == group:
+                    upto += 1
+                if held and (held["k"][0], held["i"][0], held["j"][0]) != group:
+                    yield out(edges(held))
+                    held = {}
+                for c, values in rows.items():
+                    held.setdefault(c, []).extend(values[at:upto])
+                at = upto
+        if held:
+            yield out(edges(held))
 
     return run
 
@@ -189,7 +219,7 @@ def _verified(least: float):
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(key, g): sorted hashes of the distinct shingles of the texts whose keys are wanted."""
+    """(key, g, bands) of the texts whose keys are wanted: sorted hashes of the distinct shingles, and keys of the bands."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,11 +227,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(space_words(t), size)).tobytes() for t in blobs(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "g"])
+            sets = [np.unique(shingle_hashes(space_words(t), size)) for t in blobs(batch.column(1))]
+            columns = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x)[0].tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "g", "bands"])
 
     texts = docs.selectExpr(f"cast(`{text_col}` AS string) AS text").mapInArrow(keyed, "key long, text string")
-    return texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(cut, "key long, g binary")
+    return texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(cut, "key long, g binary, bands binary")
 
 
 def _joined(roots: DataFrame, edges: DataFrame, space: Workspace, turn: int) -> DataFrame:
@@ -215,7 +246,7 @@ def _joined(roots: DataFrame, edges: DataFrame, space: Workspace, turn: int) ->
 
 
 def near_copies(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, block: int = BLOCK
 ) -> DataFrame:
     """(row_id, component_id) of every row; component_id is the smallest id reachable over pairs that similar."""
     space = Workspace(spark, "near-copies")
@@ -240,22 +271,30 @@ def near_copies(
     sets = space.save(shingle_sets(docs, wanted, text_col, size), "sets")
     side = lambda c: sets.select(F.col("key").alias(c), F.col("g").alias(f"g{c}"))
 
-    tried = roots = None
-    for turn in range(JOINING + 2):
+    def rooted(roots: DataFrame) -> DataFrame:
+        return runs.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*runs.columns, F.coalesce("root", "key").alias("root"))
+
+
+    roots = None
+    for turn in range(JOINING + 1):
         if turn:
-            marks = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*runs.columns, F.coalesce("root", "key").alias("root"))
-            marks = marks.repartition(partitions, "k").sortWithinPartitions("k", "root", "key")
-            pairs = marks.mapInArrow(_pairs(least, turn > JOINING), "a long, b long, agree long")
-            if turn > JOINING:
-                pairs = pairs.select("a", "b").distinct()
-            else:  # each text's likeliest pair
-                pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).selectExpr("least(a, m.b) AS a", "greatest(a, m.b) AS b").distinct()
-            pairs = space.save(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+            pairs = rooted(roots).repartition(partitions, "k").sortWithinPartitions("k", "root", "key").mapInArrow(_likeliest(least), "a long, b long, agree long")
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).selectExpr("least(a, m.b) AS a", "greatest(a, m.b) AS b")
+            pairs = space.save(pairs.distinct(), f"pairs-{turn}")
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
         found = space.save(both.mapInArrow(_verified(least), "a long, b long"), f"edges-{turn}")
-        pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-        tried = pairs if tried is None else tried.unionByName(pairs)
         roots = connected_components(found, space, "roots-0") if roots is None else _joined(roots, found, space, turn)
+
+    # All that isn't linked yet: the runs that hold several components, in groups of two blocks at most, with their sets.
+    marks = space.save(rooted(roots), "marks")
+    open_ = marks.groupBy("k").agg(F.count("key").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_ = space.save(open_.selectExpr("k", f"cast(ceil(texts / {block}) AS int) AS blocks"), "open")
+    members = marks.join(open_, "k").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    members = space.save(members.select("k", "i", "j", "block", "key", "n", "s0", "s1", "root"), "members-of-runs")
+    grouped = members.join(sets, "key").repartition(partitions, "k", "i", "j").sortWithinPartitions("k", "i", "j", "key")
+    found = space.save(grouped.mapInArrow(_compared(least), "a long, b long"), "edges-last")
+    roots = _joined(roots, found, space, JOINING + 1)
     space.drop("sets")
     space.drop("runs")
     named = firsts.join(roots, firsts.key == roots.node, "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))

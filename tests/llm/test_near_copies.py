@@ -42,9 +42,9 @@ def varied(seed):
 
 
 def test_groups_are_those_of_brute_force(spark):
-    for seed in (1, 2):
+    for seed, block in ((1, 2048), (2, 3)):  # runs in one block, and in many
         rows = varied(seed)
-        found = near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        found = near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
         assert sorted(map(str, ((r.row_id, r.component_id) for r in found))) == sorted(map(str, brute(rows)))
 
 
