@@ -248,13 +248,14 @@ def search(index: DataFrame, block: list[tuple[str, list[bytes]]], window: int,
         for w in windows_of([number[x] for x in words], window):
             test.setdefault(w, set()).add(item)
     needed = parts_needed(terms)
-    shared = index.sparkSession.sparkContext.broadcast(Windows(test, terms, term_counts(index, terms), slop))
+    shared = index.sparkSession.sparkContext.broadcast(vars(Windows(test, terms, term_counts(index, terms), slop)))  # arrays and lists only
     kind = dict(index.dtypes)["row_ids"].removeprefix("array<").removesuffix(">")
     id_type = to_arrow_type(index.schema["row_ids"].dataType.elementType)
     schema = f"segment string, ordinal int, row_id {kind}, n_words long, spans array<long>, items array<string>"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held = Windows.__new__(Windows)
+        held.__dict__.update(shared.value)
         for batch in batches:
             for row in batch.to_pylist():
                 keys = [np.zeros(0, np.int64)]
