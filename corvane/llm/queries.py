@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.collocations import collocations
 from corvane.llm.common import LOWER, UPPER
 from corvane.llm.decontaminate import contaminated, decontaminate
 from corvane.llm.exact_dedup import exact_dedup
-from corvane.llm import quality, toxicity
+from corvane.llm import language_id, quality, toxicity
 from corvane.llm.labelled import held_out
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.lm_scoring import lm_scores
 from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_groups
+from corvane.llm.spelling import spelling_groups
 from corvane.llm.token_shards import token_shards
 from corvane.llm.url_filter import filter_urls
 
@@ -104,6 +106,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.languages(spark, docs, language_id.train(spark, docs))
+    return found.select(F.col("row_id").alias("doc_id"), language_id.held_out("row_id").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -115,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_id": op13_language_id,
 }
 
 _FOLD = f"'{UPPER}', '{LOWER}'"
@@ -163,4 +182,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_collocations": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_FOLD}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        f AS (SELECT lang, m, g, count(*) AS f
+              FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM w, range(1, 5) AS s(m), unnest(range(1, len(w) - m + 2)) AS u(i)) GROUP BY ALL),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        c AS (SELECT * FROM f WHERE m > 1 AND f >= 30),
+        covered AS (SELECT DISTINCT s.lang, s.g FROM c AS s JOIN c AS b ON s.lang = b.lang AND b.m > s.m
+                    AND contains(' ' || b.g || ' ', ' ' || s.g || ' ') AND 100::HUGEINT * b.f >= 80::HUGEINT * s.f),
+        k AS (SELECT lang, m, g, f, string_split(g, ' ') AS w FROM c ANTI JOIN covered USING (lang, g)),
+        cut AS (SELECT k.lang, k.g AS phrase, k.f AS a, u.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * k.f) // (l.f + r.f))::BIGINT AS score
+                FROM k, unnest(range(1, m)) AS u(k) JOIN f AS l ON l.lang = k.lang AND l.g = array_to_string(k.w[1:u.k], ' ')
+                JOIN f AS r ON r.lang = k.lang AND r.g = array_to_string(k.w[u.k + 1:], ' ')),
+        low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM low JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
