@@ -62,6 +62,41 @@ def metric_cube(df: DataFrame, dimensions: dict[str, str], user: str, least_user
     return cells.where(F.col("users") >= least_users).unpivot(["dimension", "dimension_value"], ["orders", "users"], "metric", "metric_value")
 
 
+#: Lightest cells of a line that a withheld cell's rectangle is looked for among, besides the line's total.
+NEAREST = 8
+
+
+def anonymous_cube(df: DataFrame, first: str, second: str, user: str, least_users: int) -> DataFrame:
+    """A18, k-anonymous: counts and users by two dimensions, by each alone, and in all, without cells of too few users.
+
+    A withheld cell could be had by subtraction where it is the only one of its line. So each is made a corner of a
+    rectangle of withheld cells (totals count as the last row and column): adding one to two of its corners and taking one
+    from the others keeps all sums, so no published figures settle any of the four. Of the rectangles over the NEAREST lightest
+    cells of its row and column, the one with the fewest users not withheld anyway is taken, then the first by name.
+
+    Gives first_value, second_value (null for a total, with is_total_first, is_total_second), n and users. A null
+    value is a value of its own.
+    """
+    made = df.select(F.col(first).cast("string").alias("first_value"), F.col(second).cast("string").alias("second_value"), F.col(user).alias("__user"))
+    sets = made.groupingSets([["first_value", "second_value"], ["first_value"], ["second_value"], []], "first_value", "second_value").agg(
+        F.grouping("first_value").alias("ta"), F.grouping("second_value").alias("tb"), F.count(F.lit(1)).alias("n"), F.countDistinct("__user").alias("users")
+    )
+    key = lambda total, c: F.when(total == 1, "*").otherwise(F.coalesce(F.concat(F.lit("v"), c), F.lit("null")))
+    cells = sets.withColumn("a", key(F.col("ta"), F.col("first_value"))).withColumn("b", key(F.col("tb"), F.col("second_value")))
+    cells = cells.withColumn("few", F.col("users") < least_users).withColumn("cost", F.when(F.col("few"), 0).otherwise(F.col("users")))
+    near = lambda line, other: (F.row_number().over(W.partitionBy(line).orderBy("cost", other)) <= NEAREST) | (F.col(other) == "*")
+    of_row = cells.withColumn("__near", near("a", "b")).where("__near").selectExpr("a", "b AS b2", "cost AS cost_b")
+    of_column = cells.withColumn("__near", near("b", "a")).where("__near").selectExpr("b", "a AS a2", "cost AS cost_a")
+    opposite = cells.selectExpr("a AS a2", "b AS b2", "cost AS cost_ab")
+    found = cells.where("few").select("a", "b").join(of_row, "a").where("b2 <> b").join(of_column, "b").where("a2 <> a").join(opposite, ["a2", "b2"])
+    best = found.groupBy("a", "b").agg(F.min(F.struct((F.col("cost_a") + F.col("cost_b") + F.col("cost_ab")).alias("cost"), "a2", "b2")).alias("m"))
+    corners = best.select(F.explode(F.array(F.struct("a", "b"), F.struct("a", F.col("m.b2").alias("b")), F.struct(F.col("m.a2").alias("a"), "b"), F.struct(F.col("m.a2").alias("a"), F.col("m.b2").alias("b")))).alias("c"))
+    # A cell without a rectangle, the only one of its row and column, is withheld all the same.
+    gone = corners.select("c.a", "c.b").unionByName(cells.where("few").select("a", "b")).distinct()
+    kept = cells.join(gone, ["a", "b"], "left_anti")
+    return kept.select("first_value", "second_value", (F.col("ta") == 1).alias("is_total_first"), (F.col("tb") == 1).alias("is_total_second"), "n", "users")
+
+
 def most_common(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The n most frequent keys, of equally frequent ones the one that appears first."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__first"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.sources.sinks import ensure_checkpoints
+
 
 def unseen(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not stored."""
@@ -60,28 +62,49 @@ def first_decision(rows: DataFrame, keys: str, decisions: DataFrame, id_cols: li
 def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_terms: str, right_terms: str, least: float = 0.6) -> DataFrame:
     """Each left row's most similar right row by Jaccard, if similar enough; of equals the smallest id.
 
-    Rows of the same terms are compared once, so many copies cost no more than one. Only pairs that share a term among
-    the rarest of the left row's are compared: to reach the least similarity, at least one of its first
-    n - ceil(least * n) + 1 terms, rarest first, must be shared.
+    Rows of the same terms are compared once, so many copies cost no more than one. All sets order their terms alike,
+    rarest first. Two sets of similarity t share a term among the first n - ceil(t n) + 1 of each, sizes differ by no more
+    than t, and what stands behind the first shared terms must suffice for the overlap that t asks; only pairs that meet so
+    are fetched. As only the best is wanted, the highest similarities are tried first: equal sets, then the upper
+    half of what is left, and only sets that found none go on to the next round.
     """
+    spark = left.sparkSession
+    ensure_checkpoints(spark)
 
-    def terms(df: DataFrame, row_id: str, column: str) -> DataFrame:
+    def sets(df: DataFrame, row_id: str, column: str) -> DataFrame:
         own = df.select(F.col(row_id), F.array_sort(F.array_distinct(column)).alias("terms")).where(F.size("terms") > 0)
         return own.withColumn("set", F.sha2(F.array_join("terms", "\x01"), 256))
 
-    left_rows, right_rows = terms(left, left_id, left_terms), terms(right, right_id, right_terms)
-    a = left_rows.groupBy(F.col("set").alias("left_set")).agg(F.first("terms").alias("ta"))
-    b = right_rows.groupBy(F.col("set").alias("right_set")).agg(F.first("terms").alias("tb"), F.min(right_id).alias(right_id))
-    posted = b.select("right_set", F.explode("tb").alias("term"))
-    often = posted.groupBy("term").agg(F.count(F.lit(1)).alias("__often"))
-    ranked = a.select("left_set", F.size("ta").alias("__n"), F.explode("ta").alias("term")).join(often, "term", "left")
-    rank = F.row_number().over(W.partitionBy("left_set").orderBy(F.coalesce("__often", F.lit(0)), "term"))
-    probes = ranked.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__n") - F.ceil(F.col("__n") * least) + 1)
-    pairs = probes.join(posted, "term").select("left_set", "right_set").distinct()
-    shared = F.size(F.array_intersect("ta", "tb"))
-    scored = pairs.join(a, "left_set").join(b, "right_set").withColumn("score", shared / (F.size("ta") + F.size("tb") - shared))
-    best = scored.where(F.col("score") >= least).groupBy("left_set").agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m"))
-    return left_rows.join(best, left_rows["set"] == best["left_set"]).select(left_id, f"m.{right_id}", "m.score")
+    left_rows, right_rows = sets(left, left_id, left_terms), sets(right, right_id, right_terms)
+    a = left_rows.groupBy("set").agg(F.first("terms").alias("terms"))
+    b = right_rows.groupBy("set").agg(F.first("terms").alias("terms"), F.min(right_id).alias(right_id))
+    posted = lambda df: df.select("set", F.explode("terms").alias("term"))
+    often = posted(a).unionByName(posted(b)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+    def ordered(df: DataFrame) -> DataFrame:
+        ranked = posted(df).join(often, "term").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("ranked"))
+        return df.join(ranked.select("set", F.transform("ranked", lambda x: x.term).alias("sorted")), "set").drop("terms").checkpoint()
+
+    a, b = ordered(a), ordered(b)
+
+    def prefixes(df: DataFrame, t: float, name: str) -> DataFrame:
+        size = F.size("sorted")
+        first = F.slice("sorted", F.lit(1), (size - F.ceil(size * t - 1e-9) + 1).cast("int"))
+        return df.select(F.col("set").alias(f"set_{name}"), size.alias(f"n_{name}"), F.posexplode(first).alias(f"at_{name}", "term"))
+
+    best = a.join(b.select("set", right_id), "set").select(F.col("set").alias("set_a"), right_id, F.lit(1.0).alias("score"))
+    for t in sorted({(1 + least) / 2, (1 + 3 * least) / 4, least}, reverse=True):
+        open_ = a.join(best.select(F.col("set_a").alias("set")), "set", "left_anti")
+        asked = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+        behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        fits = (F.col("n_b") >= F.col("n_a") * t - 1e-9) & (F.col("n_a") >= F.col("n_b") * t - 1e-9) & (behind >= asked)
+        met = prefixes(open_, t, "a").join(prefixes(b, t, "b"), "term").where(fits).select("set_a", "set_b").distinct()
+        both = met.join(a.select(F.col("set").alias("set_a"), F.col("sorted").alias("sa")), "set_a").join(b.select(F.col("set").alias("set_b"), F.col("sorted").alias("sb"), right_id), "set_b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        scored = both.withColumn("score", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("score") >= (least if t == least else t))
+        found = scored.groupBy("set_a").agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m")).select("set_a", "m.*")
+        best = best.unionByName(found).checkpoint()
+    return left_rows.join(best, left_rows["set"] == best["set_a"]).select(left_id, right_id, "score")
 
 
 def paired_examples(groups: DataFrame, examples: DataFrame, keys: list[str], category: str, order: str, n: int = 5) -> DataFrame:

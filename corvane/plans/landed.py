@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import upkeep
 from corvane.plans.base import Tables, query
-from corvane.sources import readers
-from corvane.sources.sinks import ensure_checkpoints
-
-
-def _folder(t: Tables, name: str) -> str:
-    ensure_checkpoints(t.spark)
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from corvane.plans.base import work_folder as _folder
+from corvane.sources import boards, forms, readers
+from corvane.streaming import streams
 
 
 def _payloads(t: Tables, jobs, whole) -> DataFrame:
@@ -150,6 +143,47 @@ def page_fields(t: Tables) -> DataFrame:
     return readers.page_fields(t.pages.select("page_id", F.lit(form).alias("html")), "page_id", "html").select("page", "fi", "name", "label")
 
 
+@query("SRC16_form_fields_sql", "SELECT page_id AS page, u.fi, CASE u.fi WHEN 0 THEN 'email' ELSE 'city' END AS name, CASE u.fi WHEN 0 THEN 'email' ELSE 'select' END AS itype, CASE u.fi WHEN 0 THEN 'E-mail ' || page_id ELSE 'City' END AS label, u.fi = 0 AS req FROM pages, (VALUES (0), (1)) AS u(fi)")
+def form_fields_sql(t: Tables) -> DataFrame:
+    """The table function, called from SQL for every page."""
+    forms.register(t.spark)
+    html = "concat('<form><label for=\"e\">E-mail ', page_id, '</label><input id=\"e\" name=\"email\" type=\"email\" required><label>City<select name=\"city\"></select></label></form>')"
+    return t.spark.sql(f"SELECT p.page_id AS page, f.fi, f.name, f.itype, f.label, f.req FROM {{pages}} AS p, LATERAL form_fields({html}) AS f", pages=t.pages)
+
+
+def _landed_boards(t: Tables, folder: str) -> None:
+    """Brands as boards: their parts in pages of 50 by key, and what is left of a longer list once."""
+    ranked = t.part.withColumn("at", F.expr("row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1")).withColumn("total", F.expr("count(*) OVER (PARTITION BY p_brand)"))
+    job = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.struct(F.lit("Paris").alias("fullLocation"), F.lit("fr").alias("country")).alias("location"), F.struct(F.lit("Sales").alias("label")).alias("function"))
+    board = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("board")
+    pages = ranked.groupBy(board, (F.floor(F.col("at") / 50) * 50).cast("int").alias("offset")).agg(F.to_json(F.struct(F.max("total").cast("int").alias("totalFound"), F.collect_list(job).alias("content"))).alias("value"))
+    stale = pages.groupBy("board").agg((F.max("offset") + 50).alias("offset"), F.max_by("value", "offset").alias("value"))
+    pages.unionByName(stale).select("value", "board", "offset").write.partitionBy("board", "offset").text(f"{folder}/pages")
+    pages.groupBy("board").agg(F.max(F.xxhash64("value")).cast("string").alias("etag")).write.json(f"{folder}/etags")
+
+
+@query("SRC4_paged_boards", "SELECT p_partkey::VARCHAR AS job_id, lower(replace(p_brand, '#', '-')) AS company_slug, p_name AS title, 'Paris' AS location FROM part WHERE p_brand <> 'Brand#11'")
+def paged_boards(t: Tables) -> DataFrame:
+    """Every page is a partition of the source; pages beyond a board's total are left, and so is a blocked board."""
+    folder = _folder(t, "boards")
+    _landed_boards(t, folder)
+    boards.register(t.spark)
+    pages = t.spark.read.format("boards").option("total", "totalFound").option("blocked", "brand-11").load(folder)
+    return readers.smartrecruiters_jobs(pages).select("job_id", "company_slug", "title", "location")
+
+
+@query("SRC3_changed_boards", "SELECT lower(replace(p_brand, '#', '-')) AS company_slug, count(*) + CASE WHEN lower(p_brand) = 'brand#12' THEN count(*) ELSE 0 END AS n FROM part GROUP BY p_brand")
+def changed_boards(t: Tables) -> DataFrame:
+    """Two cycles of the stream; between them one board's ETag changes, so its jobs come twice."""
+    folder = _folder(t, "changed")
+    _landed_boards(t, folder)
+    boards.register(t.spark)
+    cycle = lambda: streams.run_to_table(t.spark.readStream.format("boards").option("total", "totalFound").load(folder), folder, "read")
+    cycle()
+    t.spark.range(1).selectExpr("'brand-12' AS board", "'another' AS etag").write.mode("append").json(f"{folder}/etags")
+    return readers.smartrecruiters_jobs(cycle()).groupBy("company_slug").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("X_canonical_ids", """
     WITH s AS (SELECT 'n' || s_nationkey AS slug, 'supplier' AS ats FROM supplier UNION SELECT 'n' || c_nationkey, 'customer' FROM customer UNION SELECT 'only', 'customer'),
     k AS (SELECT slug, count(DISTINCT ats) > 1 AS several FROM s GROUP BY slug)
@@ -261,3 +295,15 @@ def sink_round_trip(t: Tables) -> DataFrame:
     write_lines(t.nation.where("n_nationkey < 10"), folder)
     write_lines(t.nation.where("n_nationkey >= 10"), folder, compressed=True)
     return readers.json_lines(t.spark, folder, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("M20_chunked_write", """
+    WITH r AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 2000 AS chunk FROM orders)
+    SELECT chunk, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, sum(o_orderkey)::BIGINT AS all_keys FROM r GROUP BY chunk""")
+def chunked_write(t: Tables) -> DataFrame:
+    """Orders in chunks of 2,000, as they were written."""
+    from corvane.sources.sinks import write_chunks
+
+    rows = write_chunks(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), _folder(t, "chunks"), ["o_orderkey"], rounds=4)
+    key = F.col("o_orderkey")
+    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.sum(key).alias("all_keys"))

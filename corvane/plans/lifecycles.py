@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import lifecycle
-from corvane.plans.base import NOW, Tables, query
+from corvane.plans.base import NOW, Tables, query, work_folder
+from corvane.sources.committed import TableSet
 
 #: Items: an order is one, its key decides status, retries and reason, its date the times.
 _ITEMS = f"""
@@ -133,3 +136,115 @@ def phase_sessions(t: Tables) -> DataFrame:
     UNION ALL SELECT 'correction', id, failure_reason FROM s WHERE failure_reason IS NOT NULL UNION ALL SELECT 'prediction', id, 'evaluated' FROM s""")
 def submission_outputs(t: Tables) -> DataFrame:
     return lifecycle.submission_outputs(items(t))
+
+
+def submission_tables(t: Tables) -> TableSet:
+    """The four tables that a submission changes, in a folder of their own: items, outcomes, corrections, predictions."""
+    stage = "CASE WHEN id % 3 = 0 THEN 'applied' END AS current_stage"
+    own = items(t).selectExpr("id", "user_id", "status", "created_at", "updated_at", "cast(NULL AS timestamp) AS applied_at", stage, "cast(NULL AS string) AS claimed_by")
+    actual = "CASE WHEN l_linenumber % 3 = 0 THEN 'rejected' END AS actual_outcome_type"
+    predictions = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate")).selectExpr(
+        "l_orderkey AS item_id", "l_linenumber AS prediction_id", "cast(l_shipdate AS timestamp) AS predicted_at", actual,
+        "cast(NULL AS timestamp) AS actual_outcome_date", "cast(NULL AS timestamp) AS evaluated_at",
+    )
+    spark = t.spark
+    outcomes = spark.createDataFrame([], "item_id bigint, outcome_type string, outcome_date timestamp, outcome_source string, confidence double, previous_outcome_type string")
+    corrections = spark.createDataFrame([], "item_id bigint, snapshot_filled string, snapshot_submitted string")
+    tables = TableSet(spark, work_folder(t, "submissions"))
+    tables.create({"items": own, "outcomes": outcomes, "corrections": corrections, "predictions": predictions}, {"items": ["id"], "predictions": ["item_id", "prediction_id"]})
+    return tables
+
+
+def requests(t: Tables) -> DataFrame:
+    sent = "CASE WHEN o_orderkey % 4 = 0 THEN concat('{\"total\": ', o_custkey, '}') END"
+    return t.orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS id", f"{sent} AS snapshot_filled", "CASE WHEN o_orderkey % 8 = 0 THEN o_orderpriority END AS snapshot_submitted")
+
+
+@query("M18_committed_submission", f"""
+    WITH i AS ({_ITEMS}), c AS (SELECT * FROM i WHERE status IN ('submitting', 'awaiting_review') AND id % 2 = 0),
+    p AS (SELECT l_orderkey AS item_id, l_linenumber AS k, min(l_shipdate) AS shipped, l_linenumber % 3 = 0 AS closed FROM lineitem GROUP BY ALL),
+    s AS (SELECT item_id, arg_max(k, (shipped, k)) AS k FROM p WHERE NOT closed AND item_id IN (SELECT id FROM c) GROUP BY item_id)
+    SELECT 'item' AS kind, id, CASE WHEN id IN (SELECT id FROM c) THEN 'submitted' ELSE status END AS value FROM i
+    UNION ALL SELECT 'outcome', id, 'applied_confirmed:' || CASE WHEN id % 3 = 0 THEN 'applied' ELSE 'none' END FROM c
+    UNION ALL SELECT 'correction', id, '{{"total": ' || user_id || '}}>' || o_orderpriority FROM c JOIN orders ON o_orderkey = id WHERE id % 8 = 0
+    UNION ALL SELECT 'prediction', p.item_id, p.k || ':' || CASE WHEN closed THEN 'rejected' WHEN s.k IS NOT NULL THEN 'applied_confirmed' ELSE 'open' END
+    FROM p LEFT JOIN s ON s.item_id = p.item_id AND s.k = p.k""")
+def committed_submission(t: Tables) -> DataFrame:
+    """All four tables after one commit, which a second request doesn't change."""
+    tables = submission_tables(t)
+    for _ in range(2):
+        tables.transact(lambda base: lifecycle.confirm_submissions(base.table("items"), base.table("predictions"), requests(t), now()))
+    held = tables.snapshot()
+    return (
+        held.table("items").selectExpr("'item' AS kind", "id", "status AS value")
+        .unionByName(held.table("outcomes").selectExpr("'outcome' AS kind", "item_id AS id", "concat(outcome_type, ':', coalesce(previous_outcome_type, 'none')) AS value"))
+        .unionByName(held.table("corrections").selectExpr("'correction' AS kind", "item_id AS id", "concat(snapshot_filled, '>', snapshot_submitted) AS value"))
+        .unionByName(held.table("predictions").selectExpr("'prediction' AS kind", "item_id AS id", "concat(prediction_id, ':', coalesce(actual_outcome_type, 'open')) AS value"))
+    )
+
+
+@query("L1_concurrent_claims", f"""
+    WITH i AS ({_ITEMS}), c AS (SELECT id FROM i WHERE status = 'matched' ORDER BY user_id % 2, created_at, id LIMIT 90)
+    SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'preparing' ELSE status END AS status, id IN (SELECT id FROM c) AS claimed FROM i""")
+def concurrent_claims(t: Tables) -> DataFrame:
+    """Three workers claim thirty items each at once: together just the first ninety, whoever gets which."""
+    own = items(t).select("id", "user_id", "status", "created_at", "updated_at", F.lit(None).cast("string").alias("claimed_by"))
+    tables = TableSet(t.spark, work_folder(t, "claims"))
+    tables.create({"items": own}, {"items": ["id"]})
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: lifecycle.claim_committed(tables, f"worker-{k}", now(), F.col("user_id") % 2, 30), range(3)))
+    return tables.snapshot().table("items").select("id", "status", F.col("claimed_by").isNotNull().alias("claimed"))
+
+
+#: What an event of the log stands for, by its type and id.
+_CLIENT_EVENTS = {
+    "signup": ("poll", "poll", "claimed", "next_job"), "view": ("claimed", "loaded", "ready", "confirmation"),
+    "click": ("submit_clicked", "heartbeat", "needs_review", "poll", "claimed"), "purchase": ("success", "manual_confirm", "confirmation", "no_job"),
+    "error": ("failed", "closed", "restart", "pause", "resume", "resume", "poll", "give_up"),
+}
+_CLIENT_SQL = "CASE event_type " + " ".join(f"WHEN '{kind}' THEN ({list(names)})[1 + event_id % {len(names)}]" for kind, names in _CLIENT_EVENTS.items()) + " END"
+
+
+@query("L12_client_phases", f"""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, ts, {_CLIENT_SQL} AS kind, (event_id % 2)::INT AS tab, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (
+        SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS k, 'idle' AS phase, NULL::INT AS tab, NULL::TIMESTAMP AS started, false AS paused, false AS busy, NULL::INT AS ctab, NULL::TIMESTAMP AS clicked,
+               NULL::VARCHAR AS result, NULL::VARCHAR AS released FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL
+        SELECT user_id, event_id, k,
+            CASE what WHEN 'reset' THEN 'idle' WHEN 'fetch' THEN 'fetching' WHEN 'found' THEN 'tab_open' WHEN 'none' THEN 'idle' WHEN 'fill' THEN 'filling' WHEN 'done' THEN 'post_submit_wait'
+                 WHEN 'review' THEN 'awaiting_review' ELSE phase END,
+            CASE what WHEN 'reset' THEN NULL WHEN 'found' THEN own ELSE tab END,
+            CASE what WHEN 'reset' THEN NULL WHEN 'found' THEN ts WHEN 'beat' THEN ts WHEN 'review' THEN ts ELSE started END,
+            CASE kind WHEN 'pause' THEN true WHEN 'resume' THEN false ELSE paused END,
+            CASE WHEN what = 'fetch' THEN true WHEN what IN ('found', 'none') OR kind = 'restart' THEN false ELSE busy END,
+            CASE WHEN what = 'click' THEN own WHEN what = 'done' OR late THEN NULL ELSE ctab END,
+            CASE WHEN what = 'click' THEN ts WHEN what = 'done' OR late THEN NULL ELSE clicked END,
+            CASE WHEN what = 'stale_tab' THEN what WHEN kind IN ('poll', 'next_job') THEN CASE WHEN what = 'fetch' THEN 'fetching' WHEN what = 'reset' THEN 'skipped_stale_reset' ELSE what END
+                 WHEN what = 'found' THEN 'job_found' WHEN what = 'none' THEN 'no_job' WHEN what = 'ignored' THEN 'ignored' ELSE 'ok' END,
+            CASE WHEN kind = 'poll' AND what = 'reset' AND phase = 'awaiting_review' THEN 'review_timeout' WHEN what = 'reset' AND kind = 'closed' THEN 'tab_closed_by_user'
+                 WHEN what = 'reset' AND tab IS NOT NULL AND kind = 'failed' THEN 'failed' WHEN what = 'reset' AND tab IS NOT NULL AND kind = 'give_up' THEN 'user_gave_up_review' END
+        FROM (
+            SELECT *, kind = 'confirmation' AND coalesce(own = ctab, false) AND coalesce(ts > clicked + INTERVAL 30 SECOND, false) AS late,
+                CASE WHEN kind IN ('success', 'failed', 'needs_review', 'heartbeat', 'submit_clicked') AND own IS DISTINCT FROM tab THEN 'stale_tab'
+                     WHEN kind IN ('poll', 'next_job') THEN CASE WHEN busy THEN 'skipped_busy'
+                         WHEN phase NOT IN ('idle', 'post_submit_wait') AND started IS NOT NULL AND ts > started + CASE phase WHEN 'awaiting_review' THEN INTERVAL 30 MINUTE ELSE INTERVAL 10 MINUTE END THEN 'reset'
+                         WHEN paused OR phase <> 'idle' THEN 'skipped_not_idle' ELSE 'fetch' END
+                     WHEN kind = 'claimed' THEN CASE WHEN busy THEN 'found' ELSE 'ignored' END
+                     WHEN kind = 'no_job' THEN CASE WHEN busy THEN 'none' ELSE 'ignored' END
+                     WHEN kind = 'confirmation' AND coalesce(own = ctab, false) AND ts <= clicked + INTERVAL 30 SECOND THEN CASE WHEN phase = 'post_submit_wait' THEN 'ok' ELSE 'done' END
+                     WHEN kind IN ('loaded', 'confirmation') THEN CASE WHEN own = tab AND phase = 'tab_open' THEN 'fill' ELSE 'ok' END
+                     WHEN kind = 'ready' THEN CASE WHEN own = tab THEN 'fill' ELSE 'ignored' END
+                     WHEN kind = 'success' THEN CASE WHEN phase = 'post_submit_wait' THEN 'ok' ELSE 'done' END
+                     WHEN kind = 'heartbeat' THEN 'beat' WHEN kind = 'needs_review' THEN 'review' WHEN kind = 'submit_clicked' THEN 'click'
+                     WHEN kind IN ('failed', 'give_up', 'manual_confirm') THEN 'reset'
+                     WHEN kind = 'closed' THEN CASE WHEN own = tab AND phase = 'awaiting_review' THEN 'reset' ELSE 'ignored' END
+                     ELSE 'ok' END AS what
+            FROM (SELECT e.user_id, e.event_id, e.k, e.ts, e.kind, e.tab AS own, CASE WHEN e.kind = 'next_job' THEN 'idle' ELSE f.phase END AS phase, f.tab, f.started, f.paused, f.busy, f.ctab, f.clicked
+                  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+    SELECT user_id, event_id, phase, result, released FROM f WHERE k > 0""")
+def client_phases(t: Tables) -> DataFrame:
+    """Each user is a client with two tabs; an event's id decides what the client's event is."""
+    named = [F.when(F.col("event_type") == k, F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))) for k, names in _CLIENT_EVENTS.items()]
+    log = t.events.select("user_id", "event_id", "ts", F.coalesce(*named).alias("kind"), (F.col("event_id") % 2).cast("int").alias("tab"))
+    return lifecycle.phase_machine(log, "user_id", "ts", "event_id", "kind", "tab").select("user_id", "event_id", "phase", "result", "released")

@@ -164,26 +164,29 @@ def fingerprint_threshold(t: Tables) -> DataFrame:
     return cluster.thresholded(rows, ["event_type", "bucket"], t.events.count())
 
 
-#: A label for most rules, labels that exclusions turn away, and labels that ask for nothing known.
-_LABELS = [
-    "First Name*", "Last name", "Full name", "E-mail address", "Mobile number", "LinkedIn profile", "GitHub", "Personal site", "City", "Province", "Country", "Street address", "Postal code",
-    "Preferred first name", "Your pronouns", "Are you authorized to work in the country you reside?", "Eligible for long-term work", "Will you now or in the future require sponsorship?",
-    "What type of visa do you hold", "Gender identity", "Racial background", "Are you Hispanic or Latino?", "Protected veteran", "Do you have a disability or long-term health condition", "University",
-    "Highest education reached", "Field of study", "GPA", "Expected salary", "Have you ever been employed by us?", "Cover letter", "Emergency contact phone", "Confirm e-mail",
-    "Company website", "If other, please specify", "Leave this field blank", "Favourite colour", "", "Select...", "Bonus and salary",
-    "I agree to the background check", "I have read the privacy policy", "Consent to SMS", "Notify me of job openings",
-]
+#: Labels with what they ask for, decided by hand: one for every rule at least, those that exclusions turn away, and some that ask for nothing known.
+_LABELS = {
+    "First Name*": "first_name", "Last name": "last_name", "Full name": "full_name", "E-mail address": "email", "Mobile number": "phone", "LinkedIn profile": "linkedin", "GitHub": "github",
+    "Personal site": "portfolio", "City": "location_city", "Province": "location_state", "Country": "location_country", "Street address": "location_address", "Postal code": "location_zip",
+    "Preferred first name": "preferred_name", "Your pronouns": "pronouns", "Are you authorized to work in the country you reside?": "work_authorized", "Eligible for long-term work": "work_authorized_longterm",
+    "Will you now or in the future require sponsorship?": "needs_sponsorship", "What type of visa do you hold": "visa_status", "Please explain your work authorization": "immigration_explanation",
+    "Gender identity": "eeo_gender", "Racial background": "eeo_race", "Are you Hispanic or Latino?": "eeo_hispanic", "Protected veteran": "eeo_veteran",
+    "Do you have a disability or long-term health condition": "eeo_disability", "University": "school", "Highest education reached": "degree", "Field of study": "major", "GPA": "gpa",
+    "Expected graduation": "graduation_date", "Expected salary": "compensation", "When can you start?": "start_date", "How many years have you used SQL?": "years_experience",
+    "How long an internship do you want?": "internship_duration", "Internship start": "internship_start", "What field do you want for the internship": "internship_field",
+    "Have you ever been employed by us?": "previously_employed", "Who referred you?": "referral", "Cover letter": "cover_letter", "Transcript": "transcript_undergrad", "Graduate school transcript": "school",
+    "Graduate transcript": "transcript_grad", "Unofficial transcript": "transcript_undergrad", "I agree to the background check": "consent_background_check", "Background investigation": "consent_background_check",
+    "I have read the privacy policy": "consent_privacy_policy", "GDPR notice": "consent_gdpr_notice", "Consent to SMS": "consent_sms_communication", "Notify me of job openings": "marketing_communications_optin",
+    "Would you take part in a voluntary diversity survey": "consent_demographic_survey", "Emergency contact phone": None, "Confirm e-mail": None, "Company website": None, "If other, please specify": None,
+    "Leave this field blank": None, "Favourite colour": None, "": None, "Select...": None, "Bonus and salary": None, "Resume/CV": None, "How did you hear about us?": None, "Earliest internship you could start": "internship_start",
+    "How did you learn about the referral": None,
+}
 _QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _LABELS)
 _FIELDS = f"""
     SELECT p_partkey, CASE WHEN p_size % 11 = 1 THEN 'hidden' ELSE 'text' END AS itype, CASE p_partkey % 9 WHEN 0 THEN 'email-12' WHEN 1 THEN 'edit-url' WHEN 2 THEN 'gclid' ELSE 'question_' || p_size END AS id,
     CASE WHEN p_size % 13 = 0 THEN 'given-name' ELSE '' END AS ac, element_at(array({_QUOTED}), cast(p_partkey % {len(_LABELS)} + 1 AS int)) AS label,
     CASE WHEN p_size % 2 = 0 THEN 'Your e-mail' ELSE '' END AS placeholder, CASE WHEN p_size % 5 = 0 THEN 'LinkedIn profile' ELSE 'Git link 14' END AS section, 'where is your portfolio' AS nearby, p_size % 3 = 0 AS req FROM part"""
-
-
-def _rules_sql(text: str) -> str:
-    """The label rules as SQL."""
-    any_of = lambda patterns: f"regexp_matches({text}, '(?i)" + "|".join(f"(?:{p})" for p in patterns) + "')"
-    return "CASE " + " ".join(f"WHEN {any_of(p)}{' AND NOT ' + any_of(x) if x else ''} THEN '{name}'" for name, p, x in classify.LABEL_RULES + classify.CONSENT_RULES) + " END"
+_BY_HAND = "CASE label " + " ".join("WHEN '" + x.replace("'", "''") + f"' THEN '{c}'" for x, c in _LABELS.items() if c) + " END"
 
 
 @query("C1_field_interpreter", f"""
@@ -191,9 +194,9 @@ def _rules_sql(text: str) -> str:
     l AS (SELECT *, trim(label) = '' AS no_label, trim(placeholder) = '' AS no_place, regexp_replace(id, '[-_]{{1,2}}\\d+$', '') AS stem FROM f),
     s AS (SELECT *, CASE WHEN id = 'edit-url' OR label = 'Leave this field blank' THEN 'honeypot' WHEN itype = 'hidden' AND id = 'gclid' THEN 'hidden_tracking_field' WHEN itype = 'hidden' THEN 'hidden_non_interactive_field'
         WHEN (no_label OR label = 'Select...') AND no_place AND itype = 'text' AND req THEN 'react_select_required_shim' WHEN label LIKE 'If other, please specify%' THEN 'other_followup' END AS structural,
-        CASE WHEN ac = 'given-name' THEN 'first_name' END AS t1, CASE WHEN stem = 'email' THEN 'email' END AS t2, CASE WHEN NOT no_label THEN {_rules_sql("label")} END AS t3,
-        CASE WHEN no_label AND NOT no_place THEN {_rules_sql("placeholder")} END AS t4, CASE WHEN no_label AND no_place AND length(section) >= 15 THEN {_rules_sql("section")} END AS t5,
-        CASE WHEN no_label AND no_place THEN {_rules_sql("nearby")} END AS t6 FROM l)
+        CASE WHEN ac = 'given-name' THEN 'first_name' END AS t1, CASE WHEN stem = 'email' THEN 'email' END AS t2, CASE WHEN NOT no_label THEN {_BY_HAND} END AS t3,
+        CASE WHEN no_label AND NOT no_place THEN 'email' END AS t4, CASE WHEN no_label AND no_place AND length(section) >= 15 THEN 'linkedin' END AS t5,
+        CASE WHEN no_label AND no_place THEN 'portfolio' END AS t6 FROM l)
     SELECT p_partkey, CASE WHEN structural IS NULL THEN coalesce(t1, t2, t3, t4, t5, t6) END AS category,
         CASE WHEN structural IS NOT NULL THEN structural WHEN t1 IS NOT NULL THEN 'autocomplete' WHEN t2 IS NOT NULL THEN 'id' WHEN t3 IS NOT NULL THEN 'label' WHEN t4 IS NOT NULL THEN 'placeholder' WHEN t5 IS NOT NULL THEN 'section' WHEN t6 IS NOT NULL THEN 'nearby_text' END AS tier
     FROM s""")
@@ -204,15 +207,24 @@ def field_interpreter(t: Tables) -> DataFrame:
     return classify.interpret(fields.withColumn("tag", F.lit("input"))).select("p_partkey", "category", "tier")
 
 
-_TOPICS = [*classify.CAPABILITIES, *classify.UNSUPPORTED, "never_heard_of"]
-_TOPIC_ROWS = ", ".join(f"({k}, '{x}', {repr(classify.CAPABILITIES[x]) if x in classify.CAPABILITIES else 'NULL'}, '{'supported' if x in classify.CAPABILITIES else 'unsupported' if x in classify.UNSUPPORTED else 'unknown'}')" for k, x in enumerate(_TOPICS))
+#: Topics with what answers them, decided by hand; a capability is null where nothing answers one.
+_TOPICS = {
+    "preferred_first_name": ("preferred_name", "supported"), "personal_website": ("portfolio", "supported"), "state": ("location_state", "supported"), "mailing_address": ("location_address", "supported"),
+    "citizenship_status": ("work_authorized_longterm", "supported"), "visa_type": ("visa_status", "supported"), "education_end_date": ("graduation_date", "supported"), "skill_experience_years": ("years_experience", "supported"),
+    "availability_start_date": ("start_date", "supported"), "employee_referral": ("referral", "supported"), "cover_letter_upload": ("cover_letter", "supported"),
+    "current_employee_of_company": ("previously_employed_here", "supported"), "previously_employed_here": ("previously_employed", "supported"), "consent_gdpr_notice": ("consent_gdpr_notice", "supported"),
+    "marketing_communications_optin": ("marketing_communications_optin", "supported"), "willing_to_relocate": (None, "unsupported"), "essay": (None, "unsupported"), "military_rank": (None, "unsupported"),
+    "work_history_title": (None, "unsupported"), "how_heard_about_role": (None, "unsupported"), "resume_upload": (None, "unsupported"), "travel_willingness": (None, "unsupported"),
+    "ai_tool_usage_disclosure": (None, "unsupported"), "never_heard_of": (None, "unknown"),
+}
+_TOPIC_ROWS = ", ".join(f"({k}, '{x}', {repr(c) if c else 'NULL'}, '{status}')" for k, (x, (c, status)) in enumerate(_TOPICS.items()))
 
 
 @query("C4_C5_capability_map", f"""
     WITH m(k, topic, capability, status) AS (VALUES {_TOPIC_ROWS})
     SELECT p_partkey, topic, capability, status FROM part JOIN m ON k = p_partkey % {len(_TOPICS)}""")
 def capability_map(t: Tables) -> DataFrame:
-    """Every topic of the table, the unsupported ones and one that nobody knows."""
+    """Topics of each sort and one that nobody knows."""
     topic = F.element_at(F.array(*map(F.lit, _TOPICS)), (F.col("p_partkey") % len(_TOPICS) + 1).cast("int"))
     rows = t.part.select("p_partkey", topic.alias("topic"))
     return rows.select("p_partkey", "topic", classify.capability(F.col("topic")).alias("capability"), classify.topic_status(F.col("topic")).alias("status"))
@@ -231,13 +243,20 @@ def consent_policy(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "topic", F.array_join(classify.consent_answer(F.col("topic")), "|").alias("wordings"))
 
 
-@query("X29_visa_answers", """
-    WITH v AS (SELECT c_custkey, (['F1', 'H1B', 'US_CITIZEN', 'CONDITIONAL_GC', 'nonsense', 'GREEN_CARD', 'J1'])[c_custkey % 7 + 1] AS visa FROM customer)
-    SELECT c_custkey, visa, 'Yes' AS now, CASE WHEN visa IN ('H1B', 'US_CITIZEN', 'CONDITIONAL_GC', 'GREEN_CARD') THEN 'Yes' ELSE 'No' END AS longterm,
-           CASE visa WHEN 'H1B' THEN 'H1B' WHEN 'US_CITIZEN' THEN 'US Citizen' WHEN 'GREEN_CARD' THEN 'Green Card' WHEN 'J1' THEN 'J1' ELSE 'Other' END AS wording FROM v""")
+#: Kinds of visa with the wording that forms prefer, decided by hand.
+_VISAS = {
+    "F1": "F1", "F1_OPT": "OPT", "F1_STEM_OPT": "STEM OPT", "J1": "J1", "H1B": "H1B", "H4_EAD": "H4 EAD", "L1": "L1", "O1": "O1", "TN": "TN", "E3": "E3", "US_CITIZEN": "US Citizen", "GREEN_CARD": "Green Card",
+    "CONDITIONAL_GC": "Conditional Green Card", "PENDING_GC_EAD": "EAD", "ASYLUM_EAD": "Asylum", "DACA": "DACA", "NON_IMMIGRANT": "Non-immigrant Visa", "OTHER": "Other", "PREFER_NOT": "Prefer not to say", "nonsense": "Other",
+}
+
+
+@query("X29_visa_answers", f"""
+    WITH m(k, visa, wording) AS (VALUES {", ".join(f"({k}, '{x}', '{w}')" for k, (x, w) in enumerate(_VISAS.items()))})
+    SELECT c_custkey, visa, 'Yes' AS now, CASE WHEN visa IN ('H1B', 'US_CITIZEN', 'CONDITIONAL_GC', 'GREEN_CARD') THEN 'Yes' ELSE 'No' END AS longterm, wording
+    FROM customer JOIN m ON k = c_custkey % {len(_VISAS)}""")
 def visa_answers(t: Tables) -> DataFrame:
-    visas = ["F1", "H1B", "US_CITIZEN", "CONDITIONAL_GC", "nonsense", "GREEN_CARD", "J1"]
-    visa = F.element_at(F.array(*map(F.lit, visas)), (F.col("c_custkey") % len(visas) + 1).cast("int"))
+    """Every kind of visa and one that isn't any."""
+    visa = F.element_at(F.array(*map(F.lit, _VISAS)), (F.col("c_custkey") % len(_VISAS) + 1).cast("int"))
     rows = t.customer.select("c_custkey", visa.alias("visa")).withColumn("v", classify.visa_answers(F.col("visa")))
     return rows.select("c_custkey", "visa", "v.now", "v.longterm", F.get("v.wordings", F.lit(0)).alias("wording"))
 

@@ -100,6 +100,22 @@ def metric_cube(t: Tables) -> DataFrame:
     return aggregates.metric_cube(t.orders, {"status": "o_orderstatus", "priority": "o_orderpriority"}, "o_custkey", 5)
 
 
+@query("A18_anonymous_cube", """
+    WITH o AS (SELECT (l_quantity::INT)::VARCHAR AS f, date_trunc('month', l_shipdate)::DATE::VARCHAR AS s, l_suppkey AS u FROM lineitem),
+    g AS (SELECT f, s, grouping(f) AS ta, grouping(s) AS tb, count(*) AS n, count(DISTINCT u) AS users FROM o GROUP BY GROUPING SETS ((f, s), (f), (s), ())),
+    c AS (SELECT *, CASE WHEN ta = 1 THEN '*' ELSE 'v' || f END AS a, CASE WHEN tb = 1 THEN '*' ELSE 'v' || s END AS b, users < 5 AS few, CASE WHEN users < 5 THEN 0 ELSE users END AS cost FROM g),
+    r AS (SELECT a, b AS b2, cost FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY cost, b) <= 8 OR b = '*'),
+    k AS (SELECT b, a AS a2, cost FROM c QUALIFY row_number() OVER (PARTITION BY b ORDER BY cost, a) <= 8 OR a = '*'),
+    m AS (SELECT c.a, c.b, k.a2, r.b2 FROM c JOIN r ON r.a = c.a AND r.b2 <> c.b JOIN k ON k.b = c.b AND k.a2 <> c.a JOIN c AS d ON d.a = k.a2 AND d.b = r.b2 WHERE c.few
+          QUALIFY row_number() OVER (PARTITION BY c.a, c.b ORDER BY r.cost + k.cost + d.cost, k.a2, r.b2) = 1),
+    x AS (SELECT a, b FROM c WHERE few UNION SELECT a, b2 FROM m UNION SELECT a2, b FROM m UNION SELECT a2, b2 FROM m)
+    SELECT f AS first_value, s AS second_value, ta = 1 AS is_total_first, tb = 1 AS is_total_second, n, users FROM c ANTI JOIN x USING (a, b)""")
+def anonymous_cube(t: Tables) -> DataFrame:
+    """Lines by quantity and month, with at least five suppliers a published cell."""
+    lines = t.lineitem.select(F.col("l_quantity").cast("int").alias("quantity"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"), "l_suppkey")
+    return aggregates.anonymous_cube(lines, "quantity", "month", "l_suppkey", 5)
+
+
 @query("J1_new_key_anti_join", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def new_key_anti_join(t: Tables) -> DataFrame:
     return joins.unseen(t.customer, t.orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey", "c_name")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corvane.sources.committed import Snapshot, TableSet
+
 
 def file_stream(spark: SparkSession, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
     """New Parquet files that fit the pattern, with the schema that those there have."""
@@ -89,6 +91,55 @@ def insert_once(stream: DataFrame, folder: str, keys: list[str], state: Versions
     return state.read()
 
 
+def insert_new(stream: DataFrame, folder: str, keys: list[str], tables: TableSet, name: str) -> DataFrame:
+    """ST6 by changes: a batch adds its unseen keys as one more part, so what is written follows the batch and not the state."""
+    from corvane.operators.merge import first_of
+
+    def act(batch: DataFrame, number: int) -> None:
+        fresh = first_of(batch, keys, [F.col(c) for c in batch.columns])
+        tables.transact(lambda base: {name: fresh.join(base.table(name).select(*keys), keys, "left_anti")}, (name, number))
+
+    run_batches(stream, folder, name, act)
+    return tables.snapshot().table(name)
+
+
+def stamp_when_written(stream: DataFrame, folder: str, key: str, tables: TableSet, output: Callable[[DataFrame], DataFrame], now: Column) -> None:
+    """ST2: rows that have no stamp yet give their output; once that is durable, and only then, they are stamped.
+
+    Output and stamp are two commits, each at most once for a batch: after a break between them the output isn't
+    written again, and the stamp follows. Tables: outputs (any columns that output gives), stamps (the key and checked_at).
+    """
+
+    def act(batch: DataFrame, number: int) -> None:
+        def unseen(base: Snapshot) -> DataFrame:
+            return batch.join(base.table("stamps").select(key), key, "left_anti")
+
+        tables.transact(lambda base: {"outputs": output(unseen(base))}, ("outputs", number))
+        tables.transact(lambda base: {"stamps": unseen(base).select(key, now.alias("checked_at")).distinct()}, ("stamps", number))
+
+    run_batches(stream, folder, "stamped", act)
+
+
+def split_late(stream: DataFrame, folder: str, at: str, delay: str, tables: TableSet) -> None:
+    """ST8: rows behind the watermark go to a table of their own instead of being lost.
+
+    The watermark of a batch is the latest time of all batches before it less the delay. Tables, changed together:
+    accepted and late (the stream's columns), marks (batch, latest).
+    """
+
+    def act(batch: DataFrame, number: int) -> None:
+        def change(base: Snapshot) -> dict[str, DataFrame]:
+            latest = base.table("marks").agg(F.max("latest").alias("__latest"))
+            marked = batch.crossJoin(F.broadcast(latest))
+            behind = F.coalesce(F.col(at) < F.col("__latest") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+            mark = batch.agg(F.max(at).alias("latest")).select(F.lit(number).cast("long").alias("batch"), "latest")
+            return {"accepted": marked.where(~behind).drop("__latest"), "late": marked.where(behind).drop("__latest"), "marks": mark}
+
+        tables.transact(change, ("late", number))
+
+    run_batches(stream, folder, "late", act)
+
+
 def payload_changes(stream: DataFrame, key: str, order: str, payload_hash: str) -> DataFrame:
     """ST3: rows whose payload differs from the last one of their key."""
 
@@ -153,6 +204,16 @@ def windowed_counts(stream: DataFrame, at: str, size: str, key: str, delay: str)
     return stream.withWatermark(at, delay).groupBy(F.window(at, size), key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sliding_counts(stream: DataFrame, at: str, size: str, slide: str, key: str, delay: str) -> DataFrame:
+    """ST8: counts by overlapping windows of the size that begin every slide."""
+    return stream.withWatermark(at, delay).groupBy(F.window(at, size, slide), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_counts(stream: DataFrame, at: str, gap: str, key: str, delay: str) -> DataFrame:
+    """ST8: a key's events with no gap as long as that between them are one session; sessions merge as events come in between."""
+    return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap), key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def expiring_leases(stream: DataFrame, key: str, at: str, event: str, minutes: int) -> DataFrame:
     """ST9: a lease that isn't renewed or released in time is reported expired, by event time.
 
