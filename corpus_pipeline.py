@@ -8,13 +8,15 @@ before it, whose result has been written by then.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from corvane.llm import toxicity
-from corvane.llm.common import Workspace
+from corvane.llm.common import Workspace, shared_dir
 from corvane.llm.decontaminate import contaminated, decontaminate
 from corvane.llm.mixing import mix
 from corvane.llm.near_copies import near_copies
@@ -50,7 +52,9 @@ def _named(docs: DataFrame) -> tuple[DataFrame, str]:
     while name in docs.columns:
         name += "_"
     own = F.xxhash64(F.col("text")).bitwiseAND(F.lit(ANONYMOUS - 1)).bitwiseOR(F.lit(ANONYMOUS))
-    return docs.withColumn(name, F.coalesce(F.col("doc_id"), own.cast(docs.schema["doc_id"].dataType))), name
+    kind = docs.schema["doc_id"].dataType
+    kind = LongType() if isinstance(kind, IntegralType) else kind  # what stands for an id needs 64 bits
+    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast(kind), own.cast(kind))), name
 
 
 def _without(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = taken.select(
         F.col("row_id").alias("__row"), F.expr("if(size > 0, cast(floor(taken / size + 0.5) AS int), 0)").alias("__times")
     ).where("__times > 0")
-    row = named.select(F.col(name).alias("__id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+    row = named.select(F.col(name).alias("__id"), F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("__doc"))
     joined = row.join(times, row["__id"] == times["__row"])
     return joined.select("__doc", F.explode(F.sequence(F.lit(1), "__times"))).select("__doc.*")
 
@@ -112,8 +116,20 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of all documents in training order, as fixed-stride shards; a row for each sequence.
 
     Null and empty texts are an end mark each, very long ones go over several sequences; an empty table has no sequence.
+    The shards stay, also when the session ends: shards_folder() tells where. A further run over the same folder of
+    tables keeps those that are the same; after one over fewer documents the rows returned tell which shards count.
     """
-    return token_shards(spark, docs)
+    return token_shards(spark, docs, folder=shards_folder(spark, sf_dir))
+
+
+#: Setting that names the folder for the shards of all runs.
+SHARDS = "spark.corvane.shards"
+
+
+def shards_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the shards of a folder of tables are: below the one that the setting names, else in the shared folder."""
+    base = spark.conf.get(SHARDS, None) or f"{shared_dir(spark)}/token-shards"
+    return f"{base.rstrip('/')}/{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:16]}"
 
 
 STAGES: list[tuple[str, Stage]] = [
