@@ -98,5 +98,35 @@ def test_documents_without_an_id_are_judged_one_by_one(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in rows if t != passage)
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+def test_shards_outlive_the_run(spark):
+    """Sequences are read from the shards by their slots, after a further run as well, which writes none anew."""
+    import hashlib
+    import os
+
+    from corvane.llm.common import Workspace
+    from corvane.llm.token_shards import read_slots
+
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert rows
+    Workspace.close_all()
+    folder = corpus_pipeline.shards_folder(spark, DATA)
+    path = folder.removeprefix("file:")
+    times = {name: os.stat(f"{path}/{name}").st_mtime_ns for name in os.listdir(path) if not name.startswith(".")}
+    want = [r.tokens_sha256 for r in sorted(rows, key=lambda r: r.slot)]
+    for _ in range(2):
+        assert [hashlib.sha256(x.tobytes()).hexdigest() for x in read_slots(folder, 0, len(want))] == want
+        again = corpus_pipeline.run(spark, DATA)
+        assert sorted((r.slot, r.tokens_sha256) for r in again.collect()) == list(enumerate(want))
+    assert {name: os.stat(f"{path}/{name}").st_mtime_ns for name in times} == times
+
+
+def test_narrow_ids_that_are_null_and_names_with_dots(spark):
+    """With a trained scorer, an id of 32 bits and columns that a name can't reach."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 9 > 0, F.col("doc_id")).cast("int"))
+    docs = docs.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit("x"))
+    assert toxicity.train(spark, docs, spark.read.parquet(f"{DATA}/labels.parquet")) is not None
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, DATA)
+        assert kept.columns == docs.columns and 0 < kept.count()
+        assert kept.schema["doc_id"].dataType.simpleString() == "int"
+    assert corpus_pipeline.write_tokens(spark, docs, DATA).count() > 0
