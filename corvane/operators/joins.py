@@ -83,28 +83,30 @@ def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     def ordered(df: DataFrame) -> DataFrame:
         ranked = posted(df).join(often, "term").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("ranked"))
-        return df.join(ranked.select("set", F.transform("ranked", lambda x: x.term).alias("sorted")), "set").drop("terms").checkpoint()
+        found = df.join(ranked.select("set", F.transform("ranked", lambda x: x.term).alias("sorted")), "set").drop("terms")
+        return found.withColumn("id", F.monotonically_increasing_id()).checkpoint()  # the numbers are those stored
 
     a, b = ordered(a), ordered(b)
 
     def prefixes(df: DataFrame, t: float, name: str) -> DataFrame:
         size = F.size("sorted")
         first = F.slice("sorted", F.lit(1), (size - F.ceil(size * t - 1e-9) + 1).cast("int"))
-        return df.select(F.col("set").alias(f"set_{name}"), size.alias(f"n_{name}"), F.posexplode(first).alias(f"at_{name}", "term"))
+        return df.select(F.col("id").alias(f"id_{name}"), size.alias(f"n_{name}"), F.posexplode(first).alias(f"at_{name}", "term"))
 
-    best = a.join(b.select("set", right_id), "set").select(F.col("set").alias("set_a"), right_id, F.lit(1.0).alias("score"))
+    best = a.select("set", F.col("id").alias("id_a")).join(b.select("set", right_id), "set").select("id_a", right_id, F.lit(1.0).alias("score"))
     for t in sorted({(1 + least) / 2, (1 + 3 * least) / 4, least}, reverse=True):
-        open_ = a.join(best.select(F.col("set_a").alias("set")), "set", "left_anti")
+        open_ = a.join(best.select(F.col("id_a").alias("id")), "id", "left_anti")
         asked = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
         behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         fits = (F.col("n_b") >= F.col("n_a") * t - 1e-9) & (F.col("n_a") >= F.col("n_b") * t - 1e-9) & (behind >= asked)
-        met = prefixes(open_, t, "a").join(prefixes(b, t, "b"), "term").where(fits).select("set_a", "set_b").distinct()
-        both = met.join(a.select(F.col("set").alias("set_a"), F.col("sorted").alias("sa")), "set_a").join(b.select(F.col("set").alias("set_b"), F.col("sorted").alias("sb"), right_id), "set_b")
+        met = prefixes(open_, t, "a").join(prefixes(b, t, "b"), "term").where(fits).select("id_a", "id_b").distinct()
+        both = met.join(a.select(F.col("id").alias("id_a"), F.col("sorted").alias("sa")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("sorted").alias("sb"), right_id), "id_b")
         shared = F.size(F.array_intersect("sa", "sb"))
         scored = both.withColumn("score", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("score") >= (least if t == least else t))
-        found = scored.groupBy("set_a").agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m")).select("set_a", "m.*")
+        found = scored.groupBy("id_a").agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m")).select("id_a", "m.*")
         best = best.unionByName(found).checkpoint()
-    return left_rows.join(best, left_rows["set"] == best["set_a"]).select(left_id, right_id, "score")
+    named = a.select("set", F.col("id").alias("id_a")).join(best, "id_a")
+    return left_rows.join(named, "set").select(left_id, right_id, "score")
 
 
 def paired_examples(groups: DataFrame, examples: DataFrame, keys: list[str], category: str, order: str, n: int = 5) -> DataFrame:

@@ -97,7 +97,6 @@ def expiring_leases(t: Tables) -> DataFrame:
     s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i)
     SELECT user_id, arg_max(streak, (ts, event_id))::BIGINT AS failures, max(streak) < 5 AS is_active FROM s GROUP BY user_id""")
 def idle_counters(t: Tables) -> DataFrame:
-    stateful.use_rocksdb(t.spark)
     rows = _events(t).select("user_id", "ts", "event_id", "event_type")
     found = stateful.idle_counters(rows, "user_id", ["ts", "event_id"], "event_type", ["error"], ["purchase"], 5, 3_600_000)
     return stateful.run_available(found, _folder(t, "idle"), "counters")

@@ -1,6 +1,6 @@
 """State with timers and expiry of its own (ST4, ST9), on transformWithState.
 
-The session needs the RocksDB state store: use_rocksdb() sets it for streams started afterwards. Timers run by the clock,
+They need the RocksDB state store: use_rocksdb() sets it for streams started afterwards, run_available() for its own. Timers run by the clock,
 so they fire while no row arrives.
 """
 
@@ -14,11 +14,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from corvane.streaming.streams import run_to_table
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(PROVIDER, ROCKSDB)
 
 
 def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
@@ -27,12 +28,15 @@ def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
     the next run that has rows; to have them fire on time, let the stream run on.
     """
     spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    own = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", PROVIDER: ROCKSDB}
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         return run_to_table(stream, folder, name)
     finally:
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class LeaseTimers(StatefulProcessor):
