@@ -11,8 +11,9 @@ average, with a deviation of 3.4; AGREE is 4.4 of these below), and are then ver
 Pairs that are linked already needn't be verified: JOINING rounds verify one pair a text, the likeliest with a text of
 another component, which joins components as in Boruvka's algorithm; the last round compares all pairs of a run that
 aren't linked by then, each under its first common key, where the sets of a block of texts meet those of another. So
-pairs are never rows, and no run is capped; but texts that are all nearly 0.8 alike and not linked are compared pair by
-pair, as an exact answer asks.
+pairs are never rows, and no run is capped. Of a block's pairs only those are counted whose sets share one of their
+rarest shingles there; texts that are all nearly 0.8 alike and not linked still are counted pair by pair, as an exact
+answer asks.
 
 Defined results: words are those of simhash.py. Fewer words than a shingle: the whole sequence is the one shingle;
 texts without words are copies of each other. Repeated rows get the same answer, very long texts count whole. A
@@ -21,7 +22,7 @@ null id is never the smallest of a component that has others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -159,18 +160,62 @@ def _likeliest(least: float):
     return run
 
 
+class _Overlaps:
+    """The sets of a group by their own numbering, the rarest shingle of the group first.
+
+    Two sets that are similar enough share a shingle among the rarest of each, as many as the smallest overlap allows
+    to differ; so only sets that do are counted, and counting looks each shingle up in the other set.
+    """
+
+    def __init__(self, sets: list[bytes], least: float):
+        size = np.array([len(s) // 8 for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        number, held = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)[1:]
+        rank = np.empty(len(held), np.int64)
+        rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+        self.items = np.sort(owner * len(held) + rank[number])
+        self.items -= owner * len(held)
+        self.size, self.begin = size, np.cumsum(size) - size
+        self.rare = size - np.ceil(least * size - 1e-6).astype(np.int64) + 1
+        shared = (np.arange(len(owner)) - self.begin[owner] < self.rare[owner]) & (np.sort(held)[self.items] > 1)
+        order = np.argsort(self.items[shared], kind="stable")
+        self.owners = owner[shared][order]
+        self.upto = np.cumsum(np.bincount(self.items[shared], minlength=len(held)))
+        self.has = np.zeros(len(held), np.bool_)
+
+    def of(self, x: int) -> np.ndarray:
+        return self.items[self.begin[x] : self.begin[x] + self.size[x]]
+
+    def possible(self, x: int) -> np.ndarray:
+        """For every set, whether it shares one of its rarest shingles with those of x."""
+        found = np.zeros(len(self.size), np.bool_)
+        for item in self.of(x)[: self.rare[x]].tolist():
+            found[self.owners[self.upto[item - 1] if item else 0 : self.upto[item]]] = True
+        return found
+
+    def similarities(self, x: int, others: np.ndarray, wanted: Callable[[int], bool]) -> Iterator[tuple[int, float]]:
+        """(other, similarity to x) of those that are still wanted when their turn comes."""
+        self.has[self.of(x)] = True
+        for other in others.tolist():
+            if wanted(other):
+                both = np.count_nonzero(self.has[self.of(other)])
+                yield other, both / (self.size[x] + self.size[other] - both)
+        self.has[self.of(x)] = False
+
+
 def _compared(least: float):
     """Edges between components of each group (k, i, j): all pairs of block i with block j of a run are compared.
 
-    A pair is verified under the first key that both texts have, and only while it would join two components.
+    A pair is verified under the first key that both texts have, and only while it would join two components. The sets
+    are numbered once a group, so verifying a pair is one look-up a shingle, and most pairs need none.
     """
 
     def edges(h: dict[str, list]) -> tuple[list[int], list[int]]:
         own = {c: np.array(h[c], np.int64) for c in ("key", "n", "s0", "s1", "block")}
         bands = np.frombuffer(b"".join(h["bands"]), np.int64).reshape(-1, BANDS)
         parted, part = h["i"][0] != h["j"][0], np.unique(np.array(h["root"], np.int64), return_inverse=True)[1]
-        a, b = [], []
-        for x in range(len(part) - 1):
+        a, b, overlaps = [], [], None
+        for x in range(len(part) - 1 if part.any() else 0):
             y = np.arange(x + 1, len(part))
             y = y[part[y] != part[x]]
             if parted:
@@ -178,8 +223,11 @@ def _compared(least: float):
             y = y[(_agree(own, x, y) >= AGREE) & (np.minimum(own["n"][y], own["n"][x]) >= least * np.maximum(own["n"][y], own["n"][x]))]
             same = bands[y] == bands[x]
             y = y[bands[x][same.argmax(1)] == h["k"][0]] if len(y) else y
-            for other in y.tolist():
-                if part[other] != part[x] and similarity(np.frombuffer(h["g"][x], np.uint64), np.frombuffer(h["g"][other], np.uint64)) >= least:
+            if not len(y):
+                continue
+            overlaps = overlaps or _Overlaps(h["g"], least)
+            for other, alike in overlaps.similarities(x, y[overlaps.possible(x)[y]], lambda y: part[y] != part[x]):
+                if alike >= least:
                     part[part == part[other]] = part[x]
                     a.append(h["key"][x])
                     b.append(h["key"][other])

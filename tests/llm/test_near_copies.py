@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from corvane.llm.common import space_words
-from corvane.llm.near_copies import near_copies
+from corvane.llm.near_copies import _Overlaps, near_copies, similarity
 from tests.conftest import DATA
 
 
@@ -52,3 +54,37 @@ def test_stage_drops_copies_of_four_fifths(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     want = {i for i, least in brute([(r.doc_id, r.text) for r in docs.collect()]) if i == least}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == want
+
+
+def test_overlaps_lose_no_pair():
+    random.seed(3)
+    for least in (0.8, 0.5, 1.0):
+        sets = []
+        for _ in range(40):
+            base = [random.getrandbits(63) for _ in range(random.choice((1, 4, 5, 15, 90)))]
+            for _ in range(4):
+                own = {x if random.random() > random.choice((0, 0.05, 0.15)) else random.getrandbits(63) for x in base}
+                sets.append(np.array(sorted(own), np.uint64))
+        overlaps = _Overlaps([s.tobytes() for s in sets], least)
+        for x, one in enumerate(sets):
+            possible = overlaps.possible(x)
+            exact = [similarity(one, other) for other in sets]
+            assert all(possible[y] for y, alike in enumerate(exact) if y != x and alike >= least)
+            assert list(overlaps.similarities(x, np.arange(len(sets)), lambda y: y % 2 == 0)) == list(enumerate(exact))[::2]
+
+
+def test_pages_of_one_template_are_not_counted_pair_by_pair():
+    """Similarity 0.63 by a part that all share: their rarest shingles are each page's own."""
+    shared = np.random.default_rng(1).integers(0, 1 << 63, 170, np.uint64)
+    sets = [np.unique(np.concatenate([shared, np.random.default_rng(k + 2).integers(0, 1 << 63, 50, np.uint64)])) for k in range(300)]
+    overlaps = _Overlaps([s.tobytes() for s in sets], 0.8)
+    assert not any(overlaps.possible(x).any() for x in range(300))
+
+
+def test_groups_of_a_template_are_those_of_brute_force(spark):
+    """Pages that are 0.6 to 0.9 alike, by a common beginning and more or less text of their own."""
+    random.seed(4)
+    common = [f"c{k}" for k in range(200)]
+    rows = [(k, " ".join(common + [f"o{random.random()}" for _ in range(random.choice((15, 20, 25, 40, 60)))])) for k in range(60)]
+    found = near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.row_id, r.component_id) for r in found) == sorted(brute(rows))
