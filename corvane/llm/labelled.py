@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, and the folds that keep held-out rows out of them."""
+"""Labelled rows, all or bounded samples of them, and the folds that keep held-out rows out of them."""
 
 from __future__ import annotations
 
@@ -32,3 +32,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, most:
     texts = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen.drop("fold")), "row_id").groupBy("row_id", "y", "part").agg(F.min("text").alias("text"))
     return found.select("row_id", "y", "part", "text")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, y, part, text) of all labelled ids that keep gives a part. Repeated ids and labels count as above.
+
+    Labels grow with the texts, so they are joined by sorting at every size and broadcast at none.
+    """
+    rows = labels.select(F.col(id_col).alias("row_id"), F.col(label).cast("int").alias("y"), keep(fold(id_col)).alias("part"))
+    rows = rows.where(F.col("y").isin(0, 1) & F.col("part").isNotNull()).distinct()
+    texts = docs.where(keep(fold(id_col)).isNotNull()).select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(rows.hint("merge"), "row_id").groupBy("row_id", "y", "part").agg(F.min("text").alias("text"))

@@ -382,6 +382,28 @@ def test_toxicity_scores_by_brute_force(spark):
         assert abs(got[r.doc_id] - want) < 1e-3, r.doc_id
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More labelled rows a class than the former bound of 2,000; each text has a word of its own. Of an id's texts the least counts, of its labels one."""
+    rng = random.Random(3)
+    rows = [(i, i % 2, "".join(rng.choices("abcdefgh" if i % 2 else "stuvwxyzé", k=7)) + " the") for i in range(9000)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(i, "\U0001f642 " + t) for i, _, t in rows[:50]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows] + [(i, y) for i, y, _ in rows[:90]] + [(1, None)], "doc_id long, toxic int")
+    scorer = toxicity.train(spark, docs, labels)
+    counts = (Counter(), Counter())
+    for i, y, t in rows:
+        if fold_of(i) in (1, 2, 3):
+            counts[y].update(t.split())
+    assert min(c["the"] for c in counts) > 2000
+    want, got = toxicity.Ratios(counts[1], counts[0]), scorer.ratios
+    for a, b in zip(want.levels, got.levels):
+        assert (a[0] == b[0]).all() and np.allclose(a[1], b[1], atol=1e-9) and np.allclose(a[2], b[2], atol=1e-9)
+    words = [t.split()[0] for *_, t in rows] + ["", "the", "zzzzq", "漢字", "a\U0001f642"]
+    assert np.allclose(want.words(words), got.words(words), atol=1e-6)
+    curve = [(want, y) for want, (i, y, _) in zip(scorer.features([t.encode() for *_, t in rows]), rows) if fold_of(i) == 4]
+    slope, offset = toxicity.fit_curve(*np.array(curve, float).T)
+    assert abs(slope - scorer.slope) < 1e-5 * abs(slope) and abs(offset - scorer.offset) < 1e-5 * max(1, abs(offset))
+
+
 def test_kneser_ney_sums_to_one():
     counts = {"abc": 3, "abd": 2, "b": 5}
     base = toxicity.shared_base([counts, {"xyz": 1}])
