@@ -9,8 +9,8 @@ s is at byte (s mod SHARD) * stride of shard s div SHARD, and reading may resume
 Two scans tokenise: the first counts a segment's (scan task's) tokens, of which only a total and a digest of eight
 bytes come back, 24 bytes a task in all, broadcast once to each executor and not sent with each task; the second knows its place in the stream and sends packed, compressed pieces of sequences straight to their
 shard, the only shuffle. Keeping the tokens between the scans would spare the second but takes half the input's
-size of disk again. Both scans must see the same segments, so docs has to be a stored table, and this is
-verified by a digest of each segment.
+size of disk again. The pattern runs without its look-ahead, at the same result. Both scans must see the same
+segments, so docs has to be a stored table, and this is verified by a digest of each segment.
 
 Shards are written under a temporary name and renamed, so a repeated or speculative task leaves one whole file.
 A second run into the same folder with the same key keeps the shards that are already whole.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 
+#: The pattern's look-ahead, without which it needs no backtracking, only leaves the last character of two or more
+#: of white space to what follows them. Texts are cut there instead (SPACE is \s, GAP finds the texts, CUT the places).
+AHEAD = r"\s+(?!\S)|"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+GAP = f"[{SPACE}][{SPACE}][^{SPACE}]"
+CUT = re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
+
 SEQUENCE = 2048
 SHARD = 2048
 ROUNDS = 6
@@ -93,29 +102,39 @@ class Tokenizer:
     """Token ids of a text; travels as the vocabulary's bytes, so executors need no file."""
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN, end: int = END):
-        self.ranks, self.pattern, self.end, self._made = ranks, pattern, end, None
+        self.ranks, self.pattern, self.end, self._made = ranks, pattern, end, {}
         self.width = 2 if end < 1 << 16 and len(ranks.splitlines()) <= 1 << 16 else 4
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_made": None}
+        return self.__dict__ | {"_made": {}}
 
-    @property
-    def encoding(self):
+    def _encoding(self, pattern: str):
         import tiktoken
 
-        if self._made is None:
+        if pattern not in self._made:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.ranks.splitlines() if line)}
-            self._made = tiktoken.Encoding("shards", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return self._made
+            self._made[pattern] = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return self._made[pattern]
 
-    def encode(self, text: str) -> np.ndarray:
-        ids = array("H" if self.width == 2 else "I", self.encoding.encode_ordinary(text))
+    @property
+    def encoding(self):
+        return self._encoding(self.pattern)
+
+    def ids(self, texts: pa.Array) -> Iterator[list[int]]:
+        """Each text's ids, as encoding gives them, without the end mark; null as empty."""
+        if self.pattern != PATTERN:
+            yield from (self.encoding.encode_ordinary(text or "") for text in texts.to_pylist())
+            return
+        encode = self._encoding(PATTERN.replace(AHEAD, "")).encode_ordinary
+        for text, gap in zip(texts.to_pylist(), pc.match_substring_regex(texts, GAP).to_pylist()):
+            yield [i for part in CUT.split(text) for i in encode(part)] if gap else encode(text or "")
+
+    def marked(self, ids: list[int]) -> np.ndarray:
+        """The ids and the end mark."""
+        ids = array("H" if self.width == 2 else "I", ids)
         ids.append(self.end)
         return np.frombuffer(ids, f"u{self.width}").astype(f"<u{self.width}", copy=False)
 
-    def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text)) + 1
-
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if urlparse(uri).scheme == "file":
@@ -155,10 +174,9 @@ def read_slots(folder: str, begin: int, end: int, sequence: int = SEQUENCE, shar
         begin = upto
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
+def _rows(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[int | None, list[int]]]:
     for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield row, text or ""
+        yield from zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1)))
 
 
 def _digest(seen, row: int | None, n: int) -> None:
@@ -191,8 +209,8 @@ def token_shards(
         from pyspark import TaskContext
 
         total, seen = 0, xxhash.xxh64()
-        for row, text in _rows(batches):
-            size = tokenizer.value.count(text)
+        for row, ids in _rows(batches, tokenizer.value):
+            size = len(ids) + 1
             total += size
             _digest(seen, row, size)
         held = [TaskContext.get().partitionId(), total, np.uint64(seen.intdigest()).astype(np.int64)]
@@ -239,8 +257,8 @@ def token_shards(
             out.clear()
             return pa.RecordBatch.from_arrays(columns, ["task", "slot", "sequence", "at", "n", "data", "row_ids"])
 
-        for row, text in _rows(batches):
-            ids = tokenizer.value.encode(text)
+        for row, ids in _rows(batches, tokenizer.value):
+            ids = tokenizer.value.marked(ids)
             _digest(seen, row, len(ids))
             while len(ids):
                 room = sequence - (at + size) % sequence
