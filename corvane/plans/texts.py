@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import entities
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +95,30 @@ def country_codes(t: Tables) -> DataFrame:
 #: Pages cut into scripts, styles, comments, tags and text between them, for SQL.
 _PIECES = r"regexp_extract_all(coalesce(html, ''), '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+')"
 _UNESCAPED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
-_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: White space of Python's strip.
+_WHITE = " || ".join(f"chr({k})" for k in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+#: Character references by the rule of HTML 5, as the parser reads them in text: names also without their semicolon where the standard knows them so, the
+#: longest of them, and numbers. SIGNS gives a map from all references in pages that stand for something else, SIGNED a text with them replaced.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_NAMES = ", ".join("('" + name + "', '" + sign.replace("'", "''") + "')" for name, sign in sorted(entities.html5.items()))
+_WINDOWS = ", ".join(f"({128 + k}, '{bytes([128 + k]).decode('cp1252')}')" for k in range(32) if k not in (1, 13, 15, 16, 29))
+_SIGNS = rf"""names(name, sign) AS (VALUES {_NAMES}), windows(n, sign) AS (VALUES {_WINDOWS}),
+    refs AS (SELECT DISTINCT unnest(regexp_extract_all(html, '{_REFERENCE}')) AS ref FROM pages),
+    digits AS (SELECT ref, lower(ref[3]) = 'x' AS hex, ltrim(rtrim(ltrim(ref[3:], 'xX'), ';'), '0') AS d FROM refs WHERE starts_with(ref, '&#')),
+    numbers AS (SELECT ref, CASE WHEN d = '' THEN 0 WHEN length(d) > 8 THEN 1114112 WHEN hex THEN ('0x' || d)::BIGINT ELSE d::BIGINT END AS n FROM digits),
+    signs AS (SELECT ref, CASE WHEN w.sign IS NOT NULL THEN w.sign WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n IN (13, 129, 141, 143, 144, 157) THEN chr(n::INT)
+                  WHEN n BETWEEN 1 AND 8 OR n IN (11, 127) OR n BETWEEN 14 AND 31 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END AS sign FROM numbers LEFT JOIN windows w USING (n)
+              UNION ALL SELECT ref, arg_max(e.sign || substr(ref, length(name) + 2), length(name)) FROM refs JOIN names e ON ref[2:] = name OR (NOT ends_with(name, ';') AND starts_with(ref, '&' || name))
+              WHERE NOT starts_with(ref, '&#') GROUP BY ref),
+    known AS (SELECT map_from_entries(list((ref, sign))) AS known FROM signs)"""
+_SIGNED = f"array_to_string(list_transform(regexp_extract_all({{}}, '{_REFERENCE.replace('{', '{{').replace('}', '}}')}|[^&]+|&'), lambda y: coalesce(known[y], y)), '')"
 
 
 @query("X7_page_text", rf"""
-    WITH p AS (SELECT page_id, list_transform({_PIECES}, lambda x: CASE WHEN regexp_matches(x, '^<(script|style)>') THEN regexp_replace(x, '(?s)^<[a-z]+>(.*)</[a-z]+>$', '\1')
-                      WHEN starts_with(x, '<') THEN '' ELSE {_UNESCAPED.format("x")} END) AS parts FROM pages)
+    WITH {_SIGNS},
+    p AS (SELECT page_id, list_transform({_PIECES}, lambda x: CASE WHEN regexp_matches(x, '^<(script|style)>') THEN regexp_replace(x, '(?s)^<[a-z]+>(.*)</[a-z]+>$', '\1')
+                      WHEN starts_with(x, '<') THEN '' ELSE {_SIGNED.format("x")} END) AS parts FROM pages, known)
     SELECT page_id, trim(regexp_replace(array_to_string(list_filter(list_transform(parts, lambda x: trim(x, {_WHITE})), lambda x: x <> ''), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WHITE}) AS body FROM p""")
 def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.page_text("html").alias("body"))

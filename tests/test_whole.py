@@ -80,3 +80,17 @@ def test_orders_of_any_customer_are_paired(run):
     rows = [(1, 2, "p", "F", "2024-03-01"), (2, 2, "p", "O", "2024-03-02"), (3, 5, "p", "O", "2024-04-02")]
     found = run("J15_paired_top5", orders=(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate string"))
     assert found == [("p", 3, 2)]
+
+
+@pytest.mark.parametrize("query", ["X7_page_text"])
+def test_sql_reads_character_references_as_the_parser_does(query):
+    import duckdb
+    import pandas as pd
+
+    found = ["&amp", "&am", "&quot", "&copyx", "&notit;", "&notin;", "&ampamp;", "&amplt;", "&#65;", "&#x41", "&#150;", "&#0;", "&#1;", "&#99999999999;", "&nbsp;", "&nothing;", "&", "&&amp;&"]
+    pages = pd.DataFrame([(k, f"<title>cut {r}</title><p>{r}in {r}</p><script>raw {r}</script>") for k, r in enumerate(found)] + [(99, None)], columns=["page_id", "html"])
+    with duckdb.connect() as held:
+        held.register("pages", pages)
+        told = dict(held.sql(registry.ORACLE_SQL[query]).fetchall())
+    read = text.page_text if query == "X7_page_text" else text.visible_text
+    assert told == dict(zip(pages.page_id, read.func(pages.html))) and told[0].startswith("cut &\n" if query == "X7_page_text" else "cut & &in")
