@@ -95,8 +95,9 @@ def country_codes(t: Tables) -> DataFrame:
 #: Pages cut into scripts, styles, comments, tags and text between them, for SQL.
 _PIECES = r"regexp_extract_all(coalesce(html, ''), '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+')"
 _UNESCAPED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
-#: White space of Python's strip.
+#: White space of Python's strip and of its patterns, as characters and as a class.
 _WHITE = " || ".join(f"chr({k})" for k in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_WHITE_CLASS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 #: Character references by the rule of HTML 5, as the parser reads them in text: names also without their semicolon where the standard knows them so, the
 #: longest of them, and numbers. SIGNS gives a map from all references in pages that stand for something else, SIGNED a text with them replaced.
@@ -125,8 +126,9 @@ def page_text(t: Tables) -> DataFrame:
 
 
 @query("X8_visible_text", rf"""
-    WITH p AS (SELECT page_id, list_transform(list_filter({_PIECES}, lambda x: NOT starts_with(x, '<')), lambda x: trim({_UNESCAPED.format("x")}, {_WHITE})) AS parts FROM pages)
-    SELECT page_id, trim(regexp_replace(array_to_string(list_filter(parts, lambda x: x <> ''), ' '), '[\s\x0B]+', ' ', 'g')) AS body FROM p""")
+    WITH {_SIGNS},
+    p AS (SELECT page_id, list_transform(list_filter({_PIECES}, lambda x: NOT starts_with(x, '<')), lambda x: trim({_SIGNED.format("x")}, {_WHITE})) AS parts FROM pages, known)
+    SELECT page_id, trim(regexp_replace(array_to_string(list_filter(parts, lambda x: x <> ''), ' '), '{_WHITE_CLASS}+', ' ', 'g')) AS body FROM p""")
 def visible_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.visible_text("html").alias("body"))
 

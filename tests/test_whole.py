@@ -82,7 +82,7 @@ def test_orders_of_any_customer_are_paired(run):
     assert found == [("p", 3, 2)]
 
 
-@pytest.mark.parametrize("query", ["X7_page_text"])
+@pytest.mark.parametrize("query", ["X7_page_text", "X8_visible_text"])
 def test_sql_reads_character_references_as_the_parser_does(query):
     import duckdb
     import pandas as pd
