@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 THRESHOLD = 50
 TAILORING = 80
 
+#: What the filters read.
+JOB_FACTS = ["categories", "work_model", "h1b_sponsored", "years_min", "location", "company_slug"]
+USER_FACTS = ["wanted_categories", "work_models", "needs_sponsorship", "years", "locations", "blacklisted"]
+
 
 def hard_filters(job: str = "j", user: str = "u") -> Column:
     """All conditions but the shared category. Facts that either side doesn't state never exclude."""
@@ -27,8 +31,8 @@ def stated_filters(job: str = "j", user: str = "u") -> Column:
     return years & place & wanted
 
 
-def match(jobs: DataFrame, users: DataFrame) -> DataFrame:
-    """Pairs that share a category and pass the filters.
+def match(jobs: DataFrame, users: DataFrame, same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that share a category and pass the filters, and are the same in further columns.
 
     Category, work model and sponsorship are equalities of the join: jobs are exploded by category, users by category,
     the models that they take and whether a job without sponsorship will do. So neither side has to be small enough to
@@ -42,11 +46,33 @@ def match(jobs: DataFrame, users: DataFrame) -> DataFrame:
     b = users.withColumn("__category", F.explode(F.array_distinct("wanted_categories")))
     b = b.withColumn("__model", F.explode(F.array_union(F.coalesce("work_models", none), F.array(F.lit("Unknown")))))
     b = b.withColumn("__refuses", F.explode(F.when(F.coalesce("needs_sponsorship", F.lit(False)), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    keys = [F.col(f"j.{c}") == F.col(f"u.{c}") for c in ("__category", "__model", "__refuses")]
+    keys = [F.col(f"j.{c}") == F.col(f"u.{c}") for c in (*same, "__category", "__model", "__refuses")]
     first = (F.size("j.__before") == 0) | ~F.coalesce(F.arrays_overlap("j.__before", "u.wanted_categories"), F.lit(False))
     return a.alias("j").join(b.alias("u"), keys).where(first & stated_filters())
 
 
+def alike(rows: DataFrame, facts: list[str], key: str | None = None, most: int = 1024) -> DataFrame:
+    """Rows of the same facts as one, with their number; by a key, as one for about every so many, with their keys."""
+    own = F.struct(*facts).alias("__facts")
+    counted = rows.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
+    if key is None:
+        return counted.select("__facts.*", "n")
+    part = F.pmod(F.xxhash64("__key"), F.ceil(F.col("n") / most)).alias("__part")
+    keys = F.transform(F.collect_list(F.struct("__key")), lambda x: x["__key"])  # collect_list alone leaves nulls out
+    dealt = rows.select(own, F.col(key).alias("__key")).join(counted, "__facts")
+    return dealt.groupBy("__facts", part).agg(keys.alias("keys")).select("__facts.*", "keys")
+
+
+def match_alike(jobs: DataFrame, users: DataFrame, slices: int = 32) -> DataFrame:
+    """J8 for rows of alike(), each pair of which stands for the pairs of all that it stands for.
+
+    Users are dealt into slices and jobs go to all of them, as category, work model and sponsorship have few values, which
+    would make few tasks. Few rows stand for many pairs, so their number of partitions is given and doesn't follow their size.
+    """
+    dealt = users.repartition(2 * slices, *users.columns).withColumn("__slice", F.pmod(F.xxhash64(*users.columns), F.lit(slices)).cast("int"))
+    return match(jobs.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), dealt, ("__slice",))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """V1: cosine of two vectors, null where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -42,8 +42,11 @@ def users(t: Tables) -> DataFrame:
 
 @query("J8_hard_filter_match", _PAIRS + " SELECT job, usr AS user, CASE WHEN slug = 'co' || (usr % 2) THEN 'notified' ELSE 'matched' END AS route FROM m")
 def hard_filter_match(t: Tables) -> DataFrame:
-    pairs = matching.match(jobs(t), users(t)).select("j.job", "u.user", "j.company_slug", "u.excluded")
-    return matching.routed(pairs, "company_slug", "excluded").select("job", "user", "route")
+    """Jobs of the same facts are matched as one, and so are users; what matches is a cross product of their keys."""
+    one = lambda rows, facts, key: matching.alike(rows, facts, key).withColumnRenamed("keys", key)
+    pairs = matching.match_alike(one(jobs(t), matching.JOB_FACTS, "job"), one(users(t), [*matching.USER_FACTS, "excluded"], "user"))
+    routed = matching.routed(pairs.select("j.job", "u.user", "j.company_slug", "u.excluded"), "company_slug", "excluded")
+    return routed.select(F.explode("job").alias("job"), "user", "route").select("job", F.explode("user").alias("user"), "route")
 
 
 @query("V1_V2_cosine_score", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import classify, filters, joins, lifecycle, matching, merge, windows
+from corvane.plans import registry
 from corvane.sources import readers, sinks
 from corvane.streaming import streams
 
@@ -232,6 +233,40 @@ def test_hard_filters_pass_what_is_not_stated(spark):
     assert matching.match(jobs, users.withColumn("blacklisted", F.array(F.lit("co")))).count() == 0
 
 
+def _jobs_and_users(spark):
+    pick = lambda column, values: f"element_at(array({values}), cast(pmod(hash({column}, {len(values)}), {values.count('|') + 1}) + 1 AS int))".replace("|", ",")
+    jobs = spark.range(120).selectExpr(
+        "nullif(id % 100, 7) AS job", pick("id", "array('a', 'b') | array('b') | array('a', 'a', 'c') | cast(NULL AS array<string>)") + " AS categories", pick("id", "'Unknown' | 'Remote' | 'On-Site' | NULL") + " AS work_model",
+        pick("id", "'No' | 'Yes' | NULL") + " AS h1b_sponsored", pick("id", "NULL | 1 | 3") + " AS years_min", pick("id", "NULL | 'City 1, land' | ''") + " AS location", pick("id", "'co1' | 'co2' | NULL") + " AS company_slug",
+    )
+    users = spark.range(150).selectExpr(
+        "nullif(id % 140, 9) AS user", pick("id", "array('b', 'a') | array('c') | array('a')") + " AS wanted_categories", pick("id", "array('Remote') | array('Remote', 'On-Site') | NULL") + " AS work_models",
+        pick("id", "true | false | NULL") + " AS needs_sponsorship", pick("id", "2 | NULL | 5") + " AS years", pick("id", "array('city 1') | array() | NULL") + " AS locations", pick("id", "array('co1') | NULL | array()") + " AS blacklisted",
+    )
+    return jobs, users
+
+
+def test_jobs_and_users_of_the_same_facts_match_as_one(spark):
+    jobs, users = _jobs_and_users(spark)
+    want = rows(matching.match(jobs, users).selectExpr("nvl(j.job, -1)", "nvl(u.user, -1)"))
+    assert len(want) > 500 and -1 in {w[0] for w in want} & {w[1] for w in want}
+    for most in (1, 3, 1024):
+        pairs = matching.match_alike(matching.alike(jobs, matching.JOB_FACTS, "job", most), matching.alike(users, matching.USER_FACTS, "user", most), slices=5)
+        expanded = pairs.select(F.explode("j.keys").alias("job"), "u.keys").select("job", F.explode("keys").alias("user"))
+        assert rows(expanded.selectExpr("nvl(job, -1)", "nvl(user, -1)")) == want
+    many = spark.range(5000).select(F.lit(1).alias("fact"), F.col("id").alias("key"))
+    held = matching.alike(many, ["fact"], "key", 1000).select(F.size("keys").alias("n")).collect()
+    assert sum(r.n for r in held) == 5000 and 2 <= len(held) <= 5
+
+
+def test_matches_are_made_in_many_tasks(spark, tmp_path):
+    spark.range(100).selectExpr("id AS s_suppkey", "cast(id % 25 AS int) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(2000).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    pairs = registry.QUERIES["J8_hard_filter_match"](spark, str(tmp_path))
+    per_task = [n for n in pairs.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect() if n]
+    assert len(per_task) >= 16 and max(per_task) < sum(per_task) / 4
+
+
 def test_broken_payloads_give_no_jobs(spark):
     df = spark.createDataFrame([("a", "<html>"), ("b", '{"jobs": [{"id": 1}, {"id": 2, "title": "T", "location": null}]}'), ("c", None)], "company_slug string, payload string")
     assert [(r.job_id, r.location) for r in readers.greenhouse_jobs(df).collect()] == [("2", "Unknown")]
