@@ -71,7 +71,10 @@ def jaccard(t: Tables) -> DataFrame:
 
 @query("V4_excluded_split", _PAIRS + " SELECT CASE WHEN slug = 'co' || (usr % 2) THEN 'notified' ELSE 'matched' END AS route, count(*) AS n FROM m GROUP BY 1")
 def excluded_split(t: Tables) -> DataFrame:
-    return hard_filter_match(t).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    """Counted without making the pairs, from how many jobs and users have the same facts."""
+    pairs = matching.match_alike(matching.alike(jobs(t), matching.JOB_FACTS), matching.alike(users(t), [*matching.USER_FACTS, "excluded"]))
+    routed = matching.routed(pairs.select("j.company_slug", "u.excluded", (F.col("j.n") * F.col("u.n")).alias("n")), "company_slug", "excluded")
+    return routed.groupBy("route").agg(F.sum("n").alias("n"))
 
 
 @query("J14_jaccard_best_match", """

@@ -267,6 +267,17 @@ def test_matches_are_made_in_many_tasks(spark, tmp_path):
     assert len(per_task) >= 16 and max(per_task) < sum(per_task) / 4
 
 
+def test_routes_are_counted_without_pairs(spark, tmp_path):
+    """Two thousand million pairs, of which those of one period of all facts are known."""
+    period, times = 1260, (30, 40)  # all facts of jobs and users repeat after so many keys
+    for k, (jobs, users) in enumerate(((1, 1), times)):
+        spark.range(period * jobs).selectExpr("id AS s_suppkey", "cast(id % 5 AS int) AS s_nationkey").write.parquet(str(tmp_path / f"{k}" / "supplier.parquet"))
+        spark.range(period * users).selectExpr("id AS c_custkey", "cast(id % 5 AS int) AS c_nationkey").write.parquet(str(tmp_path / f"{k}" / "customer.parquet"))
+    few, many = (dict(map(tuple, registry.QUERIES["V4_excluded_split"](spark, str(tmp_path / f"{k}")).collect())) for k in (0, 1))
+    pairs = registry.QUERIES["J8_hard_filter_match"](spark, str(tmp_path / "0")).groupBy("route").count().collect()
+    assert few == {r.route: r["count"] for r in pairs} and many == {route: n * times[0] * times[1] for route, n in few.items()}
+
+
 def test_broken_payloads_give_no_jobs(spark):
     df = spark.createDataFrame([("a", "<html>"), ("b", '{"jobs": [{"id": 1}, {"id": 2, "title": "T", "location": null}]}'), ("c", None)], "company_slug string, payload string")
     assert [(r.job_id, r.location) for r in readers.greenhouse_jobs(df).collect()] == [("2", "Unknown")]
