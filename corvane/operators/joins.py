@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.sources.sinks import ensure_checkpoints
+from corvane.sources.sinks import ensure_checkpoints, work_folder
 
 
 def unseen(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,6 +59,13 @@ def first_decision(rows: DataFrame, keys: str, decisions: DataFrame, id_cols: li
     return rows.select(*id_cols).join(found, id_cols, "left").select(*id_cols, F.col("d.bucket").alias("bucket"), F.col("d.category").alias("category"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to a work folder and read again, so that their true size is known."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_terms: str, right_terms: str, least: float = 0.6) -> DataFrame:
     """Each left row's most similar right row by Jaccard, if similar enough; of equals the smallest id.
 
@@ -67,31 +74,42 @@ def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     than t, and what stands behind the first shared terms must suffice for the overlap that t asks; only pairs that meet so
     are fetched. As only the best is wanted, the highest similarities are tried first: equal sets, then the upper
     half of what is left, and only sets that found none go on to the next round.
+
+    Left rows of a size that no right row's allows are left before anything is shuffled. Of all others only the terms that
+    both sides have go further, as no other term can be shared; those of one side alone count as the rarest, and of them
+    only the number is kept. The shared terms are stored first, so that the optimizer sees their size and rows needn't move
+    to meet them where they are few.
     """
-    spark = left.sparkSession
-    ensure_checkpoints(spark)
+    ensure_checkpoints(left.sparkSession)
 
     def sets(df: DataFrame, row_id: str, column: str) -> DataFrame:
         own = df.select(F.col(row_id), F.array_sort(F.array_distinct(column)).alias("terms")).where(F.size("terms") > 0)
-        return own.withColumn("set", F.sha2(F.array_join("terms", "\x01"), 256))
+        return own.withColumn("set", F.unhex(F.sha2(F.array_join("terms", "\x01"), 256)))
 
     left_rows, right_rows = sets(left, left_id, left_terms), sets(right, right_id, right_terms)
-    a = left_rows.groupBy("set").agg(F.first("terms").alias("terms"))
-    b = right_rows.groupBy("set").agg(F.first("terms").alias("terms"), F.min(right_id).alias(right_id))
-    posted = lambda df: df.select("set", F.explode("terms").alias("term"))
-    often = posted(a).unionByName(posted(b)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-    def ordered(df: DataFrame) -> DataFrame:
-        ranked = posted(df).join(often, "term").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("ranked"))
-        found = df.join(ranked.select("set", F.transform("ranked", lambda x: x.term).alias("sorted")), "set").drop("terms")
+    small, large = right_rows.agg(F.min(F.size("terms")), F.max(F.size("terms"))).first()
+    left_rows = left_rows.where(F.size("terms").between(F.lit(small or 0) * least - 1e-9, F.lit(large or 0) / least + 1e-9))
+    often = lambda df, name: df.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(name))
+    right_often = stored(often(right_rows, "n_right"), "right-terms")
+    left_often = left_rows.select(F.explode("terms").alias("term")).join(right_often, "term").groupBy("term").agg((F.count(F.lit(1)) + F.first("n_right")).alias("n"))
+    shared_terms = stored(left_often, "shared-terms")
+
+    def ordered(df: DataFrame, *more: Column) -> DataFrame:
+        """A set's size and its shared terms in order; sets that share too few for any match are left."""
+        once = df.groupBy("set").agg(F.first("terms").alias("terms"), *more)
+        others = [c for c in once.columns if c != "terms"]
+        met = once.select(*others, F.size("terms").alias("size"), F.explode("terms").alias("term")).join(shared_terms, "term")
+        ranked = F.array_sort(F.collect_list(F.struct("n", "term")))
+        found = met.groupBy(*others, "size").agg(F.transform(ranked, lambda x: x.term).alias("sorted")).where(F.size("sorted") >= F.col("size") * least - 1e-9)
         return found.withColumn("id", F.monotonically_increasing_id()).checkpoint()  # the numbers are those stored
 
-    a, b = ordered(a), ordered(b)
+    a, b = ordered(left_rows), ordered(right_rows, F.min(right_id).alias(right_id))
 
     def prefixes(df: DataFrame, t: float, name: str) -> DataFrame:
-        size = F.size("sorted")
-        first = F.slice("sorted", F.lit(1), (size - F.ceil(size * t - 1e-9) + 1).cast("int"))
-        return df.select(F.col("id").alias(f"id_{name}"), size.alias(f"n_{name}"), F.posexplode(first).alias(f"at_{name}", "term"))
+        alone = F.col("size") - F.size("sorted")
+        first = F.slice("sorted", F.lit(1), F.greatest(F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1 - alone, F.lit(0)).cast("int"))
+        found = df.select(F.col("id").alias(f"id_{name}"), F.col("size").alias(f"n_{name}"), alone.alias("alone"), F.posexplode(first).alias("at", "term"))
+        return found.select(f"id_{name}", f"n_{name}", (F.col("alone") + F.col("at")).alias(f"at_{name}"), "term")
 
     best = a.select("set", F.col("id").alias("id_a")).join(b.select("set", right_id), "set").select("id_a", right_id, F.lit(1.0).alias("score"))
     for t in sorted({(1 + least) / 2, (1 + 3 * least) / 4, least}, reverse=True):
@@ -100,9 +118,10 @@ def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         fits = (F.col("n_b") >= F.col("n_a") * t - 1e-9) & (F.col("n_a") >= F.col("n_b") * t - 1e-9) & (behind >= asked)
         met = prefixes(open_, t, "a").join(prefixes(b, t, "b"), "term").where(fits).select("id_a", "id_b").distinct()
-        both = met.join(a.select(F.col("id").alias("id_a"), F.col("sorted").alias("sa")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("sorted").alias("sb"), right_id), "id_b")
+        both = met.join(a.select(F.col("id").alias("id_a"), F.col("size").alias("na"), F.col("sorted").alias("sa")), "id_a")
+        both = both.join(b.select(F.col("id").alias("id_b"), F.col("size").alias("nb"), F.col("sorted").alias("sb"), right_id), "id_b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        scored = both.withColumn("score", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("score") >= (least if t == least else t))
+        scored = both.withColumn("score", shared / (F.col("na") + F.col("nb") - shared)).where(F.col("score") >= (least if t == least else t))
         found = scored.groupBy("id_a").agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("m")).select("id_a", "m.*")
         best = best.unionByName(found).checkpoint()
     named = a.select("set", F.col("id").alias("id_a")).join(best, "id_a")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.sources.sinks import ensure_checkpoints
+from corvane.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +41,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def work_folder(t: Tables, name: str) -> str:
     """A new folder in the one that all executors share."""
-    ensure_checkpoints(t.spark)
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return sinks.work_folder(t.spark, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    ensure_checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_lines(df: DataFrame, path: str, compressed: bool = False) -> None:
     """One JSON object a line, nulls kept."""
     writer = df.write.mode("append").option("ignoreNullFields", False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -138,6 +140,18 @@ def test_similarity_join_takes_the_first_of_equals_and_the_threshold(spark):
     assert rows(joins.best_similar(a, b, "l", "r", "t", "u", 0.6)) == [(1, 7, 0.6)]
 
 
+def test_similarity_join_stores_only_what_can_match(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    wide = spark.range(200).selectExpr("id AS l", "transform(sequence(1, 1500), x -> concat('w', x * 7919 + id)) AS t")
+    near = spark.range(200).selectExpr("id + 1000 AS l", "concat(array('a', 'b', 'c', 'd'), array(concat('own', id))) AS t")
+    right = spark.createDataFrame([(8, ["a", "b", "c", "d"]), (7, ["q", "w7919"])], "r int, u array<string>")
+    before = held()
+    found = joins.best_similar(wide.unionByName(near), right, "l", "r", "t", "u", 0.6)
+    assert rows(found) == [(1000 + k, 8, 0.8) for k in range(200)]
+    assert held() - before < 200_000  # the left side has 300,000 terms
+
+
 def test_interpreter_tiers(spark):
     schema = "tag string, itype string, id string, ac string, label string, placeholder string, section string, nearby string, req boolean"
     given = [
