@@ -158,7 +158,9 @@ def _landed_boards(t: Tables, folder: str) -> None:
     board = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("board")
     pages = ranked.groupBy(board, (F.floor(F.col("at") / 50) * 50).cast("int").alias("offset")).agg(F.to_json(F.struct(F.max("total").cast("int").alias("totalFound"), F.collect_list(job).alias("content"))).alias("value"))
     stale = pages.groupBy("board").agg((F.max("offset") + 50).alias("offset"), F.max_by("value", "offset").alias("value"))
-    pages.unionByName(stale).select("value", "board", "offset").write.partitionBy("board", "offset").text(f"{folder}/pages")
+    boards.register(t.spark)
+    landed = pages.unionByName(stale).selectExpr("board AS company_slug", "offset", "value AS payload")
+    landed.write.format("boards").mode("append").save(folder)
     pages.groupBy("board").agg(F.max(F.xxhash64("value")).cast("string").alias("etag")).write.json(f"{folder}/etags")
 
 

@@ -54,6 +54,18 @@ def test_boards_are_read_by_pages(spark, landed):
     assert spark.read.format("boards").load(str(landed / "absent")).count() == 0
 
 
+def test_many_pages_are_written_and_read_in_few_tasks(spark, tmp_path):
+    boards.register(spark)
+    rows = [(f"b{k % 7}", k // 7 * 2, json.dumps(page(2000, str(k)))) for k in range(700)]
+    rows += [rows[0], ("b0", 0, "é <html>")]  # the same page twice, and another body of it
+    spark.createDataFrame(rows, "company_slug string, offset int, payload string").write.format("boards").mode("append").save(str(tmp_path))
+    read = spark.read.format("boards").option("total", "totalFound").load(str(tmp_path))
+    assert 100 < read.rdd.getNumPartitions() <= 256 and sorted((r.company_slug, r.offset, r.payload) for r in read.collect()) == sorted(rows)
+    few = spark.read.format("boards").option("partitions", 3).load(str(tmp_path))
+    assert few.rdd.getNumPartitions() == 3 and few.count() == 702
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.startswith(".")]
+
+
 def test_an_unchanged_board_is_not_read_again(spark, landed, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("run"))
     cycle = lambda: sorted((r.company_slug, r.offset, r.etag) for r in streams.run_to_table(spark.readStream.format("boards").option("total", "totalFound").load(str(landed)), out, "t").collect())
