@@ -66,6 +66,17 @@ def test_many_pages_are_written_and_read_in_few_tasks(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.startswith(".")]
 
 
+def test_many_changed_pages_are_few_partitions_of_a_stream(spark, tmp_path):
+    for k in range(600):
+        put(tmp_path, f"b{k % 3}", k // 3, page(1000, str(k)))
+    etag(tmp_path, "1.json", b0="e", b1="e", b2="e")
+    reader = boards.BoardStreamReader({"path": str(tmp_path)})
+    found = reader.partitions({"b1": "e"}, reader.latestOffset())
+    assert len(found) <= 256 and sum(1 for part in found for _ in reader.read(part)) == 400
+    boards.register(spark)
+    assert streams.run_to_table(spark.readStream.format("boards").load(str(tmp_path)), str(tmp_path / "run"), "t").count() == 600
+
+
 def test_an_unchanged_board_is_not_read_again(spark, landed, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("run"))
     cycle = lambda: sorted((r.company_slug, r.offset, r.etag) for r in streams.run_to_table(spark.readStream.format("boards").option("total", "totalFound").load(str(landed)), out, "t").collect())
